@@ -59,3 +59,14 @@ def load_all() -> dict[str, Spec]:
     from . import (conversations_q, inference_q, judging_q, placeholders_q, runlogs_q,  # noqa: F401
                    sources_q, streaming_q, tables_q, text_q, tokens_q)
     return dict(sorted(REGISTRY.items()))
+
+
+def dstrip(x: str) -> str:
+    """DuckDB text of Python ``str.strip()``."""
+    return f"regexp_replace({x}, '^{DWS}+|{DWS}+$', '', 'g')"
+
+
+def sqlstr(s: str) -> str:
+    """A Python string as a DuckDB literal expression (quotes doubled, newlines via chr(10))."""
+    parts = s.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{p}'" for p in parts)
