@@ -1 +1,219 @@
-"""Registered queries."""
+"""Vocabulary, id arrays, padding, labels, step plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import Tables
+from ..functions import arrays as AR
+from ..functions import text as TX
+from ..operators import sharding
+from ..operators import tokens as TK
+from .registry import dnorm, query
+
+VOCAB_SIZE = 5000
+
+
+def _vocab(t: Tables):
+    return TK.build_vocab(t.documents, "text", VOCAB_SIZE)
+
+
+def _toks(x: str) -> str:
+    return f"list_filter(string_split({dnorm(x)}, ' '), lambda t: t <> '')"
+
+
+_SPECIALS_SQL = ", ".join(f"('{s}', {i})" for i, s in enumerate(TK.SPECIALS))
+
+_VOCAB_CTE = f"""vocab AS (
+  SELECT token, CAST(id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS n FROM (VALUES {_SPECIALS_SQL}) AS s(token, id)
+  UNION ALL
+  SELECT token, CAST(rank + {len(TK.SPECIALS)} AS BIGINT) AS id, n FROM (
+    SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS rank FROM (
+      SELECT token, count(*) AS n FROM (SELECT unnest({_toks('text')}) AS token FROM documents) AS u
+      WHERE token NOT IN ({", ".join(f"'{s}'" for s in TK.SPECIALS)}) GROUP BY token) AS c) AS r
+  WHERE rank < {VOCAB_SIZE - len(TK.SPECIALS)})"""
+
+
+def _enc_cte(name: str, table: str, keys: list[str], text: str) -> str:
+    k = ", ".join(keys)
+    return f"""{name} AS (
+  SELECT {k}, coalesce(e.ids, []::BIGINT[]) AS ids FROM {table} AS base LEFT JOIN (
+    SELECT {k}, list(coalesce(v.id, {TK.UNK_ID}) ORDER BY pos) AS ids FROM (
+      SELECT {k}, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS pos
+      FROM (SELECT {k}, {_toks(text)} AS tk FROM {table}) AS a) AS t
+    LEFT JOIN vocab AS v USING (token) GROUP BY {k}) AS e USING ({k}))"""
+
+
+def _with(*ctes: str) -> str:
+    # appended after the fixture prefix (which may already have opened a WITH)
+    return ",\n".join(ctes)
+
+
+def _s(x: str) -> str:
+    return f"array_to_string({x}, ',')"
+
+
+@query("c01_build_vocab", [], f"WITH {_VOCAB_CTE} SELECT token, id, n FROM vocab")
+def c01(spark, sf):
+    return _vocab(Tables(spark, sf))
+
+
+@query("c02_encode", [], f"""WITH {_with(_VOCAB_CTE, _enc_cte('enc', 'conversations', ['conv_id', 'turn'], 'text'))}
+SELECT conv_id, turn, {_s('ids')} AS ids, CAST(len(ids) AS BIGINT) AS n_ids FROM enc""")
+def c02(spark, sf):
+    t = Tables(spark, sf)
+    enc = TK.encode(t.conversations, "text", _vocab(t), max_size=VOCAB_SIZE)
+    return enc.select("conv_id", "turn", AR.ids_to_text("ids").alias("ids"), F.size("ids").cast("bigint").alias("n_ids"))
+
+
+@query("c03_decode", [], f"""WITH {_with(_VOCAB_CTE, _enc_cte('enc', 'conversations', ['conv_id', 'turn'], 'text'))}
+SELECT conv_id, turn, trim(coalesce((SELECT string_agg(v.token, ' ' ORDER BY x.pos) FROM
+   (SELECT unnest(list_filter(ids, lambda i: i >= {len(TK.SPECIALS)})) AS id,
+           unnest(range(1, len(list_filter(ids, lambda i: i >= {len(TK.SPECIALS)})) + 1)) AS pos) AS x
+   JOIN vocab AS v ON v.id = x.id), '')) AS text
+FROM enc""")
+def c03(spark, sf):
+    t = Tables(spark, sf)
+    vocab = _vocab(t)
+    enc = TK.encode(t.conversations, "text", vocab, max_size=VOCAB_SIZE)
+    return TK.decode(enc, "ids", vocab).select("conv_id", "turn", "text")
+
+
+_ENC_CONV = _with(_VOCAB_CTE, _enc_cte("enc", "conversations", ["conv_id", "turn"], "text"))
+
+
+@query("c04_truncate_ids", [], f"""WITH {_ENC_CONV}
+SELECT conv_id, turn, {_s('list_slice(ids, 1, 16)')} AS head_ids,
+       {_s('list_slice(ids, greatest(len(ids) - 16 + 1, 1), len(ids))')} AS tail_ids, len(ids) > 16 AS is_trimmed
+FROM enc""")
+def c04(spark, sf):
+    t = Tables(spark, sf)
+    enc = TK.encode(t.conversations, "text", _vocab(t), max_size=VOCAB_SIZE)
+    return enc.select("conv_id", "turn", AR.ids_to_text(AR.truncate_ids("ids", 16, "head")).alias("head_ids"),
+                      AR.ids_to_text(AR.truncate_ids("ids", 16, "tail")).alias("tail_ids"),
+                      AR.is_trimmed("ids", 16).alias("is_trimmed"))
+
+
+@query("c05_trim_report", [], f"""WITH {_ENC_CONV}
+SELECT worker, count(*) AS processed, count(*) FILTER (WHERE len(ids) > 64) AS trimmed,
+       round(CAST(count(*) FILTER (WHERE len(ids) > 64) AS DOUBLE) / count(*), 6) AS ratio
+FROM (SELECT CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) // sz AS BIGINT) AS worker, ids
+      FROM enc, (SELECT CAST(greatest(1, ceil(count(*) / 8.0)) AS BIGINT) AS sz FROM conversations) AS s) AS w
+GROUP BY worker""")
+def c05(spark, sf):
+    t = Tables(spark, sf)
+    enc = TK.encode(t.conversations, "text", _vocab(t), max_size=VOCAB_SIZE)
+    assigned, _ = sharding.contiguous_buckets(enc.select("conv_id", "turn", AR.is_trimmed("ids", 64).alias("trim")),
+                                              ["conv_id", "turn"], 8)
+    rep = TK.trim_report(assigned, "worker", "trim")
+    return rep.select("worker", "processed", "trimmed", F.round("ratio", 6).alias("ratio"))
+
+
+@query("c06_assign_batches", [], """
+SELECT batch_id, count(*) AS n_rows FROM (
+  SELECT CAST((row_number() OVER (ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch_id FROM documents) AS b
+GROUP BY batch_id""")
+def c06(spark, sf):
+    d = Tables(spark, sf).documents.select("doc_id")
+    return TK.assign_batches(d, "doc_id", 16).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_ENC_DOCS = _with(_VOCAB_CTE, _enc_cte("enc", "documents", ["doc_id"], "text"))
+
+
+@query("c07_pad_batch", [], f"""WITH {_ENC_DOCS}
+SELECT doc_id, batch_id, {_s('list_concat(ids, list_resize([]::BIGINT[], m - len(ids), 0))')} AS input_ids,
+       {_s('list_concat(list_resize([]::BIGINT[], len(ids), 1), list_resize([]::BIGINT[], m - len(ids), 0))')} AS attention_mask
+FROM (SELECT doc_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) AS m FROM (
+        SELECT doc_id, list_slice(ids, 1, 128) AS ids,
+               CAST((row_number() OVER (ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch_id FROM enc) AS a) AS b""")
+def c07(spark, sf):
+    t = Tables(spark, sf)
+    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), max_size=VOCAB_SIZE)
+    enc = enc.select("doc_id", AR.truncate_ids("ids", 128).alias("ids"))
+    padded = TK.pad_batch(TK.assign_batches(enc, "doc_id", 16), "ids")
+    return padded.select("doc_id", "batch_id", AR.ids_to_text("ids").alias("input_ids"),
+                         AR.ids_to_text("attention_mask").alias("attention_mask"))
+
+
+@query("c08_pad_fixed", [], f"""WITH {_ENC_CONV}
+SELECT conv_id, turn, {_s('list_concat(list_slice(ids, 1, 64), list_resize([]::BIGINT[], 64 - len(list_slice(ids, 1, 64)), 0))')} AS ids
+FROM enc""")
+def c08(spark, sf):
+    t = Tables(spark, sf)
+    enc = TK.encode(t.conversations, "text", _vocab(t), max_size=VOCAB_SIZE)
+    return enc.select("conv_id", "turn", AR.ids_to_text(AR.pad_fixed("ids", 64, TK.PAD_ID)).alias("ids"))
+
+
+def _pairs_enc(t: Tables):
+    vocab = _vocab(t)
+    p = t.fx_drafts.join(t.fx_queries.select("query_id", "query"), "query_id")
+    p = TK.encode(p, "query", vocab, "p", max_size=VOCAB_SIZE)
+    return TK.encode(p, "draft", vocab, "t", max_size=VOCAB_SIZE)
+
+
+def _pairs_sql(select: str) -> str:
+    enc_q = _enc_cte("encq", "fx_queries", ["query_id"], "query")
+    enc_d = _enc_cte("encd", "fx_drafts", ["query_id", "model_id", "level"], "draft")
+    return f""", {_with(_VOCAB_CTE, enc_q, enc_d)},
+pairs AS (SELECT d.query_id, d.model_id, d.level, q.ids AS p, d.ids AS t FROM encd d JOIN encq q USING (query_id))
+{select}"""
+
+
+def _tail(a: str, n: int) -> str:
+    return f"list_slice({a}, greatest(len({a}) - {n} + 1, 1), len({a}))"
+
+
+_C9_IDS = f"list_concat(list_concat([{TK.BOS_ID}::BIGINT], p), list_concat(t, [{TK.EOS_ID}::BIGINT]))"
+_C9_LAB = (f"list_concat(list_concat([{TK.BOS_ID}::BIGINT], list_resize([]::BIGINT[], len(p), {AR.IGNORE_INDEX})), "
+           f"list_concat(t, [{TK.EOS_ID}::BIGINT]))")
+
+
+@query("c09_mask_labels", ["fx_queries", "fx_drafts"], _pairs_sql(f"""
+SELECT query_id, model_id, level, {_s(_tail(_C9_IDS, 48))} AS input_ids, {_s(_tail(_C9_LAB, 48))} AS labels,
+       {_s(_tail(f'list_resize([]::BIGINT[], len({_C9_IDS}), 1)', 48))} AS attention_mask
+FROM pairs"""))
+def c09(spark, sf):
+    p = _pairs_enc(Tables(spark, sf))
+    ex = TK.mask_labels("p", "t", 48)
+    return p.select("query_id", "model_id", "level", ex.alias("ex")).select(
+        "query_id", "model_id", "level", AR.ids_to_text("ex.input_ids").alias("input_ids"),
+        AR.ids_to_text("ex.labels").alias("labels"), AR.ids_to_text("ex.attention_mask").alias("attention_mask"))
+
+
+@query("c10_strip_prompt_ids", ["fx_queries", "fx_drafts"], _pairs_sql(f"""
+SELECT query_id, model_id, level, {_s('list_slice(list_concat(p, t), len(p) + 1, len(p) + len(t))')} AS generated
+FROM pairs"""))
+def c10(spark, sf):
+    p = _pairs_enc(Tables(spark, sf))
+    gen = F.concat("p", "t")
+    return p.select("query_id", "model_id", "level", AR.ids_to_text(AR.strip_prompt_ids(gen, F.size("p"))).alias("generated"))
+
+
+@query("c11_generated_tokens", ["fx_queries", "fx_drafts"], _pairs_sql(f"""
+SELECT query_id, model_id, level, CAST(len(list_filter(t, lambda x: x <> {TK.EOS_ID})) AS BIGINT) AS gen_tokens
+FROM pairs"""))
+def c11(spark, sf):
+    p = _pairs_enc(Tables(spark, sf))
+    eos = F.array(F.lit(TK.EOS_ID).cast("bigint"), F.lit(TK.EOS_ID).cast("bigint"))
+    gen = F.concat("p", "t", eos)
+    return p.select("query_id", "model_id", "level",
+                    AR.generated_tokens(AR.strip_prompt_ids(gen, F.size("p")), TK.EOS_ID).cast("bigint").alias("gen_tokens"))
+
+
+_C12_ROWS = ", ".join(f"('{p}', {b}, {a}, {e}, {s}, {lg})" for p, b, a, e, s, lg in TK.STEP_PROFILES)
+
+
+def _every(div: str) -> str:
+    return f"CAST(CASE WHEN {div} = 0 THEN steps ELSE steps // {div} END AS BIGINT)"
+
+
+@query("c12_plan_steps", [], f"""
+SELECT profile, rows, steps AS steps_per_epoch, greatest({_every('eval_div')}, 1) AS eval_steps,
+       {_every('save_div')} AS save_steps, {_every('log_div')} AS logging_steps
+FROM (SELECT profile, eval_div, save_div, log_div, rows,
+        CAST(CASE WHEN profile = 't5' THEN rows // (batch * 8) + 1 ELSE ceil(rows / (batch * accum * 8.0)) END AS BIGINT) AS steps
+      FROM (VALUES {_C12_ROWS}) AS p(profile, batch, accum, eval_div, save_div, log_div),
+           (SELECT count(*) AS rows FROM documents) AS r) AS x""")
+def c12(spark, sf):
+    return TK.plan_steps(Tables(spark, sf).documents)
