@@ -1 +1,107 @@
-"""Registered queries."""
+"""Relational operators over query tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import Tables
+from ..operators import tables as TB
+from .registry import dstrip, query
+
+
+@query("d01_unpivot_levels", ["fx_drafts"], """
+SELECT query_id, model_id, level, draft AS enhanced_query FROM fx_drafts
+""")
+def d01(spark, sf):
+    t = Tables(spark, sf)
+    wide = TB.pivot_levels(t.fx_drafts, ["query_id", "model_id"], "draft")
+    return TB.unpivot_levels(wide, ["query_id", "model_id"])
+
+
+_REASONS = f""", r AS (SELECT query_id, split, line, string_split({dstrip('line')}, chr(9)) AS parts FROM fx_tsv),
+c AS (SELECT query_id, split, parts[1] AS head, parts[2] AS tail,
+  CASE WHEN line IS NULL OR {dstrip('line')} = '' THEN 'blank'
+       WHEN len(parts) < 2 THEN 'missing_column'
+       WHEN parts[1] IS NULL OR {dstrip('parts[1]')} = '' THEN 'empty_query'
+       WHEN parts[2] IS NULL OR {dstrip('parts[2]')} = '' THEN 'empty_target' ELSE 'loaded' END AS reason FROM r),
+pairs AS (SELECT split, CAST(row_number() OVER (PARTITION BY split ORDER BY query_id) - 1 AS BIGINT) AS idx,
+  head, tail, query_id FROM c WHERE reason = 'loaded')
+"""
+
+_KEY = ("CASE split WHEN 'train' THEN 't' WHEN 'val' THEN 'v' ELSE left(split, 1) END "
+        "|| ':' || CAST(idx AS VARCHAR)")
+
+
+@query("d02_index_pairs", ["fx_tsv"], _REASONS + f"SELECT split, idx, {_KEY} AS key, head, tail, query_id FROM pairs")
+def d02(spark, sf):
+    return TB.index_pairs(Tables(spark, sf).fx_tsv, "query_id")
+
+
+@query("d03_ingest_stats", ["fx_tsv"], _REASONS + """
+SELECT split, count(*) FILTER (WHERE reason <> 'blank') AS seen, count(*) FILTER (WHERE reason = 'loaded') AS loaded,
+  count(*) FILTER (WHERE reason = 'empty_query') AS skipped_empty_query,
+  count(*) FILTER (WHERE reason = 'empty_target') AS skipped_empty_target,
+  count(*) FILTER (WHERE reason = 'missing_column') AS skipped_missing_column,
+  round(CAST(count(*) FILTER (WHERE reason = 'loaded') AS DOUBLE) / count(*) FILTER (WHERE reason <> 'blank'), 6) AS ratio,
+  count(*) FILTER (WHERE reason = 'loaded') AS dataset_len
+FROM c GROUP BY split""")
+def d03(spark, sf):
+    return TB.ingest_stats(Tables(spark, sf).fx_tsv)
+
+
+@query("d04_split_assign", [], """
+SELECT doc_id, bucket, CASE WHEN bucket < 8 THEN 'train' WHEN bucket = 8 THEN 'val' ELSE 'test' END AS split
+FROM (SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4))::INTEGER % 10 AS BIGINT) AS bucket
+      FROM documents) AS d""")
+def d04(spark, sf):
+    d = Tables(spark, sf).documents.select("doc_id")
+    return TB.split_assign(d, "doc_id")
+
+
+@query("d05_keyed_lookup", ["fx_tsv"], _REASONS + f"SELECT split, idx, {_KEY} AS key, head, tail FROM pairs")
+def d05(spark, sf):
+    t = Tables(spark, sf)
+    pairs = TB.index_pairs(t.fx_tsv, "query_id")
+    requests = TB.full_requests(spark, TB.ingest_stats(t.fx_tsv))
+    return TB.keyed_lookup(pairs, requests).select("split", "idx", "key", "head", "tail")
+
+
+@query("d06_align_outputs", ["fx_queries", "fx_drafts"], """
+, e AS (SELECT q.query_id, CAST(m.range AS BIGINT) AS model_id, CAST(l.range AS BIGINT) AS level
+        FROM fx_queries q, range(0, 7) m, range(1, 5) l),
+o AS (SELECT query_id, model_id, level, count(*) AS n FROM fx_drafts WHERE draft <> '' GROUP BY ALL),
+j AS (SELECT coalesce(e.model_id, o.model_id) AS model_id, coalesce(e.level, o.level) AS level,
+             e.query_id IS NOT NULL AS has_e, o.n FROM e FULL OUTER JOIN o USING (query_id, model_id, level))
+SELECT model_id, level, count(*) FILTER (WHERE has_e) AS n_expected, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_outputs,
+  count(*) FILTER (WHERE has_e AND n IS NULL) AS missing, count(*) FILTER (WHERE NOT has_e) AS extra,
+  count(*) FILTER (WHERE n > 1) AS duplicated
+FROM j GROUP BY model_id, level""")
+def d06(spark, sf):
+    t = Tables(spark, sf)
+    expected = (t.fx_queries.select("query_id")
+                .withColumn("model_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))))
+                .withColumn("level", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint")))))
+    outputs = t.fx_drafts.filter(F.col("draft") != "")
+    keys = ["query_id", "model_id", "level"]
+    return TB.align_outputs(expected, outputs, keys, ["model_id", "level"])
+
+
+@query("d07_explode_suggestions", ["fx_drafts"], """
+SELECT query_id, level, model_id AS rank, draft AS suggestion FROM fx_drafts
+""")
+def d07(spark, sf):
+    t = Tables(spark, sf)
+    # one flat prediction list per query: 4 inputs (levels) x 7 beams (models), in order
+    flat = (t.fx_drafts.groupBy("query_id")
+            .agg(F.array_sort(F.collect_list(F.struct("level", "model_id", "draft"))).alias("_p"))
+            .select("query_id", F.transform("_p", lambda s: s["draft"]).alias("flat")))
+    out = TB.explode_suggestions(flat, "flat", 4, num_seq=7, beam=7)
+    return out.select("query_id", (F.col("input_pos") + 1).cast("bigint").alias("level"),
+                      F.col("rank").cast("bigint").alias("rank"), "suggestion")
+
+
+@query("d08_pivot_models", ["fx_drafts"], "SELECT model_id, " + ", ".join(
+    f'count(*) FILTER (WHERE level = {n}) AS "{n}_n", round(avg(length(draft)) FILTER (WHERE level = {n}), 6) AS "{n}_mean_len"'
+    for n in TB.LEVELS) + " FROM fx_drafts GROUP BY model_id")
+def d08(spark, sf):
+    return TB.pivot_models(Tables(spark, sf).fx_drafts, "model_id", "level", TB.LEVELS, "draft")
