@@ -1 +1,230 @@
-"""Registered queries."""
+"""F1-F16: judge requests, verdict parsing, score reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import Tables
+from ..functions import templates as TP
+from ..operators import judging as J
+from .registry import dnorm, dstrip, query, sqlstr
+from .text_q import _d_render
+
+K = ["query_id", "model_id", "level"]
+MODELS = list(range(7))
+
+
+def _rid(metric: str, a: str) -> str:
+    return f"md5(concat_ws(':', '{metric}', {a}.query_id, {a}.model_id, {a}.level))"
+
+
+@query("f01_judge_requests", ["fx_queries", "fx_drafts", "fx_finals"], f"""
+SELECT {_rid('eqdq', 'd')} AS request_id, 'eqdq' AS metric, d.query_id, d.model_id, d.level,
+  {_d_render(TP.JUDGE_TEMPLATES['eqdq'], {'query': 'q.query', 'draft': 'd.draft'})} AS prompt
+FROM fx_drafts d JOIN fx_queries q USING (query_id)
+UNION ALL
+SELECT {_rid('aue', 'd')}, 'aue', d.query_id, d.model_id, d.level,
+  {_d_render(TP.JUDGE_TEMPLATES['aue'], {'draft': 'd.draft', 'final': 'f.final_query'})}
+FROM fx_drafts d JOIN fx_finals f USING (query_id, model_id, level)
+UNION ALL
+SELECT {_rid('ha', 'd')}, 'ha', d.query_id, d.model_id, d.level,
+  {_d_render(TP.JUDGE_TEMPLATES['ha'], {'query': 'q.query', 'draft': 'd.draft'})}
+FROM fx_drafts d JOIN fx_queries q USING (query_id)""")
+def f01(spark, sf):
+    t = Tables(spark, sf)
+    qd = t.fx_drafts.join(t.fx_queries.select("query_id", "query"), "query_id")
+    df_ = t.fx_drafts.join(t.fx_finals, K)
+    return (J.judge_requests("eqdq", qd, {"query": "query", "draft": "draft"})
+            .unionByName(J.judge_requests("aue", df_, {"draft": "draft", "final": "final_query"}))
+            .unionByName(J.judge_requests("ha", qd, {"query": "query", "draft": "draft"})))
+
+
+def _ord(x: str) -> str:
+    b = f"regexp_replace(lower({dstrip(x)}), ' effort$', '')"
+    return (f"CAST(CASE {b} WHEN 'very low' THEN 1 WHEN 'low' THEN 2 WHEN 'high' THEN 3 "
+            f"WHEN 'very high' THEN 4 END AS BIGINT)")
+
+
+def _status(x: str) -> str:
+    b = f"regexp_replace(lower({dstrip(x)}), ' effort$', '')"
+    return f"CASE WHEN {b} IN ('very low', 'low', 'high', 'very high') THEN 'ok' WHEN {b} = 'na' THEN 'na' ELSE 'invalid' END"
+
+
+def _jf(field: str) -> str:
+    return f"CASE WHEN json_valid(raw) AND starts_with(ltrim(raw), '{{') THEN json_extract_string(raw, '$.{field}') END"
+
+
+_EFFORT = f""", effort AS (
+  SELECT query_id, model_id, level, explanation, comprehension, modification,
+         {_ord('comprehension')} AS comprehension_score, {_ord('modification')} AS modification_score
+  FROM (SELECT query_id, model_id, level, {_jf('explanation')} AS explanation,
+          {_jf('comprehension_score')} AS comprehension, {_jf('modification_score')} AS modification FROM fx_aue) AS a)
+"""
+
+
+@query("f02_parse_effort", ["fx_aue"], _EFFORT + "SELECT * FROM effort")
+def f02(spark, sf):
+    return J.parse_effort(Tables(spark, sf).fx_aue)
+
+
+_LINE_OK = "regexp_matches(l, '^- [^:]+:') AND NOT starts_with(l, '- Review ')"
+_CRIT = lambda l: dstrip(f"regexp_extract({l}, '^- ([^:]+):(.*)$', 1)")
+_LAB = lambda l: dstrip(f"regexp_extract({l}, '^- ([^:]+):(.*)$', 2)")
+
+
+def _parsed(table: str) -> str:
+    return f""", lines AS (
+  SELECT query_id, model_id, level, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS line_no, unnest(ls) AS l
+  FROM (SELECT query_id, model_id, level, regexp_split_to_array(raw, '\\r?\\n') AS ls FROM {table}) AS x),
+parsed AS (SELECT query_id, model_id, level, line_no, {_CRIT('l')} AS criterion, {_LAB('l')} AS label
+  FROM lines WHERE {_LINE_OK}),
+scored AS (SELECT *, {_ord('label')} AS score, {_status('label')} AS status FROM parsed)
+"""
+
+
+@query("f03_parse_review", ["fx_lrqi"], _parsed("fx_lrqi") + "SELECT query_id, model_id, level, line_no, criterion, label FROM parsed")
+def f03(spark, sf):
+    return J.parse_review(Tables(spark, sf).fx_lrqi)
+
+
+@query("f04_parse_binary", ["fx_binary"], f"""
+SELECT query_id, model_id, level,
+  CASE {_jf('Score')} WHEN 'Highly Likely' THEN true WHEN 'Highly Unlikely' THEN false END AS verdict,
+  {_jf('Explanation')} AS explanation
+FROM fx_binary""")
+def f04(spark, sf):
+    return J.parse_binary(Tables(spark, sf).fx_binary)
+
+
+@query("f05_ordinal", ["fx_lrqi"], _parsed("fx_lrqi") + "SELECT * FROM scored")
+def f05(spark, sf):
+    return J.score_labels(J.parse_review(Tables(spark, sf).fx_lrqi))
+
+
+_EXPECTED = "[" + ", ".join(f"'{c}'" for c in J.LRQI_CRITERIA) + "]"
+
+
+@query("f06_judge_validity", ["fx_lrqi"], f"""
+SELECT model_id, level, count(*) AS verdicts, count(*) FILTER (WHERE len(ls) = 0) AS unparsable,
+  CAST(sum(CASE WHEN len(ls) > 0 THEN {len(J.LRQI_CRITERIA)} - len(list_filter(list_distinct(list_transform(ls, lambda l: {_CRIT('l')})),
+       lambda c: list_contains({_EXPECTED}, c))) ELSE 0 END) AS BIGINT) AS missing_criteria,
+  CAST(sum(len(list_filter(ls, lambda l: ({_status(_LAB('l'))}) = 'invalid'))) AS BIGINT) AS unknown_labels
+FROM (SELECT model_id, level, list_filter(regexp_split_to_array(raw, '\\r?\\n'), lambda l: {_LINE_OK}) AS ls FROM fx_lrqi) AS x
+GROUP BY model_id, level""")
+def f06(spark, sf):
+    return J.judge_validity(Tables(spark, sf).fx_lrqi, J.LRQI_CRITERIA)
+
+
+def _dwords(x: str) -> str:
+    n = dnorm(x, lower=False)
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {n} = '' THEN 0 ELSE len(string_split({n}, ' ')) END"
+
+
+@query("f07_explanation_limit", ["fx_aue", "fx_binary"], _EFFORT + f"""
+SELECT 'aue' AS source, query_id, model_id, level, CAST({_dwords('explanation')} AS BIGINT) AS n_words
+FROM effort WHERE {_dwords('explanation')} >= {J.EFFORT_WORD_LIMIT}
+UNION ALL
+SELECT 'binary', query_id, model_id, level, CAST({_dwords(_jf('Explanation'))} AS BIGINT)
+FROM fx_binary WHERE {_dwords(_jf('Explanation'))} >= {J.BINARY_WORD_LIMIT}""")
+def f07(spark, sf):
+    t = Tables(spark, sf)
+    return (J.explanation_limit(J.parse_effort(t.fx_aue), "aue", J.EFFORT_WORD_LIMIT)
+            .unionByName(J.explanation_limit(J.parse_binary(t.fx_binary), "binary", J.BINARY_WORD_LIMIT)))
+
+
+@query("f08_na_consistency", ["fx_eqdq", "fx_drafts"], f"""
+SELECT model_id, level, count(*) AS n, count(*) FILTER (WHERE is_na = has_ph) AS inconsistent
+FROM (SELECT e.model_id, e.level,
+        lower({dstrip("regexp_extract(e.raw, '(?m)^- Placeholder Choices Quality:(.*)$', 1)")}) = 'na' AS is_na,
+        regexp_matches(d.draft, '<([^<>]+)>') AS has_ph
+      FROM fx_eqdq e JOIN fx_drafts d USING (query_id, model_id, level)) AS x
+GROUP BY model_id, level""")
+def f08(spark, sf):
+    t = Tables(spark, sf)
+    return J.na_consistency(t.fx_eqdq, t.fx_drafts)
+
+
+def _scored(t: Tables):
+    return J.score_labels(J.parse_review(t.fx_lrqi))
+
+
+@query("f09_metric_rollup", ["fx_lrqi"], _parsed("fx_lrqi") + """
+SELECT model_id, level, criterion, CAST(GROUPING(model_id, level, criterion) AS BIGINT) AS gid, count(*) AS n,
+       round(avg(score), 6) AS mean_score
+FROM scored WHERE score IS NOT NULL GROUP BY ROLLUP (model_id, level, criterion)""")
+def f09(spark, sf):
+    return J.metric_rollup(_scored(Tables(spark, sf)))
+
+
+@query("f10_score_distribution", ["fx_lrqi"], _parsed("fx_lrqi") + """
+SELECT model_id, level, criterion, label, n, round(n / sum(n) OVER (PARTITION BY model_id, level, criterion), 6) AS share
+FROM (SELECT model_id, level, criterion, regexp_replace(lower(label), ' effort$', '') AS label, count(*) AS n
+      FROM parsed GROUP BY ALL) AS c""")
+def f10(spark, sf):
+    return J.score_distribution(J.parse_review(Tables(spark, sf).fx_lrqi))
+
+
+_MEANS = """, means AS (SELECT model_id, level, avg(score) AS mean_score, count(*) AS n FROM scored
+  WHERE criterion = 'Overall score' AND score IS NOT NULL GROUP BY model_id, level)
+"""
+
+
+@query("f11_uplift", ["fx_lrqi"], _parsed("fx_lrqi") + _MEANS + """
+SELECT m.model_id, m.level, round(m.mean_score, 6) AS mean_score, round(b.mean_score, 6) AS base_score,
+       round((m.mean_score - b.mean_score) / nullif(b.mean_score, 0), 6) AS uplift
+FROM means m LEFT JOIN (SELECT model_id, mean_score FROM means WHERE level = 0) b USING (model_id) WHERE m.level > 0""")
+def f11(spark, sf):
+    return J.uplift(_scored(Tables(spark, sf)))
+
+
+@query("f12_intent_rate", ["fx_binary"], f"""
+SELECT model_id, level, count(*) AS n, count(verdict) AS n_valid, round(avg(CAST(verdict AS DOUBLE)), 6) AS rate
+FROM (SELECT model_id, level, CASE {_jf('Score')} WHEN 'Highly Likely' THEN true WHEN 'Highly Unlikely' THEN false END AS verdict
+      FROM fx_binary) AS b GROUP BY model_id, level""")
+def f12(spark, sf):
+    return J.intent_rate(J.parse_binary(Tables(spark, sf).fx_binary))
+
+
+@query("f13_effort_summary", ["fx_aue"], _EFFORT + """
+SELECT model_id, level, count(comprehension_score) AS n_valid, round(avg(comprehension_score), 6) AS mean_comprehension,
+       round(avg(modification_score), 6) AS mean_modification
+FROM effort GROUP BY model_id, level""")
+def f13(spark, sf):
+    return J.effort_summary(J.parse_effort(Tables(spark, sf).fx_aue))
+
+
+@query("f13b_effort_crosstab", ["fx_aue"], _EFFORT + "SELECT level, comprehension_score, " + ", ".join(
+    f"count(*) FILTER (WHERE modification_score = {i}) AS mod_{i}" for i in range(1, 5)) + """
+FROM effort WHERE comprehension_score IS NOT NULL AND modification_score IS NOT NULL
+GROUP BY level, comprehension_score""")
+def f13b(spark, sf):
+    return J.effort_crosstab(J.parse_effort(Tables(spark, sf).fx_aue))
+
+
+@query("f14_edit_distance", ["fx_drafts", "fx_finals"], None)
+def f14(spark, sf):
+    t = Tables(spark, sf)
+    return J.edit_distance(t.fx_drafts, t.fx_finals)
+
+
+@query("f15_model_ranking", ["fx_lrqi"], _parsed("fx_lrqi") + _MEANS + """
+SELECT model_id, level, round(mean_score, 6) AS mean_score,
+  CAST(rank() OVER (PARTITION BY level ORDER BY mean_score DESC) AS BIGINT) AS rank,
+  CAST(dense_rank() OVER (PARTITION BY level ORDER BY mean_score DESC) AS BIGINT) AS dense_rank,
+  rank() OVER (PARTITION BY level ORDER BY mean_score DESC) = 1 AS is_best
+FROM means""")
+def f15(spark, sf):
+    return J.model_ranking(_scored(Tables(spark, sf)))
+
+
+@query("f16_pairwise_wins", ["fx_lrqi"], _parsed("fx_lrqi") + """
+, ov AS (SELECT query_id, model_id, level, score FROM scored WHERE criterion = 'Overall score' AND score IS NOT NULL)
+SELECT a.level, a.model_id AS model_a, b.model_id AS model_b, count(*) FILTER (WHERE a.score > b.score) AS wins,
+  count(*) FILTER (WHERE a.score = b.score) AS ties, count(*) FILTER (WHERE a.score < b.score) AS losses
+FROM ov a JOIN ov b ON a.query_id = b.query_id AND a.level = b.level AND a.model_id < b.model_id
+GROUP BY a.level, a.model_id, b.model_id""")
+def f16(spark, sf):
+    return J.pairwise_wins(_scored(Tables(spark, sf)), MODELS)
+
+
+_ = sqlstr
