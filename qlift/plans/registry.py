@@ -56,8 +56,8 @@ def query(key: str, fixtures: list[str] | None = None, sql: str | None = None):
 
 
 def load_all() -> dict[str, Spec]:
-    from . import (conversations_q, inference_q, judging_q, placeholders_q, runlogs_q,  # noqa: F401
-                   sources_q, streaming_q, tables_q, text_q, tokens_q)
+    from . import (conversations_q, flagship, inference_q, judging_q, placeholders_q,  # noqa: F401
+                   runlogs_q, sources_q, streaming_q, tables_q, text_q, tokens_q)
     return dict(sorted(REGISTRY.items()))
 
 

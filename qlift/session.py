@@ -58,3 +58,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never a machine-local temp dir on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/qlift-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``qlift`` importable in Python workers (``addPyFile`` of a zip of the package).
+
+    Needed only for Python-side operators (``mapInPandas``); on a cluster it is the same as
+    ``--py-files``.  Done once per SparkContext.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import qlift
+
+    root = os.path.dirname(os.path.abspath(qlift.__file__))
+    fd, path = tempfile.mkstemp(prefix="qlift-pkg-", suffix=".zip")  # code bundle served by the driver
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(dirpath, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
