@@ -1 +1,86 @@
-"""Registered queries."""
+"""Conversations and follow-ups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import Tables
+from ..operators import conversations as CV
+from .registry import dnorm, dtrunc, query
+
+# The synthetic turns share few words (Jaccard of consecutive queries stays below 0.13 at
+# sf0.01), so the registered reports use lower cut-offs than the library defaults.
+RELATED_AT, SUBSUMED_AT = 0.05, 0.2
+
+_PAIRS = """, pairs AS (SELECT * FROM (
+  SELECT conv_id, lag(turn) OVER w AS prev_turn, turn, lag(query_id) OVER w AS prev_query_id, query_id,
+         lag(query) OVER w AS prev_query, query
+  FROM fx_queries WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) AS x WHERE prev_query_id IS NOT NULL)
+"""
+
+
+def _ws(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({dnorm(x)}, ' '), lambda w: w <> ''))"
+
+
+def _inter(a: str, b: str) -> str:
+    return f"len(list_filter({a}, lambda w: list_contains({b}, w)))"
+
+
+_JAC = (f"CAST({_inter(_ws('prev_query'), _ws('query'))} AS DOUBLE) / "
+        f"nullif(len(list_distinct(list_concat({_ws('prev_query')}, {_ws('query')}))), 0)")
+
+_REL = _PAIRS + f", rel AS (SELECT conv_id, prev_query_id, query_id, {_JAC} AS jac FROM pairs)\n"
+
+_OV = _PAIRS + f""", ov AS (SELECT p.conv_id, p.prev_query_id, p.query_id, d.model_id, d.level,
+  CAST({_inter(_ws('p.query'), _ws('d.draft'))} AS DOUBLE) / nullif(len({_ws('p.query')}), 0) AS overlap
+  FROM pairs p JOIN fx_drafts d ON d.query_id = p.prev_query_id)
+"""
+
+
+@query("g01_followup_pairs", ["fx_queries"], _PAIRS + "SELECT * FROM pairs")
+def g01(spark, sf):
+    return CV.followup_pairs(Tables(spark, sf).fx_queries)
+
+
+@query("g02_lexical_relatedness", ["fx_queries"], _REL + f"""
+SELECT conv_id, prev_query_id, query_id, round(jac, 6) AS jaccard, coalesce(jac, 0.0) >= {RELATED_AT} AS related FROM rel""")
+def g02(spark, sf):
+    return CV.lexical_relatedness(CV.followup_pairs(Tables(spark, sf).fx_queries), RELATED_AT)
+
+
+@query("g03_subsumption_overlap", ["fx_queries", "fx_drafts"], _OV + """
+SELECT conv_id, prev_query_id, query_id, model_id, level, round(overlap, 6) AS overlap FROM ov""")
+def g03(spark, sf):
+    t = Tables(spark, sf)
+    return CV.subsumption_overlap(CV.followup_pairs(t.fx_queries), t.fx_drafts)
+
+
+@query("g04_followup_reduction", ["fx_queries", "fx_drafts"], _OV + f"""
+, rel AS (SELECT query_id, {_JAC} AS jac FROM pairs)
+SELECT model_id, level, count(*) AS related, count(*) FILTER (WHERE round(overlap, 6) >= {SUBSUMED_AT}) AS subsumed,
+  round(count(*) FILTER (WHERE round(overlap, 6) >= {SUBSUMED_AT}) / count(*), 6) AS share
+FROM ov JOIN rel USING (query_id) WHERE coalesce(jac, 0.0) >= {RELATED_AT} GROUP BY model_id, level""")
+def g04(spark, sf):
+    t = Tables(spark, sf)
+    pairs = CV.followup_pairs(t.fx_queries)
+    return CV.followup_reduction(CV.lexical_relatedness(pairs, RELATED_AT), CV.subsumption_overlap(pairs, t.fx_drafts),
+                                 SUBSUMED_AT)
+
+
+def _ctx(table: str, text: str, keys: str, k: int) -> str:
+    lags = ", ".join(f"{dnorm(f'lag({text}, {j}) OVER w')}" for j in range(k, 0, -1))
+    return (f"SELECT {keys}, {dtrunc(f'concat_ws(' + repr(' | ') + f', {lags})', 40)} AS context "
+            f"FROM {table} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+
+
+@query("g05_session_context", ["fx_queries"], "\n" + _ctx("fx_queries", "query", "conv_id, turn", 3))
+def g05(spark, sf):
+    q = Tables(spark, sf).fx_queries
+    return CV.session_context(q, "conv_id", "turn", "query", 3)
+
+
+@query("g05b_session_history", [], _ctx("conversations", "text", "conv_id, turn", 2))
+def g05b(spark, sf):
+    c = Tables(spark, sf).conversations
+    return CV.session_context(c, "conv_id", "turn", "text", 2)
