@@ -4,13 +4,15 @@ Sub-word tokenizers are not rebuilt; a word-level vocabulary is a corpus job:
 
 * ``build_vocab`` counts tokens with a partial (map-side) aggregate, so a hot token is
   pre-summed per task before the shuffle, and ranks them with ``dense_index``.
-* ``encode``/``decode`` use one of two exact plans:
-  - ``map``: a vocabulary bounded by ``max_size`` (at most ``MAP_LIMIT`` entries) is
-    folded into one map value by a scalar subquery (run once, shipped like a broadcast);
-    every row is then encoded by a ``transform`` over its own token array: no token shuffle;
-  - ``join``: for an unbounded vocabulary, tokens are exploded with their position,
-    salted, and joined to a salt-replicated vocabulary (a hot token is spread over
-    ``salt`` tasks), then put back in order per row.
+* ``encode``/``decode`` explode tokens with their position, look them up by an exact
+  equi-join and put them back in order per row (a group holds one row's tokens only):
+  - a vocabulary bounded by ``max_size <= BROADCAST_LIMIT`` is a broadcast hash join
+    (size proven by the cap, no shuffle of the tokens for the lookup);
+  - an unbounded vocabulary is joined with salting: tokens get a salt from their row key
+    and position, the vocabulary is replicated per salt, so a hot token is spread over
+    ``salt`` tasks instead of one.
+  (A map column with ``element_at`` would avoid the regroup, but Spark looks map keys up
+  linearly, which costs vocabulary-size comparisons per token.)
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ PAD, BOS, EOS, UNK = "<pad>", "<s>", "</s>", "<unk>"
 SPECIALS = [PAD, BOS, EOS, UNK, "<"]
 PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 
-# Largest vocabulary folded into a single broadcast map value.
-MAP_LIMIT = 1 << 18
+# Largest vocabulary (entries) shipped to every task as a broadcast hash table.
+BROADCAST_LIMIT = 1 << 20
 
 
 def tokenize(c) -> Column:
@@ -56,38 +58,47 @@ def build_vocab(df: DataFrame, col: str, max_size: int | None = None) -> DataFra
     return _specials(df.sparkSession).unionByName(corpus)
 
 
-def _vocab_map(vocab: DataFrame, key: str, value: str) -> Column:
-    """The whole (bounded) vocabulary as one map value: a scalar subquery, evaluated once."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+def _lookup_join(items: DataFrame, vocab: DataFrame, on: str, bounded: bool, keys: list[str], salt: int) -> DataFrame:
+    """Attach vocabulary columns to exploded items: broadcast hash join when the vocabulary is
+    bounded, otherwise a salted shuffle join (a hot token is spread over ``salt`` tasks)."""
+    if bounded:
+        return items.join(F.broadcast(vocab), on, "left")
+    items = items.withColumn("_qx_salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(salt)))
+    v = vocab.withColumn("_qx_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
+    return items.join(v, [on, "_qx_salt"], "left").drop("_qx_salt")
+
+
+def _regroup(df: DataFrame, pieces: DataFrame, keys: list[str], value: Column, out_col: str, elem) -> DataFrame:
+    """Put exploded pieces back in position order per row (one row's pieces per group) and
+    re-attach them to the row by its unique key."""
+    grouped = (pieces.groupBy(*keys)
+               .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v")))))
+                    .alias("_qx_p"))
+               .select(*keys, F.transform("_qx_p", lambda x: x["v"].cast(elem)).alias(out_col)))
+    return df.join(grouped, keys)
 
 
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, out_col: str = "ids", keys: list[str] | None = None,
            max_size: int | None = None, salt: int = 32) -> DataFrame:
-    """Text to an id array (unknown -> ``UNK_ID``), token order kept."""
-    if max_size is not None and max_size <= MAP_LIMIT:
-        # the map is attached as a column first: subqueries may not sit inside a lambda
-        out = df.withColumn("_qx_vmap", _vocab_map(vocab, "token", "id"))
-        ids = F.transform(tokenize(text_col),
-                          lambda t: F.coalesce(F.element_at(F.col("_qx_vmap"), t), F.lit(UNK_ID).cast("bigint")))
-        return out.withColumn(out_col, ids).drop("_qx_vmap")
+    """Text to an id array (unknown -> ``UNK_ID``), token order kept.  ``keys`` must be unique."""
+    if not keys:
+        raise ValueError("encode needs unique row keys")
+    bounded = max_size is not None and max_size <= BROADCAST_LIMIT
+    toks = df.select(*keys, F.posexplode_outer(tokenize(text_col)).alias("pos", "token"))
+    joined = _lookup_join(toks, vocab.select("token", "id"), "token", bounded, keys, salt)
+    return _regroup(df, joined, keys, F.coalesce("id", F.lit(UNK_ID)), out_col, "bigint")
+
+
+def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text", keys: list[str] | None = None,
+           max_size: int | None = None, salt: int = 32) -> DataFrame:
+    """Ids back to text; special ids skipped; result stripped.  ``keys`` must be unique."""
     if not keys:
-        raise ValueError("the join plan needs unique row keys")
-    toks = (df.select(*keys, F.posexplode(tokenize(text_col)).alias("pos", "token"))
-            .withColumn("_qx_salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(salt))))
-    v = vocab.select("token", "id").withColumn("_qx_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
-    joined = toks.join(v, ["token", "_qx_salt"], "left")
-    grouped = (joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("_qx_p"))
-               .select(*keys, F.transform("_qx_p", lambda s: s["id"].cast("bigint")).alias(out_col)))
-    # rows without tokens get an empty array
-    return (df.join(grouped, keys, "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast(T.ArrayType(T.LongType())))))
-
-
-def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text") -> DataFrame:
-    """Ids back to text; special ids skipped; result stripped (bounded vocabulary)."""
-    out = df.withColumn("_qx_imap", _vocab_map(vocab, "id", "token"))
-    words = F.transform(F.filter(_c(ids_col), lambda i: i >= len(SPECIALS)), lambda i: F.element_at(F.col("_qx_imap"), i))
-    return out.withColumn(out_col, F.trim(F.array_join(words, " "))).drop("_qx_imap")
+        raise ValueError("decode needs unique row keys")
+    bounded = max_size is not None and max_size <= BROADCAST_LIMIT
+    ids = df.select(*keys, F.posexplode_outer(F.filter(_c(ids_col), lambda i: i >= len(SPECIALS))).alias("pos", "id"))
+    joined = _lookup_join(ids, vocab.select("id", "token"), "id", bounded, keys, salt)
+    out = _regroup(df, joined, keys, F.col("token"), "_qx_words", "string")
+    return out.withColumn(out_col, F.trim(F.array_join("_qx_words", " "))).drop("_qx_words")
 
 
 def trim_report(df: DataFrame, worker_col: str, trimmed_col: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import tokens as TK
 from .registry import dnorm, query
 
 VOCAB_SIZE = 5000
+CK = ["conv_id", "turn"]
 
 
 def _vocab(t: Tables):
@@ -62,7 +63,7 @@ def c01(spark, sf):
 SELECT conv_id, turn, {_s('ids')} AS ids, CAST(len(ids) AS BIGINT) AS n_ids FROM enc""")
 def c02(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), max_size=VOCAB_SIZE)
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE)
     return enc.select("conv_id", "turn", AR.ids_to_text("ids").alias("ids"), F.size("ids").cast("bigint").alias("n_ids"))
 
 
@@ -75,8 +76,8 @@ FROM enc""")
 def c03(spark, sf):
     t = Tables(spark, sf)
     vocab = _vocab(t)
-    enc = TK.encode(t.conversations, "text", vocab, max_size=VOCAB_SIZE)
-    return TK.decode(enc, "ids", vocab).select("conv_id", "turn", "text")
+    enc = TK.encode(t.conversations.select(*CK, "text"), "text", vocab, keys=CK, max_size=VOCAB_SIZE)
+    return TK.decode(enc.drop("text"), "ids", vocab, keys=CK, max_size=VOCAB_SIZE).select("conv_id", "turn", "text")
 
 
 _ENC_CONV = _with(_VOCAB_CTE, _enc_cte("enc", "conversations", ["conv_id", "turn"], "text"))
@@ -88,7 +89,7 @@ SELECT conv_id, turn, {_s('list_slice(ids, 1, 16)')} AS head_ids,
 FROM enc""")
 def c04(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), max_size=VOCAB_SIZE)
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE)
     return enc.select("conv_id", "turn", AR.ids_to_text(AR.truncate_ids("ids", 16, "head")).alias("head_ids"),
                       AR.ids_to_text(AR.truncate_ids("ids", 16, "tail")).alias("tail_ids"),
                       AR.is_trimmed("ids", 16).alias("is_trimmed"))
@@ -102,7 +103,7 @@ FROM (SELECT CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) // sz AS BIGI
 GROUP BY worker""")
 def c05(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), max_size=VOCAB_SIZE)
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE)
     assigned, _ = sharding.contiguous_buckets(enc.select("conv_id", "turn", AR.is_trimmed("ids", 64).alias("trim")),
                                               ["conv_id", "turn"], 8)
     rep = TK.trim_report(assigned, "worker", "trim")
@@ -129,7 +130,7 @@ FROM (SELECT doc_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) A
                CAST((row_number() OVER (ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch_id FROM enc) AS a) AS b""")
 def c07(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), max_size=VOCAB_SIZE)
+    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), keys=["doc_id"], max_size=VOCAB_SIZE)
     enc = enc.select("doc_id", AR.truncate_ids("ids", 128).alias("ids"))
     padded = TK.pad_batch(TK.assign_batches(enc, "doc_id", 16), "ids")
     return padded.select("doc_id", "batch_id", AR.ids_to_text("ids").alias("input_ids"),
@@ -141,15 +142,16 @@ SELECT conv_id, turn, {_s('list_concat(list_slice(ids, 1, 64), list_resize([]::B
 FROM enc""")
 def c08(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), max_size=VOCAB_SIZE)
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE)
     return enc.select("conv_id", "turn", AR.ids_to_text(AR.pad_fixed("ids", 64, TK.PAD_ID)).alias("ids"))
 
 
 def _pairs_enc(t: Tables):
     vocab = _vocab(t)
-    p = t.fx_drafts.join(t.fx_queries.select("query_id", "query"), "query_id")
-    p = TK.encode(p, "query", vocab, "p", max_size=VOCAB_SIZE)
-    return TK.encode(p, "draft", vocab, "t", max_size=VOCAB_SIZE)
+    # each query is encoded once, then attached to its drafts by id
+    q = TK.encode(t.fx_queries.select("query_id", "query"), "query", vocab, "p", keys=["query_id"], max_size=VOCAB_SIZE)
+    d = TK.encode(t.fx_drafts, "draft", vocab, "t", keys=["query_id", "model_id", "level"], max_size=VOCAB_SIZE)
+    return d.join(q.select("query_id", "p"), "query_id")
 
 
 def _pairs_sql(select: str) -> str:
