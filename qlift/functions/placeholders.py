@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .text import _c, strip_ws
 
 BODY_RE = r"<([^<>]+)>"
-# Fixed value: the first option of every slot replaces the slot.
-FILL_FIRST_RE = r"<([^<>/]*)[^<>]*>"
+# The first option of every (non-empty) slot replaces the slot; "<>" is not a slot.
+FILL_FIRST_RE = r"<([^<>/]+)(?:/[^<>]*)?>|<(?:/[^<>]*)>"
 
 
 def placeholders(c) -> Column:

@@ -64,7 +64,7 @@ def _lookup_join(items: DataFrame, vocab: DataFrame, on: str, bounded: bool, key
     if bounded:
         return items.join(F.broadcast(vocab), on, "left")
     items = items.withColumn("_qx_salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(salt)))
-    v = vocab.withColumn("_qx_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
+    v = vocab.withColumn("_qx_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
     return items.join(v, [on, "_qx_salt"], "left").drop("_qx_salt")
 
 

@@ -35,7 +35,8 @@ def e02(spark, sf):
 
 
 @query("e03_fill_first", ["fx_drafts"], """
-SELECT query_id, model_id, level, regexp_replace(draft, '<([^<>/]*)[^<>]*>', '\\1', 'g') AS filled FROM fx_drafts""")
+SELECT query_id, model_id, level, regexp_replace(draft, '<([^<>/]+)(?:/[^<>]*)?>|<(?:/[^<>]*)>', '\\1', 'g') AS filled
+FROM fx_drafts""")
 def e03(spark, sf):
     d = Tables(spark, sf).fx_drafts
     return d.select(*K, fill_first("draft").alias("filled"))
