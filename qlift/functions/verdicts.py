@@ -64,21 +64,26 @@ def is_review_line(line) -> Column:
     return _c(line).rlike(REVIEW_LINE_RE)
 
 
+def bare_label(c) -> Column:
+    """Lower-cased, stripped label without the effort suffix."""
+    return _bare_label(c)
+
+
 def _bare_label(c) -> Column:
     return F.regexp_replace(F.lower(strip_ws(_c(c))), EFFORT_SUFFIX + r"\z", "")
 
 
-def ordinal(c) -> Column:
+def ordinal(c, bare: bool = False) -> Column:
     """label -> 1..4; ``NA`` and unknown labels -> null (see ``label_status``)."""
-    x = _bare_label(c)
+    x = _c(c) if bare else _bare_label(c)
     out = F.lit(None).cast("bigint")
     for label, value in ORDINAL.items():
         out = F.when(x == label, F.lit(value).cast("bigint")).otherwise(out)
     return out
 
 
-def label_status(c) -> Column:
+def label_status(c, bare: bool = False) -> Column:
     """'ok', 'na' or 'invalid'."""
-    x = _bare_label(c)
+    x = _c(c) if bare else _bare_label(c)
     return (F.when(x.isin(*ORDINAL.keys()), F.lit("ok"))
             .when(x == NA_LABEL, F.lit("na")).otherwise(F.lit("invalid")))

@@ -63,7 +63,9 @@ def parse_review(df: DataFrame, raw: str = "raw", keys: list[str] = K) -> DataFr
 
 def score_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """``score`` 1..4 (null for NA/unknown) and ``status`` ok/na/invalid."""
-    return df.withColumn("score", V.ordinal(F.col(label))).withColumn("status", V.label_status(F.col(label)))
+    b = df.withColumn("_qx_b", V.bare_label(F.col(label)))  # one regex pass per label
+    return (b.withColumn("score", V.ordinal("_qx_b", bare=True)).withColumn("status", V.label_status("_qx_b", bare=True))
+            .drop("_qx_b"))
 
 
 def parse_binary(df: DataFrame, raw: str = "raw", keys: list[str] = K) -> DataFrame:

@@ -10,13 +10,17 @@
    offsets, which are broadcast (bounded by the partition count, not by the data);
 3. adds the in-partition position (low 33 bits of ``monotonically_increasing_id``).
 
-Both branches read the same range exchange (exchange reuse), and the in-partition order
-is fixed by sorting on a unique key, so a recomputed task yields the same index.
+The ranged, sorted rows are persisted (memory and disk) so that the count branch and the
+row branch read one materialisation: two separate range exchanges could sample different
+bounds when the input order is not deterministic (e.g. straight out of an aggregate).
+A lost cached block is recomputed through the same shuffle dependency (same range
+bounds) and re-sorted on the unique key, so a recomputed task yields the same index.
 The order key must be unique; callers pass a tie-break column when it is not.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ def dense_index(df: DataFrame, order_by, index_col: str = "idx", num_partitions:
     n = num_partitions or default_partitions(df)
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_qx_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_qx_pid", F.shiftright("_qx_mid", 33))
+    ranged = ranged.withColumn("_qx_pid", F.shiftright("_qx_mid", 33)).persist(StorageLevel.MEMORY_AND_DISK)
     counts = ranged.groupBy("_qx_pid").agg(F.count(F.lit(1)).alias("_qx_n"))
     # one row per range partition: a window over it is bounded by n, not by the data
     w = Window.orderBy("_qx_pid").rowsBetween(Window.unboundedPreceding, -1)
