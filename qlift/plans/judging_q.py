@@ -201,7 +201,23 @@ def f13b(spark, sf):
     return J.effort_crosstab(J.parse_effort(Tables(spark, sf).fx_aue))
 
 
-@query("f14_edit_distance", ["fx_drafts", "fx_finals"], None)
+# Code-point Levenshtein in DuckDB (its built-in one counts bytes): rows of the DP table by
+# list_reduce; inside a row, new[j] = j + min_{k<=j}(t[k] - k) with t[0] = i and
+# t[k] = min(prev[k] + 1, prev[k-1] + cost), which needs no left-to-right scan.
+_LEV = """list_reduce(list_transform(range(1, length(a) + 1), lambda i: i),
+    lambda prev, i: list_transform(range(0, length(b) + 1), lambda j:
+        j + list_min(list_transform(range(0, j + 1), lambda k:
+            CASE WHEN k = 0 THEN i ELSE least(prev[k + 1] + 1, prev[k] + CASE WHEN substr(a, i, 1) = substr(b, k, 1)
+                 THEN 0 ELSE 1 END) END - k))),
+    list_transform(range(0, length(b) + 1), lambda j: j))[length(b) + 1]"""
+
+
+@query("f14_edit_distance", ["fx_drafts", "fx_finals"], f"""
+SELECT query_id, model_id, level, CAST({_LEV} AS BIGINT) AS levenshtein,
+  CAST(len(list_filter(list_distinct(string_split(b, ' ')), lambda w: NOT list_contains(string_split(a, ' '), w))) AS BIGINT) AS words_added,
+  CAST(len(list_filter(list_distinct(string_split(a, ' ')), lambda w: NOT list_contains(string_split(b, ' '), w))) AS BIGINT) AS words_removed
+FROM (SELECT d.query_id, d.model_id, d.level, d.draft AS a, f.final_query AS b
+      FROM fx_drafts d JOIN fx_finals f USING (query_id, model_id, level)) AS x""")
 def f14(spark, sf):
     t = Tables(spark, sf)
     return J.edit_distance(t.fx_drafts, t.fx_finals)
