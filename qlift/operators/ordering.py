@@ -34,7 +34,19 @@ def _cols(order_by) -> list[Column]:
 
 
 def default_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range count that grows with the data: Catalyst's size estimate of the input divided by
+    the advisory partition size (at least ``spark.sql.shuffle.partitions``)."""
+    conf = df.sparkSession.conf
+    base = int(conf.get("spark.sql.shuffle.partitions"))
+    try:
+        target = int(str(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")).rstrip("b").rstrip("B"))
+    except ValueError:
+        target = 64 << 20
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # stats unavailable (e.g. Connect): fall back to the session setting
+        return base
+    return max(base, min(-(-size // max(target, 1)), 1 << 20))
 
 
 def dense_index(df: DataFrame, order_by, index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
@@ -62,7 +74,18 @@ def row_range(df: DataFrame, order_by, start_index: int = 0, max_limit: int = -1
     return out.filter(cond)
 
 
+# Above this many rows a top-n would funnel n rows per task into one final task.
+TOP_N_LIMIT = 100_000
+
+
 def first_n(df: DataFrame, order_by, n: int = -1) -> DataFrame:
-    """First ``n`` rows in order (``-1`` = all); a top-n (TakeOrderedAndProject), never more than exist."""
-    ordered = df.orderBy(*_cols(order_by))
-    return ordered if n is None or n < 0 else ordered.limit(n)
+    """First ``n`` rows in order (``-1`` = all), never more than exist.
+
+    Small ``n``: ``orderBy().limit()`` (TakeOrderedAndProject, each task keeps its n best).
+    Large ``n``: the distributed ``dense_index`` and a filter, so no single task sees n rows.
+    """
+    if n is None or n < 0:
+        return df.orderBy(*_cols(order_by))
+    if n <= TOP_N_LIMIT:
+        return df.orderBy(*_cols(order_by)).limit(n)
+    return row_range(df, order_by, 0, n, "_qx_first").drop("_qx_first")

@@ -87,8 +87,13 @@ def read_output_tree(spark: SparkSession, root: str, schema: T.StructType) -> Da
             .withColumn("level", F.regexp_extract(path, TREE_RE, 2).cast("bigint")))
 
 
-def write_output_tree(df: DataFrame, root: str, model_col: str = "model", level_col: str = "level") -> str:
-    """Write per-(model, level) outputs as partitioned JSON folders (one folder per pair)."""
-    (df.repartition(model_col, level_col).write.mode("overwrite")
+def write_output_tree(df: DataFrame, root: str, model_col: str = "model", level_col: str = "level",
+                      max_records_per_file: int = 1_000_000) -> str:
+    """Write per-(model, level) outputs as partitioned JSON folders (one folder per pair).
+
+    Rows are not shuffled onto one task per pair (a hot pair would then be written by a
+    single task); every task writes its share of each pair, files capped in size.
+    """
+    (df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
      .partitionBy(model_col, level_col).json(root))
     return root
