@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import IGNORE_INDEX
-from ..functions.text import _c, normalize
-from .ordering import dense_index
+from ..functions.text import WS, _c
+from .ordering import TOP_N_LIMIT, dense_index
 
 # Special tokens, in id order.
 PAD, BOS, EOS, UNK = "<pad>", "<s>", "</s>", "<unk>"
@@ -37,8 +37,9 @@ BROADCAST_LIMIT = 1 << 20
 
 
 def tokenize(c) -> Column:
-    """Lower-cased, whitespace-normalised words (no empty tokens)."""
-    return F.filter(F.split(normalize(_c(c)), " ", -1), lambda t: t != "")
+    """Lower-cased words split on (Python-style) whitespace runs, no empty tokens: the same
+    tokens as splitting the normalised text on single spaces, in one regex pass."""
+    return F.filter(F.split(F.lower(_c(c)), "(?U)" + WS + "+", -1), lambda t: t != "")
 
 
 def _specials(spark) -> DataFrame:
@@ -51,9 +52,17 @@ def build_vocab(df: DataFrame, col: str, max_size: int | None = None) -> DataFra
     counts = (df.select(F.explode(tokenize(col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .filter(~F.col("token").isin(*SPECIALS)))
-    ranked = dense_index(counts, [F.col("n").desc(), F.col("token").asc()], "rank")
-    if max_size is not None:
-        ranked = ranked.filter(F.col("rank") < F.lit(max_size - len(SPECIALS)))
+    order = [F.col("n").desc(), F.col("token").asc()]
+    keep = None if max_size is None else max(max_size - len(SPECIALS), 0)
+    if keep is not None and keep <= TOP_N_LIMIT:
+        # bounded top-k: every task keeps its k best, one task merges <= k x tasks rows and
+        # numbers the k survivors (a window over at most k rows)
+        top = counts.orderBy(*order).limit(keep)
+        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        ranked = dense_index(counts, order, "rank")
+        if keep is not None:
+            ranked = ranked.filter(F.col("rank") < F.lit(keep))
     corpus = ranked.select("token", (F.col("rank") + len(SPECIALS)).cast("bigint").alias("id"), "n")
     return _specials(df.sparkSession).unionByName(corpus)
 
