@@ -158,7 +158,7 @@ _B11_MSGS = _d_msgs("llama", dtrunc(dnorm("q.query", lower=False), 40), "d.level
 
 
 @query("b11_chat_messages", ["fx_queries", "fx_drafts"], f"""
-SELECT query_id, model_id, level, CAST(len(msgs) AS BIGINT) AS n_messages, to_json(msgs) AS messages_json
+SELECT query_id, model_id, level, CAST(len(msgs) AS BIGINT) AS n_messages, CAST(to_json(msgs) AS VARCHAR) AS messages_json
 FROM (SELECT d.query_id, d.model_id, d.level, {_B11_MSGS} AS msgs FROM fx_drafts d JOIN fx_queries q USING (query_id)) AS g
 """)
 def b11(spark, sf):
