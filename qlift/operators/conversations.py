@@ -20,23 +20,30 @@ RELATED_AT = 0.2
 SUBSUMED_AT = 0.5
 
 
-def previous_rows(df: DataFrame, group: str, order: str, k: int, cols: list[str]) -> DataFrame:
-    """For every row, its up to ``k`` predecessors in ``group`` ordered by ``order``: ``(…, j, prev_…)``."""
-    idx = dense_index(df, [group, order], "_qx_i")
-    cur = idx.select(group, order, "_qx_i").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    cur = cur.withColumn("_qx_p", F.col("_qx_i") - F.col("j"))
-    prev = idx.select(F.col("_qx_i").alias("_qx_p"), F.col(group).alias("_qx_g"),
-                      *[F.col(c).alias(f"prev_{c}") for c in cols])
-    j = cur.join(prev, "_qx_p").filter(F.col("_qx_g") == F.col(group))
-    return j.drop("_qx_p", "_qx_g", "_qx_i")
+def previous_rows(df: DataFrame, group: str, order: str, k: int, cols: list[str], keep: list[str] | None = None,
+                  how: str = "inner") -> DataFrame:
+    """Every row with its up to ``k`` predecessors in ``group`` ordered by ``order``.
+
+    Output: ``group, order, keep..., j, prev_<col>...``; with ``how="left"`` every row keeps
+    ``k`` entries (nulls where no predecessor exists), so no join back to the input is needed.
+    """
+    keep = list(keep or [])
+    need = list(dict.fromkeys([group, order, *cols, *keep]))
+    idx = dense_index(df.select(*need), [group, order], "_qx_i")
+    cur = (idx.select(group, order, *keep, "_qx_i").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(k))))
+           .withColumn("_qx_p", F.col("_qx_i") - F.col("j")).alias("c"))
+    prev = idx.select(F.col("_qx_i").alias("_qx_q"), F.col(group).alias("_qx_g"),
+                      *[F.col(c).alias(f"prev_{c}") for c in cols]).alias("p")
+    cond = (F.col("c._qx_p") == F.col("p._qx_q")) & (F.col(f"c.{group}") == F.col("p._qx_g"))
+    j = cur.join(prev, cond, how)
+    return j.select(F.col(f"c.{group}").alias(group), F.col(f"c.{order}").alias(order),
+                    *[F.col(f"c.{c}").alias(c) for c in keep], "j", *[f"prev_{c}" for c in cols])
 
 
 def followup_pairs(queries: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """G1: (previous, current) user queries within a conversation."""
-    p = previous_rows(queries, conv, turn, 1, ["query_id", "turn", "query"]).drop("j")
-    cur = queries.select(conv, turn, "query_id", "query")
-    return p.join(cur, [conv, turn]).select(conv, F.col("prev_turn"), turn, "prev_query_id", "query_id",
-                                             "prev_query", "query")
+    p = previous_rows(queries, conv, turn, 1, ["query_id", "turn", "query"], keep=["query_id", "query"])
+    return p.select(conv, "prev_turn", turn, "prev_query_id", "query_id", "prev_query", "query")
 
 
 def word_set(c) -> Column:
@@ -80,9 +87,10 @@ def followup_reduction(related: DataFrame, overlaps: DataFrame, threshold: float
 
 def session_context(rows: DataFrame, conv: str, turn: str, text: str, k: int, words: int = 40,
                     sep: str = " | ") -> DataFrame:
-    """Up to ``k`` earlier rows (oldest first), each normalised, joined by ``sep``, tail-truncated."""
-    p = previous_rows(rows, conv, turn, k, [text])
-    ctx = (p.groupBy(conv, turn)
-           .agg(F.array_sort(F.collect_list(F.struct(F.negative("j").alias("o"), normalize(f"prev_{text}").alias("t")))).alias("_c"))
-           .select(conv, turn, truncate_tail(F.array_join(F.transform("_c", lambda s: s["t"]), sep), words).alias("context")))
-    return rows.select(conv, turn).join(ctx, [conv, turn], "left").withColumn("context", F.coalesce("context", F.lit("")))
+    """Up to ``k`` earlier rows (oldest first), each normalised, joined by ``sep``, tail-truncated.
+
+    A group holds the ``k`` candidate predecessors of one row (bounded by ``k``)."""
+    p = previous_rows(rows, conv, turn, k, [text], how="left")
+    item = F.when(F.col(f"prev_{text}").isNotNull(), F.struct(F.negative("j").alias("o"), normalize(f"prev_{text}").alias("t")))
+    return (p.groupBy(conv, turn).agg(F.array_sort(F.collect_list(item)).alias("_c"))
+            .select(conv, turn, truncate_tail(F.array_join(F.transform("_c", lambda s: s["t"]), sep), words).alias("context")))

@@ -102,3 +102,19 @@ def test_stream_pending_drops_late_redelivery(spark):
         .write.parquet(src + "/b2")
     res = ST.stream_pending(spark, src + "/*", out, ck, sch)
     assert sorted(r.event_id for r in res.collect()) == [1, 2, 3]
+
+
+def test_sharded_generation_equals_unsharded(spark):
+    q = Tables(spark, SF).fx_queries
+    one = {r.query_id: r.enhanced_query for r in INF.generate(q.coalesce(1), batch_size=16).collect()}
+    many = {r.query_id: r.enhanced_query for r in INF.generate(q.repartition(7), batch_size=16).collect()}
+    assert one == many
+
+
+def test_sweep_skips_finished_pairs(spark):
+    q = Tables(spark, SF).fx_queries
+    done = q.limit(5).select(F.lit("c1").alias("checkpoint"), "query_id")
+    out = INF.sweep(q, ["c1", "c2"], done)
+    n = q.count()
+    assert out.count() == 2 * n - 5
+    assert out.filter("checkpoint = 'c2'").first().enhanced_query.endswith("[c2]")
