@@ -77,25 +77,41 @@ def _lookup_join(items: DataFrame, vocab: DataFrame, on: str, bounded: bool, key
     return items.join(v, [on, "_qx_salt"], "left").drop("_qx_salt")
 
 
-def _regroup(df: DataFrame, pieces: DataFrame, keys: list[str], value: Column, out_col: str, elem) -> DataFrame:
+def _regroup(base: DataFrame, pieces: DataFrame, keys: list[str], value: Column, out_col: str, elem) -> DataFrame:
     """Put exploded pieces back in position order per row (one row's pieces per group) and
-    re-attach them to the row by its unique key."""
+    re-attach them to the row.  ``base`` is hash-partitioned on ``keys`` and the pieces
+    derive from it through narrow operators, so neither the group-by nor the join back
+    needs another exchange."""
     grouped = (pieces.groupBy(*keys)
                .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v")))))
                     .alias("_qx_p"))
                .select(*keys, F.transform("_qx_p", lambda x: x["v"].cast(elem)).alias(out_col)))
-    return df.join(grouped, keys)
+    return base.join(grouped, keys)
+
+
+def _head_or_tail(arr: Column, n: int | None, side: str) -> Column:
+    if n is None:
+        return arr
+    if side == "head":
+        return F.slice(arr, 1, n)
+    return F.slice(arr, F.greatest(F.size(arr) - F.lit(n) + 1, F.lit(1)), F.lit(n))
 
 
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, out_col: str = "ids", keys: list[str] | None = None,
-           max_size: int | None = None, salt: int = 32) -> DataFrame:
-    """Text to an id array (unknown -> ``UNK_ID``), token order kept.  ``keys`` must be unique."""
+           max_size: int | None = None, salt: int = 32, max_tokens: int | None = None,
+           side: str = "head") -> DataFrame:
+    """Text to an id array (unknown -> ``UNK_ID``), token order kept.  ``keys`` must be unique.
+
+    ``max_tokens`` keeps only the head (or tail) tokens before the lookup: the same ids as
+    truncating the encoded array afterwards (C4), without exploding the rest.
+    """
     if not keys:
         raise ValueError("encode needs unique row keys")
     bounded = max_size is not None and max_size <= BROADCAST_LIMIT
-    toks = df.select(*keys, F.posexplode_outer(tokenize(text_col)).alias("pos", "token"))
+    base = df.repartition(*keys)
+    toks = base.select(*keys, F.posexplode_outer(_head_or_tail(tokenize(text_col), max_tokens, side)).alias("pos", "token"))
     joined = _lookup_join(toks, vocab.select("token", "id"), "token", bounded, keys, salt)
-    return _regroup(df, joined, keys, F.coalesce("id", F.lit(UNK_ID)), out_col, "bigint")
+    return _regroup(base, joined, keys, F.coalesce("id", F.lit(UNK_ID)), out_col, "bigint")
 
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text", keys: list[str] | None = None,
@@ -104,9 +120,10 @@ def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text",
     if not keys:
         raise ValueError("decode needs unique row keys")
     bounded = max_size is not None and max_size <= BROADCAST_LIMIT
-    ids = df.select(*keys, F.posexplode_outer(F.filter(_c(ids_col), lambda i: i >= len(SPECIALS))).alias("pos", "id"))
+    base = df.repartition(*keys)
+    ids = base.select(*keys, F.posexplode_outer(F.filter(_c(ids_col), lambda i: i >= len(SPECIALS))).alias("pos", "id"))
     joined = _lookup_join(ids, vocab.select("id", "token"), "id", bounded, keys, salt)
-    out = _regroup(df, joined, keys, F.col("token"), "_qx_words", "string")
+    out = _regroup(base, joined, keys, F.col("token"), "_qx_words", "string")
     return out.withColumn(out_col, F.trim(F.array_join("_qx_words", " "))).drop("_qx_words")
 
 

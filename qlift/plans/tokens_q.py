@@ -130,8 +130,9 @@ FROM (SELECT doc_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) A
                CAST((row_number() OVER (ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch_id FROM enc) AS a) AS b""")
 def c07(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), keys=["doc_id"], max_size=VOCAB_SIZE)
-    enc = enc.select("doc_id", AR.truncate_ids("ids", 128).alias("ids"))
+    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), keys=["doc_id"], max_size=VOCAB_SIZE,
+                    max_tokens=128)
+    enc = enc.select("doc_id", "ids")
     padded = TK.pad_batch(TK.assign_batches(enc, "doc_id", 16), "ids")
     return padded.select("doc_id", "batch_id", AR.ids_to_text("ids").alias("input_ids"),
                          AR.ids_to_text("attention_mask").alias("attention_mask"))
@@ -142,7 +143,7 @@ SELECT conv_id, turn, {_s('list_concat(list_slice(ids, 1, 64), list_resize([]::B
 FROM enc""")
 def c08(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE)
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE, max_tokens=64)
     return enc.select("conv_id", "turn", AR.ids_to_text(AR.pad_fixed("ids", 64, TK.PAD_ID)).alias("ids"))
 
 
