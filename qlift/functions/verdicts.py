@@ -20,6 +20,8 @@ BINARY = {"Highly Likely": True, "Highly Unlikely": False}
 
 EFFORT_SCHEMA = "explanation string, comprehension_score string, modification_score string"
 BINARY_SCHEMA = "Score string, Explanation string"
+_CORRUPT = "_corrupt_record"
+_JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
 
 # One review line: "- <criterion>: <label>"; "- Review <criterion>: ..." lines are prose.
 REVIEW_LINE_RE = r"^- (?!Review )([^:]+):(.*)$"
@@ -29,22 +31,33 @@ def is_json_object(c) -> Column:
     return F.try_parse_json(_c(c)).isNotNull() & F.ltrim(_c(c)).startswith("{")
 
 
+def parse_json_object(c, schema: str) -> Column:
+    """One JSON parse: the struct of ``schema``, or null when the text is not a JSON object."""
+    v = F.from_json(_c(c), f"{schema}, {_CORRUPT} string", _JSON_OPTS)
+    fields = [f.strip().split(" ")[0] for f in schema.split(",")]
+    ok = v[_CORRUPT].isNull() & F.ltrim(_c(c)).startswith("{")
+    return F.when(ok, F.struct(*[v[f].alias(f) for f in fields]))
+
+
 def parse_effort(c) -> Column:
-    """F2: struct(explanation, comprehension_score, modification_score); all null when malformed."""
-    return F.when(is_json_object(c), F.from_json(_c(c), EFFORT_SCHEMA))
+    """F2: struct(explanation, comprehension_score, modification_score); null when malformed."""
+    return parse_json_object(c, EFFORT_SCHEMA)
 
 
-def parse_binary(c) -> Column:
+def binary_verdict(score) -> Column:
     """True for 'Highly Likely', False for 'Highly Unlikely', else null."""
-    score = F.from_json(_c(c), BINARY_SCHEMA)["Score"]
     out = F.lit(None).cast("boolean")
     for label, value in BINARY.items():
-        out = F.when(score == label, F.lit(value)).otherwise(out)
-    return F.when(is_json_object(c), out)
+        out = F.when(_c(score) == label, F.lit(value)).otherwise(out)
+    return out
+
+
+def parse_binary(c) -> Column:
+    return binary_verdict(parse_json_object(c, BINARY_SCHEMA)["Score"])
 
 
 def binary_explanation(c) -> Column:
-    return F.when(is_json_object(c), F.from_json(_c(c), BINARY_SCHEMA)["Explanation"])
+    return parse_json_object(c, BINARY_SCHEMA)["Explanation"]
 
 
 def review_lines(c) -> Column:

@@ -46,11 +46,13 @@ def judge_requests(metric: str, df: DataFrame, values: dict, keys: list[str] = K
 
 def parse_effort(df: DataFrame, raw: str = "raw", keys: list[str] = K) -> DataFrame:
     """F2 (+F5): effort labels, explanation and their 1..4 scores; nulls when malformed."""
-    v = V.parse_effort(F.col(raw))
-    return df.select(*keys, v["explanation"].alias("explanation"),
-                     v["comprehension_score"].alias("comprehension"), v["modification_score"].alias("modification"),
-                     V.ordinal(v["comprehension_score"]).alias("comprehension_score"),
-                     V.ordinal(v["modification_score"]).alias("modification_score"))
+    # parse once into a column; fields are read from it (the parse is not repeated per field)
+    p = df.select(*keys, V.parse_effort(F.col(raw)).alias("_qx_v"))
+    v = F.col("_qx_v")
+    return p.select(*keys, v["explanation"].alias("explanation"),
+                    v["comprehension_score"].alias("comprehension"), v["modification_score"].alias("modification"),
+                    V.ordinal(v["comprehension_score"]).alias("comprehension_score"),
+                    V.ordinal(v["modification_score"]).alias("modification_score"))
 
 
 def parse_review(df: DataFrame, raw: str = "raw", keys: list[str] = K) -> DataFrame:
@@ -70,7 +72,9 @@ def score_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 def parse_binary(df: DataFrame, raw: str = "raw", keys: list[str] = K) -> DataFrame:
     """Highly Likely -> true, Highly Unlikely -> false, anything else -> null."""
-    return df.select(*keys, V.parse_binary(F.col(raw)).alias("verdict"), V.binary_explanation(F.col(raw)).alias("explanation"))
+    p = df.select(*keys, V.parse_json_object(F.col(raw), V.BINARY_SCHEMA).alias("_qx_v"))
+    return p.select(*keys, V.binary_verdict(F.col("_qx_v.Score")).alias("verdict"),
+                    F.col("_qx_v.Explanation").alias("explanation"))
 
 
 def judge_validity(df: DataFrame, criteria: list[str], raw: str = "raw", group=GROUP) -> DataFrame:
