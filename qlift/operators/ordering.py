@@ -33,20 +33,43 @@ def _cols(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate, capped by the summed size of the plan's leaves (scans).
+
+    Without CBO a join is estimated as the product of its inputs, so the plain estimate
+    can be absurd after joins; the leaf total bounds the real volume far better.
+    """
+    def nbytes(node) -> int:
+        v = node.stats().sizeInBytes()  # a Scala BigInt; py4j may hand it over as int
+        return int(v) if isinstance(v, int) else int(v.toString())
+
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        size = nbytes(plan)
+        it = plan.collectLeaves().iterator()
+        total = 0
+        while it.hasNext():
+            b = nbytes(it.next())
+            if b < (1 << 62):  # leaves of unknown size report Long.MaxValue: skip them
+                total += b
+        return min(size, total) if total > 0 else size
+    except Exception:  # stats unavailable (e.g. Spark Connect)
+        return None
+
+
 def default_partitions(df: DataFrame) -> int:
-    """Range count that grows with the data: Catalyst's size estimate of the input divided by
-    the advisory partition size (at least ``spark.sql.shuffle.partitions``)."""
+    """Range count that grows with the data: estimated input bytes divided by the advisory
+    partition size (at least ``spark.sql.shuffle.partitions``, at most 100k)."""
     conf = df.sparkSession.conf
     base = int(conf.get("spark.sql.shuffle.partitions"))
     try:
-        target = int(str(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")).rstrip("b").rstrip("B"))
+        target = int(str(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")).rstrip("bB"))
     except ValueError:
         target = 64 << 20
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # stats unavailable (e.g. Connect): fall back to the session setting
+    size = _estimated_bytes(df)
+    if size is None:
         return base
-    return max(base, min(-(-size // max(target, 1)), 1 << 20))
+    return max(base, min(-(-size // max(target, 1)), 100_000))
 
 
 def dense_index(df: DataFrame, order_by, index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
