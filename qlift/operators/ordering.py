@@ -57,15 +57,22 @@ def _estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def _parse_bytes(v) -> int:
+    """Spark size strings: ``67108864``, ``64m``, ``64MB``, ``1g`` ..."""
+    import re
+
+    m = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", str(v).lower())
+    if not m:
+        return 64 << 20
+    return int(m.group(1)) << (10 * " kmgtp".index(m.group(2) or " "))
+
+
 def default_partitions(df: DataFrame) -> int:
     """Range count that grows with the data: estimated input bytes divided by the advisory
     partition size (at least ``spark.sql.shuffle.partitions``, at most 100k)."""
     conf = df.sparkSession.conf
     base = int(conf.get("spark.sql.shuffle.partitions"))
-    try:
-        target = int(str(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")).rstrip("bB"))
-    except ValueError:
-        target = 64 << 20
+    target = _parse_bytes(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
     size = _estimated_bytes(df)
     if size is None:
         return base
