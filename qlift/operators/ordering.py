@@ -52,7 +52,9 @@ def _estimated_bytes(df: DataFrame) -> int | None:
             b = nbytes(it.next())
             if b < (1 << 62):  # leaves of unknown size report Long.MaxValue: skip them
                 total += b
-        return min(size, total) if total > 0 else size
+        if total > 0:
+            return min(size, total)
+        return size if size < (1 << 62) else None
     except Exception:  # stats unavailable (e.g. Spark Connect)
         return None
 
