@@ -27,10 +27,6 @@ _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
 REVIEW_LINE_RE = r"^- (?!Review )([^:]+):(.*)$"
 
 
-def is_json_object(c) -> Column:
-    return F.try_parse_json(_c(c)).isNotNull() & F.ltrim(_c(c)).startswith("{")
-
-
 def parse_json_object(c, schema: str) -> Column:
     """One JSON parse: the struct of ``schema``, or null when the text is not a JSON object."""
     v = F.from_json(_c(c), f"{schema}, {_CORRUPT} string", _JSON_OPTS)

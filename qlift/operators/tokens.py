@@ -17,11 +17,8 @@ Sub-word tokenizers are not rebuilt; a word-level vocabulary is a corpus job:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.arrays import IGNORE_INDEX
 from ..functions.text import WS, _c
@@ -199,7 +196,3 @@ def plan_steps(df: DataFrame, gpus: int = 8) -> DataFrame:
             .select("profile", "rows", F.col("steps").alias("steps_per_epoch"),
                     F.greatest(every("eval_div"), F.lit(1)).cast("bigint").alias("eval_steps"),
                     every("save_div").alias("save_steps"), every("log_div").alias("logging_steps")))
-
-
-def ceil_div(a: int, b: int) -> int:
-    return math.ceil(a / b)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..fixtures import Tables
 from ..operators import conversations as CV
 from .registry import dnorm, dtrunc, query

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Tables
 from ..functions import arrays as AR
-from ..functions import text as TX
 from ..operators import sharding
 from ..operators import tokens as TK
 from .registry import dnorm, query
