@@ -106,18 +106,35 @@ def row_range(df: DataFrame, order_by, start_index: int = 0, max_limit: int = -1
     return out.filter(cond)
 
 
-# Above this many rows a top-n would funnel n rows per task into one final task.
-TOP_N_LIMIT = 100_000
+# A top-n (TakeOrderedAndProject) sends n rows from every input partition to one final
+# task; it is used only while n x partitions stays below this many rows.
+TOP_N_ROWS = 5_000_000
+
+
+def estimated_partitions(df: DataFrame) -> int:
+    """Partitions the input will have: size estimate / ``spark.sql.files.maxPartitionBytes``."""
+    conf = df.sparkSession.conf
+    base = int(conf.get("spark.sql.shuffle.partitions"))
+    size = _estimated_bytes(df)
+    if size is None:
+        return base
+    split = _parse_bytes(conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    return max(base, -(-size // max(split, 1)))
+
+
+def top_n_fits(df: DataFrame, n: int) -> bool:
+    return n * estimated_partitions(df) <= TOP_N_ROWS
 
 
 def first_n(df: DataFrame, order_by, n: int = -1) -> DataFrame:
     """First ``n`` rows in order (``-1`` = all), never more than exist.
 
-    Small ``n``: ``orderBy().limit()`` (TakeOrderedAndProject, each task keeps its n best).
-    Large ``n``: the distributed ``dense_index`` and a filter, so no single task sees n rows.
+    Small ``n`` x partitions: ``orderBy().limit()`` (each task keeps its n best, one task
+    merges them).  Otherwise the distributed ``dense_index`` and a filter, so no task
+    receives n rows from every partition.
     """
     if n is None or n < 0:
         return df.orderBy(*_cols(order_by))
-    if n <= TOP_N_LIMIT:
+    if top_n_fits(df, n):
         return df.orderBy(*_cols(order_by)).limit(n)
     return row_range(df, order_by, 0, n, "_qx_first").drop("_qx_first")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import IGNORE_INDEX
 from ..functions.text import WS, _c
-from .ordering import TOP_N_LIMIT, dense_index
+from .ordering import dense_index, top_n_fits
 
 # Special tokens, in id order.
 PAD, BOS, EOS, UNK = "<pad>", "<s>", "</s>", "<unk>"
@@ -51,9 +51,9 @@ def build_vocab(df: DataFrame, col: str, max_size: int | None = None) -> DataFra
               .filter(~F.col("token").isin(*SPECIALS)))
     order = [F.col("n").desc(), F.col("token").asc()]
     keep = None if max_size is None else max(max_size - len(SPECIALS), 0)
-    if keep is not None and keep <= TOP_N_LIMIT:
-        # bounded top-k: every task keeps its k best, one task merges <= k x tasks rows and
-        # numbers the k survivors (a window over at most k rows)
+    if keep is not None and top_n_fits(counts, keep):
+        # bounded top-k: every task keeps its k best, one task merges <= k x tasks rows
+        # (checked against TOP_N_ROWS) and numbers the k survivors (a window over k rows)
         top = counts.orderBy(*order).limit(keep)
         ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
     else:
