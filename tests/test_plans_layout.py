@@ -26,15 +26,15 @@ def test_no_python_in_relational_plans(spark, key):
 
 def test_read_output_tree_reference_layout(spark):
     root = tempfile.mkdtemp()
-    for model in ("GPT2_medium", "T5_large"):
+    for model in ("model_a", "model_b"):
         os.makedirs(os.path.join(root, model))
         for level in (1, 4):
             with open(os.path.join(root, model, f"level{level}.jsonl"), "w") as f:
                 f.write(json.dumps({"query_id": level, "draft": f"{model}-{level}"}) + "\n")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("draft", T.StringType())])
     got = sorted((r.model, r.level, r.draft) for r in files.read_output_tree(spark, root, schema).collect())
-    assert got == [("GPT2_medium", 1, "GPT2_medium-1"), ("GPT2_medium", 4, "GPT2_medium-4"),
-                   ("T5_large", 1, "T5_large-1"), ("T5_large", 4, "T5_large-4")]
+    assert got == [("model_a", 1, "model_a-1"), ("model_a", 4, "model_a-4"),
+                   ("model_b", 1, "model_b-1"), ("model_b", 4, "model_b-4")]
 
 
 def test_followups_on_one_hot_conversation(spark):
