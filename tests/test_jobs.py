@@ -118,3 +118,24 @@ def test_sweep_skips_finished_pairs(spark):
     n = q.count()
     assert out.count() == 2 * n - 5
     assert out.filter("checkpoint = 'c2'").first().enhanced_query.endswith("[c2]")
+
+
+def test_stream_log_levels_drops_late_lines(spark):
+    src, out, ck = scratch_path(spark, "l-src"), scratch_path(spark, "l-out"), scratch_path(spark, "l-ck")
+
+    def line(h, m, level):
+        ampm, hh = ("AM", h if h else 12) if h < 12 else ("PM", h - 12 if h > 12 else 12)
+        return f"01/02/2024 {hh:02d}:{m:02d}:00 {ampm} [{level}] epoch : 1 - average_val_loss : 10"
+
+    first = [line(0, 5, "INFO"), line(0, 40, "INFO"), line(2, 0, "WARN"), line(5, 30, "INFO")]
+    spark.createDataFrame([(x,) for x in first], "value string").coalesce(1).write.text(src + "/b1")
+    ST.stream_log_levels(spark, src + "/*", out, ck)
+    # watermark is now 04:30: a line for 00:10 is late and dropped; a line for 05:10 still counts
+    late = [line(0, 10, "INFO"), line(5, 10, "INFO"), line(9, 0, "INFO")]
+    spark.createDataFrame([(x,) for x in late], "value string").coalesce(1).write.text(src + "/b2")
+    res = ST.stream_log_levels(spark, src + "/*", out, ck)
+    got = {(str(r.window_start), r.level): r.n for r in res.collect()}
+    assert got[("2024-01-02 00:00:00", "INFO")] == 2          # the late 00:10 line was dropped
+    assert got[("2024-01-02 02:00:00", "WARN")] == 1
+    assert got[("2024-01-02 05:00:00", "INFO")] == 2          # closed by the 09:00 line, includes 05:10
+    assert ("2024-01-02 09:00:00", "INFO") not in got          # still open (watermark 08:00)
