@@ -15,7 +15,9 @@ CK = ["conv_id", "turn"]
 
 
 def _vocab(t: Tables):
-    return TK.build_vocab(t.documents, "text", VOCAB_SIZE)
+    # bounded by VOCAB_SIZE rows; persisted because several plans use it twice (encode and
+    # decode, query and draft encodes) and the two uses are not merged into one exchange
+    return TK.build_vocab(t.documents, "text", VOCAB_SIZE).persist()
 
 
 def _toks(x: str) -> str:
