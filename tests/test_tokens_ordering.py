@@ -82,3 +82,11 @@ def test_pad_batch(spark):
     b = TK.assign_batches(df, "k", 2)
     p = {r.k: (r.batch_id, r.ids, r.attention_mask) for r in TK.pad_batch(b, "ids").collect()}
     assert p == {0: (0, [1, 2], [1, 1]), 1: (0, [3, 0], [1, 0]), 2: (1, [4, 5, 6], [1, 1, 1])}
+
+
+def test_vocab_paths_agree(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    full = {r.token: r.id for r in TK.build_vocab(docs, "text", None).collect()}          # dense_index path
+    capped = {r.token: r.id for r in TK.build_vocab(docs, "text", 300).collect()}        # bounded top-k path
+    assert len(capped) == 300 and all(full[t] == i for t, i in capped.items())
+    assert sorted(full.values()) == list(range(len(full)))
