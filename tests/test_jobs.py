@@ -139,3 +139,12 @@ def test_stream_log_levels_drops_late_lines(spark):
     assert got[("2024-01-02 02:00:00", "WARN")] == 1
     assert got[("2024-01-02 05:00:00", "INFO")] == 2          # closed by the 09:00 line, includes 05:10
     assert ("2024-01-02 09:00:00", "INFO") not in got          # still open (watermark 08:00)
+
+
+def test_write_jsonl_keeps_non_ascii(spark):
+    q = Tables(spark, SF).fx_queries
+    path = files.write_jsonl(q, scratch_path(spark, "w-json"))
+    raw = spark.read.text(path)
+    assert raw.filter(F.col("value").rlike("[^\\x00-\\x7f]")).count() > 0      # accents written as UTF-8
+    assert raw.filter(F.col("value").contains("\\u00")).count() == 0           # not as \\u escapes
+    assert files.read_queries(spark, path).count() == q.count()
