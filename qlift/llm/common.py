@@ -36,3 +36,26 @@ def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows go to the folder of ``spark.checkpoint.dir``, which all executors share."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded_sample(rows: DataFrame, n: int, *key: str, seed: int = 7) -> DataFrame:
+    """About ``n`` of the rows (all, if there are fewer), chosen by a hash of the key columns: the same ones each run.
+
+    One count comes back to the driver; the number kept varies around ``n`` by a few square roots of it.
+    """
+    total = rows.count()
+    if total <= n:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(1 << 30)) < int(n / total * (1 << 30)))
+
+
+def chunks(lengths, limit: int):
+    """Slices ``(from, to)`` of consecutive items whose lengths sum to about ``limit`` (one long item: a slice of its own)."""
+    at, size = 0, 0
+    for i, n in enumerate(lengths):
+        if size and size + n > limit:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(lengths):
+        yield at, len(lengths)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii
+from . import bpe, langid, mixing, pii, simhash
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op3_simhash": simhash.op3_simhash,
     "op7_pii": pii.op7_pii,
+    "op8_langid": langid.op8_langid,
     "op10_mixing": mixing.op10_mixing,
 }
 
