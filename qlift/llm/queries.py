@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pii, simhash
+from . import bpe, fingerprints, langid, mixing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_pii": pii.op7_pii,
     "op8_langid": langid.op8_langid,
+    "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 
