@@ -59,3 +59,20 @@ def chunks(lengths, limit: int):
         size += n
     if at < len(lengths):
         yield at, len(lengths)
+
+
+def forest(near):
+    """Connect what a boolean matrix connects: ``(rows, their root, columns, their root)``, roots being column numbers;
+    rows and columns without a link are left out."""
+    import numpy as np
+
+    rows, cols = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
+    m = near[np.ix_(rows, cols)]
+    label, of_row = np.arange(len(cols)), np.zeros(len(rows), int)
+    while len(cols):
+        of_row = np.where(m, label[None, :], len(cols)).min(axis=1)
+        new = np.minimum(label, np.where(m, of_row[:, None], len(cols)).min(axis=0))
+        if (new == label).all():
+            break
+        label = new
+    return rows, cols[of_row], cols, cols[label]

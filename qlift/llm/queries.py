@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, mixing, pii, quality, simhash, toxicity
+from . import bpe, embed_dedup, fingerprints, langid, mixing, pii, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_embed_dedup": embed_dedup.op1_embed_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_embed_dedup": embed_dedup.OP1_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, prepare, saved, text_column
+from .common import forest, only, prepare, saved, text_column
 from .components import connected
 
 SEED = 42
@@ -135,20 +135,8 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _forest(asked: np.ndarray, stored: np.ndarray, max_bits: int):
     """Links that connect what ``asked`` x ``stored`` connects, at most one per row of either."""
-    near = _distance(asked[:, None], stored[None, :]) <= max_bits
-    rows, cols = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
-    near, q, s = near[np.ix_(rows, cols)], asked[rows], stored[cols]
-    if not len(rows):
-        return q, s
-    top = len(s)
-    label = np.arange(top)
-    while True:
-        of_row = np.where(near, label[None, :], top).min(axis=1)
-        new = np.minimum(label, np.where(near, of_row[:, None], top).min(axis=0))
-        if (new == label).all():
-            break
-        label = new
-    return np.concatenate([q, s]), np.concatenate([s[of_row], s[label]])
+    rows, row_root, cols, col_root = forest(_distance(asked[:, None], stored[None, :]) <= max_bits)
+    return np.concatenate([asked[rows], stored[cols]]), np.concatenate([stored[row_root], stored[col_root]])
 
 
 def _links(max_bits: int):
