@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, fingerprints, langid, mixing, pii, quality, simhash, toxicity
+from . import bpe, embed_dedup, fingerprints, langid, mixing, pii, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_embed_dedup": embed_dedup.op1_embed_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_pii": pii.op7_pii,
