@@ -3,90 +3,50 @@
 ``row_number() over (order by k)`` without ``partitionBy`` moves every row into one task.
 ``dense_index`` instead:
 
-1. range-partitions on the order key (explicit partition count, so AQE keeps it) and
-   sorts inside each range; a hot key prefix is spread over several ranges because the
-   key is unique;
-2. counts rows per range (tiny: one row per partition) and turns the counts into running
-   offsets, which are broadcast (bounded by the partition count, not by the data);
-3. adds the in-partition position (low 33 bits of ``monotonically_increasing_id``).
-
-The ranged, sorted rows are persisted (memory and disk) so that the count branch and the
-row branch read one materialisation: two separate range exchanges could sample different
-bounds when the input order is not deterministic (e.g. straight out of an aggregate).
-A lost cached block is recomputed through the same shuffle dependency (same range
-bounds) and re-sorted on the unique key, so a recomputed task yields the same index.
-The order key must be unique; callers pass a tie-break column when it is not.
+1. takes the order keys alone (the payload never passes the range exchange), range-partitions
+   them into ``spark.sql.shuffle.partitions`` ranges, sorts inside each and writes them to the
+   shared checkpoint folder, so that every later read sees the same ranges;
+2. counts rows per range (one row per partition) and turns the counts into running offsets,
+   which are broadcast (bounded by the partition count, not by the data);
+3. adds the in-partition position (low 33 bits of ``monotonically_increasing_id``) and joins
+   the index to the rows by their unique key.
+
+The order key must be unique; callers pass a tie-break column when it is not.  Nothing is
+cached; Spark removes the checkpoint files with the plan that reads them where
+``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _MASK = (1 << 33) - 1
 
 
-def _cols(order_by) -> list[Column]:
-    if isinstance(order_by, (str, Column)):
-        order_by = [order_by]
-    return [F.col(c) if isinstance(c, str) else c for c in order_by]
-
-
-def _estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate, capped by the summed size of the plan's leaves (scans).
-
-    Without CBO a join is estimated as the product of its inputs, so the plain estimate
-    can be absurd after joins; the leaf total bounds the real volume far better.
-    """
-    def nbytes(node) -> int:
-        v = node.stats().sizeInBytes()  # a Scala BigInt; py4j may hand it over as int
-        return int(v) if isinstance(v, int) else int(v.toString())
-
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        size = nbytes(plan)
-        it = plan.collectLeaves().iterator()
-        total = 0
-        while it.hasNext():
-            b = nbytes(it.next())
-            if b < (1 << 62):  # leaves of unknown size report Long.MaxValue: skip them
-                total += b
-        if total > 0:
-            return min(size, total)
-        return size if size < (1 << 62) else None
-    except Exception:  # stats unavailable (e.g. Spark Connect)
-        return None
-
-
-def _parse_bytes(v) -> int:
-    """Spark size strings: ``67108864``, ``64m``, ``64MB``, ``1g`` ..."""
-    import re
-
-    m = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", str(v).lower())
-    if not m:
-        return 64 << 20
-    return int(m.group(1)) << (10 * " kmgtp".index(m.group(2) or " "))
-
-
-def default_partitions(df: DataFrame) -> int:
-    """Range count that grows with the data: estimated input bytes divided by the advisory
-    partition size (at least ``spark.sql.shuffle.partitions``, at most 100k)."""
-    conf = df.sparkSession.conf
-    base = int(conf.get("spark.sql.shuffle.partitions"))
-    target = _parse_bytes(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-    size = _estimated_bytes(df)
-    if size is None:
-        return base
-    return max(base, min(-(-size // max(target, 1)), 100_000))
+def _order(order_by) -> list[tuple[str, bool]]:
+    """Column names with their direction; ``-name`` is descending."""
+    names = [order_by] if isinstance(order_by, str) else list(order_by)
+    return [(n.removeprefix("-"), n.startswith("-")) for n in names]
 
 
-def dense_index(df: DataFrame, order_by, index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
-    keys = _cols(order_by)
-    n = num_partitions or default_partitions(df)
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_qx_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_qx_pid", F.shiftright("_qx_mid", 33)).persist(StorageLevel.MEMORY_AND_DISK)
+def _sorted_by(name: str, descending: bool) -> Column:
+    return F.col(name).desc() if descending else F.col(name).asc()
+
+
+def index_keys(keys: DataFrame, order: list[Column], index_col: str, num_partitions: int | None = None) -> DataFrame:
+    """``keys`` (order columns only) with their dense index."""
+    spark = keys.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (keys.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_qx_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
+    ranged = ranged.withColumn("_qx_pid", F.shiftright("_qx_mid", 33))
     counts = ranged.groupBy("_qx_pid").agg(F.count(F.lit(1)).alias("_qx_n"))
     # one row per range partition: a window over it is bounded by n, not by the data
     w = Window.orderBy("_qx_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,6 +56,18 @@ def dense_index(df: DataFrame, order_by, index_col: str = "idx", num_partitions:
     return out.drop("_qx_mid", "_qx_pid", "_qx_off")
 
 
+def dense_index(df: DataFrame, order_by, index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
+    """``df`` with the dense index of its rows in the order of ``order_by`` (names; ``-name`` is descending)."""
+    order = _order(order_by)
+    names = [f"_qx_k{i}" for i in range(len(order))]
+    keys = df.select(*[F.col(c).alias(n) for (c, _), n in zip(order, names)])
+    indexed = index_keys(keys, [_sorted_by(n, d) for n, (_, d) in zip(names, order)], index_col, num_partitions)
+    if {c for c, _ in order} == set(df.columns):  # nothing but the keys: no join needed
+        return indexed.select(*[F.col(names[[o for o, _ in order].index(c)]).alias(c) for c in df.columns], index_col)
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for (c, _), n in zip(order, names)])
+    return df.join(indexed, on).drop(*names)
+
+
 def row_range(df: DataFrame, order_by, start_index: int = 0, max_limit: int = -1,
               index_col: str = "idx") -> DataFrame:
     """Rows with ``start_index <= idx < max_limit``; ``max_limit <= 0`` means no upper bound."""
@@ -106,35 +78,11 @@ def row_range(df: DataFrame, order_by, start_index: int = 0, max_limit: int = -1
     return out.filter(cond)
 
 
-# A top-n (TakeOrderedAndProject) sends n rows from every input partition to one final
-# task; it is used only while n x partitions stays below this many rows.
-TOP_N_ROWS = 5_000_000
-
-
-def estimated_partitions(df: DataFrame) -> int:
-    """Partitions the input will have: size estimate / ``spark.sql.files.maxPartitionBytes``."""
-    conf = df.sparkSession.conf
-    base = int(conf.get("spark.sql.shuffle.partitions"))
-    size = _estimated_bytes(df)
-    if size is None:
-        return base
-    split = _parse_bytes(conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    return max(base, -(-size // max(split, 1)))
-
-
-def top_n_fits(df: DataFrame, n: int) -> bool:
-    return n * estimated_partitions(df) <= TOP_N_ROWS
-
-
 def first_n(df: DataFrame, order_by, n: int = -1) -> DataFrame:
-    """First ``n`` rows in order (``-1`` = all), never more than exist.
-
-    Small ``n`` x partitions: ``orderBy().limit()`` (each task keeps its n best, one task
-    merges them).  Otherwise the distributed ``dense_index`` and a filter, so no task
-    receives n rows from every partition.
-    """
+    """First ``n`` rows in order (``-1`` = all), never more than exist; one plan whatever ``n``:
+    the distributed index and a filter, so no task receives n rows from every partition."""
     if n is None or n < 0:
-        return df.orderBy(*_cols(order_by))
-    if top_n_fits(df, n):
-        return df.orderBy(*_cols(order_by)).limit(n)
+        return df.orderBy(*[_sorted_by(*o) for o in _order(order_by)])
+    if n == 0:
+        return df.limit(0)
     return row_range(df, order_by, 0, n, "_qx_first").drop("_qx_first")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,28 +20,25 @@ def write_shards(df: DataFrame, path: str, col: str = "shard") -> str:
     return path
 
 
-def bucket_size(rows: int, workers: int) -> int:
-    return max(1, math.ceil(rows / workers)) if workers > 0 else rows
-
-
 def contiguous_buckets(df: DataFrame, order_by, workers: int):
     """Worker k gets rows ``[k*size, min((k+1)*size, rows))`` with ``size = ceil(rows/workers)``.
 
     Returns ``(rows_with_worker_and_pos, plan)``; the plan has one row per worker, late
-    workers may be empty (never a negative count).
+    workers may be empty (never a negative count).  The row count is a scalar subquery of the
+    plan, not a driver action.
     """
     spark = df.sparkSession
-    indexed = dense_index(df, order_by, "_qx_i")
-    rows = indexed.count()
-    size = bucket_size(rows, workers)
-    assigned = (indexed.withColumn("worker", F.floor(F.col("_qx_i") / F.lit(size)).cast("bigint"))
-                .withColumn("pos", (F.col("_qx_i") - F.col("worker") * F.lit(size)).cast("bigint"))
-                .drop("_qx_i"))
+    rows = df.select(F.count(F.lit(1))).scalar()
+    size = F.greatest(F.lit(1), F.ceil(rows / F.lit(workers))).cast("bigint")
+    indexed = dense_index(df, order_by, "_qx_i").withColumn("_qx_size", size)
+    assigned = (indexed.withColumn("worker", F.expr("_qx_i div _qx_size"))
+                .withColumn("pos", F.col("_qx_i") - F.col("worker") * F.col("_qx_size"))
+                .drop("_qx_i", "_qx_size"))
     k = F.col("id")
     plan = spark.range(workers).select(
         k.alias("worker"),
-        F.least(k * size, F.lit(rows)).cast("bigint").alias("start_idx"),
-        F.least((k + 1) * size, F.lit(rows)).cast("bigint").alias("end_idx"))
+        F.least(k * size, rows).cast("bigint").alias("start_idx"),
+        F.least((k + 1) * size, rows).cast("bigint").alias("end_idx"))
     plan = plan.withColumn("n_rows", (F.col("end_idx") - F.col("start_idx")).cast("bigint"))
     return assigned, plan
 

@@ -3,34 +3,33 @@
 Sub-word tokenizers are not rebuilt; a word-level vocabulary is a corpus job:
 
 * ``build_vocab`` counts tokens with a partial (map-side) aggregate, so a hot token is
-  pre-summed per task before the shuffle, and ranks them with ``dense_index``.
+  pre-summed per task before the shuffle, and ranks them with ``dense_index``.  Every token
+  is kept unless the caller asks for ``max_size``.
 * ``encode``/``decode`` explode tokens with their position, look them up by an exact
-  equi-join and put them back in order per row (a group holds one row's tokens only):
-  - a vocabulary bounded by ``max_size <= BROADCAST_LIMIT`` is a broadcast hash join
-    (size proven by the cap, no shuffle of the tokens for the lookup);
-  - an unbounded vocabulary is joined with salting: tokens get a salt from their row key
-    and position, the vocabulary is replicated per salt, so a hot token is spread over
-    ``salt`` tasks instead of one.
+  equi-join and put them back in order per row (a group holds one row's tokens only).  The
+  ``HEAD`` most frequent tokens (ids are dense, so their number is proven) are looked up by a
+  broadcast join: these are the hot keys.  The rest is joined by shuffle; tokens found already
+  travel under a key of their own there, so no key is hot and nothing is replicated.
   (A map column with ``element_at`` would avoid the regroup, but Spark looks map keys up
   linearly, which costs vocabulary-size comparisons per token.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import IGNORE_INDEX
 from ..functions.text import WS, _c
-from .ordering import dense_index, top_n_fits
+from .ordering import dense_index
 
 # Special tokens, in id order.
-PAD, BOS, EOS, UNK = "<pad>", "<s>", "</s>", "<unk>"
-SPECIALS = [PAD, BOS, EOS, UNK, "<"]
-PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
+BOS, EOS, PAD, UNK = "<s>", "</s>", "<pad>", "<unk>"
+SPECIALS = [BOS, EOS, PAD, UNK, "<"]
+BOS_ID, EOS_ID, PAD_ID, UNK_ID = 0, 1, 2, 3
 
-# Largest vocabulary (entries) shipped to every task as a broadcast hash table.
-BROADCAST_LIMIT = 1 << 20
+# Entries of the vocabulary (the most frequent ones) that are shipped to every task.
+HEAD = 10_000
 
 
 def tokenize(c) -> Column:
@@ -49,78 +48,60 @@ def build_vocab(df: DataFrame, col: str, max_size: int | None = None) -> DataFra
     counts = (df.select(F.explode(tokenize(col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .filter(~F.col("token").isin(*SPECIALS)))
-    order = [F.col("n").desc(), F.col("token").asc()]
-    keep = None if max_size is None else max(max_size - len(SPECIALS), 0)
-    if keep is not None and top_n_fits(counts, keep):
-        # bounded top-k: every task keeps its k best, one task merges <= k x tasks rows
-        # (checked against TOP_N_ROWS) and numbers the k survivors (a window over k rows)
-        top = counts.orderBy(*order).limit(keep)
-        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
-    else:
-        ranked = dense_index(counts, order, "rank")
-        if keep is not None:
-            ranked = ranked.filter(F.col("rank") < F.lit(keep))
+    ranked = dense_index(counts, ["-n", "token"], "rank")
+    if max_size is not None:
+        ranked = ranked.filter(F.col("rank") < F.lit(max(max_size - len(SPECIALS), 0)))
     corpus = ranked.select("token", (F.col("rank") + len(SPECIALS)).cast("bigint").alias("id"), "n")
     return _specials(df.sparkSession).unionByName(corpus)
 
 
-def _lookup_join(items: DataFrame, vocab: DataFrame, on: str, bounded: bool, keys: list[str], salt: int) -> DataFrame:
-    """Attach vocabulary columns to exploded items: broadcast hash join when the vocabulary is
-    bounded, otherwise a salted shuffle join (a hot token is spread over ``salt`` tasks)."""
-    if bounded:
-        return items.join(F.broadcast(vocab), on, "left")
-    items = items.withColumn("_qx_salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(salt)))
-    v = vocab.withColumn("_qx_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    return items.join(v, [on, "_qx_salt"], "left").drop("_qx_salt")
+def _looked_up(items: DataFrame, vocab: DataFrame, on: str, value: str, keys: list[str]) -> DataFrame:
+    """Items with the vocabulary's ``value`` for their ``on`` (null if it has none)."""
+    head = vocab.filter(F.col("id") < HEAD).select(F.col(on).alias("_qx_on"), F.col(value).alias("_qx_head"))
+    tail = vocab.filter(F.col("id") >= HEAD).select(F.col(on).cast("string").alias("_qx_key"), F.col(value).alias("_qx_tail"))
+    found = items.join(F.broadcast(head), F.col(on) == F.col("_qx_on"), "left")
+    own = F.concat(F.lit("\x00"), F.xxhash64(*keys, "pos").cast("string"))  # no token holds a NUL
+    settled = F.col("_qx_head").isNotNull() | F.col(on).isNull()
+    found = found.withColumn("_qx_key", F.when(settled, own).otherwise(F.col(on).cast("string")))
+    return (found.join(tail, "_qx_key", "left").withColumn(value, F.coalesce("_qx_head", "_qx_tail"))
+            .drop("_qx_on", "_qx_key", "_qx_head", "_qx_tail"))
 
 
-def _regroup(base: DataFrame, pieces: DataFrame, keys: list[str], value: Column, out_col: str, elem) -> DataFrame:
-    """Put exploded pieces back in position order per row (one row's pieces per group) and
-    re-attach them to the row.  ``base`` is hash-partitioned on ``keys`` and the pieces
-    derive from it through narrow operators, so neither the group-by nor the join back
-    needs another exchange."""
-    grouped = (pieces.groupBy(*keys)
-               .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v")))))
-                    .alias("_qx_p"))
-               .select(*keys, F.transform("_qx_p", lambda x: x["v"].cast(elem)).alias(out_col)))
-    return base.join(grouped, keys)
+def _regroup(pieces: DataFrame, keys: list[str], kept: list[str], value: Column, out_col: str, elem) -> DataFrame:
+    """Put exploded pieces back in position order per row (one row's pieces per group); the
+    row's other columns ride on its first piece and come back with the same aggregate."""
+    carried = [F.first(c, ignorenulls=True).alias(c) for c in kept]
+    return (pieces.groupBy(*keys)
+            .agg(*carried, F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v")))))
+                 .alias("_qx_p"))
+            .withColumn(out_col, F.transform("_qx_p", lambda x: x["v"].cast(elem))).drop("_qx_p"))
 
 
-def _head_or_tail(arr: Column, n: int | None, side: str) -> Column:
-    if n is None:
-        return arr
-    if side == "head":
-        return F.slice(arr, 1, n)
-    return F.slice(arr, F.greatest(F.size(arr) - F.lit(n) + 1, F.lit(1)), F.lit(n))
+def _pieces(df: DataFrame, keys: list[str], kept: list[str], items: Column, name: str) -> DataFrame:
+    """One row per item; the other columns only on the first (an empty row keeps one piece)."""
+    out = df.select(*keys, *kept, F.posexplode_outer(items).alias("pos", name))
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    return out.select(*keys, *[F.when(first, F.col(c)).alias(c) for c in kept], "pos", name)
 
 
-def encode(df: DataFrame, text_col: str, vocab: DataFrame, out_col: str = "ids", keys: list[str] | None = None,
-           max_size: int | None = None, salt: int = 32, max_tokens: int | None = None,
-           side: str = "head") -> DataFrame:
-    """Text to an id array (unknown -> ``UNK_ID``), token order kept.  ``keys`` must be unique.
-
-    ``max_tokens`` keeps only the head (or tail) tokens before the lookup: the same ids as
-    truncating the encoded array afterwards (C4), without exploding the rest.
-    """
+def encode(df: DataFrame, text_col: str, vocab: DataFrame, out_col: str = "ids", keys: list[str] | None = None) -> DataFrame:
+    """Text to an id array (unknown -> ``UNK_ID``), token order kept.  ``keys`` must be unique."""
     if not keys:
         raise ValueError("encode needs unique row keys")
-    bounded = max_size is not None and max_size <= BROADCAST_LIMIT
-    base = df.repartition(*keys)
-    toks = base.select(*keys, F.posexplode_outer(_head_or_tail(tokenize(text_col), max_tokens, side)).alias("pos", "token"))
-    joined = _lookup_join(toks, vocab.select("token", "id"), "token", bounded, keys, salt)
-    return _regroup(base, joined, keys, F.coalesce("id", F.lit(UNK_ID)), out_col, "bigint")
+    kept = [c for c in df.columns if c not in (*keys, out_col)]
+    toks = _pieces(df, keys, kept, tokenize(text_col), "token")
+    joined = _looked_up(toks, vocab, "token", "id", keys)
+    return _regroup(joined, keys, kept, F.coalesce("id", F.lit(UNK_ID)), out_col, "bigint")
 
 
-def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text", keys: list[str] | None = None,
-           max_size: int | None = None, salt: int = 32) -> DataFrame:
+def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text", keys: list[str] | None = None) -> DataFrame:
     """Ids back to text; special ids skipped; result stripped.  ``keys`` must be unique."""
     if not keys:
         raise ValueError("decode needs unique row keys")
-    bounded = max_size is not None and max_size <= BROADCAST_LIMIT
-    base = df.repartition(*keys)
-    ids = base.select(*keys, F.posexplode_outer(F.filter(_c(ids_col), lambda i: i >= len(SPECIALS))).alias("pos", "id"))
-    joined = _lookup_join(ids, vocab.select("id", "token"), "id", bounded, keys, salt)
-    out = _regroup(base, joined, keys, F.col("token"), "_qx_words", "string")
+    kept = [c for c in df.columns if c not in (*keys, out_col)]
+    ids = _pieces(df, keys, kept, F.filter(_c(ids_col), lambda i: i >= len(SPECIALS)), "id")
+    joined = _looked_up(ids, vocab, "id", "token", keys)
+    out = _regroup(joined, keys, kept, F.col("token"), "_qx_words", "string")
     return out.withColumn(out_col, F.trim(F.array_join("_qx_words", " "))).drop("_qx_words")
 
 
@@ -134,7 +115,7 @@ def trim_report(df: DataFrame, worker_col: str, trimmed_col: str) -> DataFrame:
 def assign_batches(df: DataFrame, order_by, batch_size: int, col: str = "batch_id") -> DataFrame:
     """``batch_id = idx div batch_size``; the last batch may be partial."""
     out = dense_index(df, order_by, "_qx_i")
-    return (out.withColumn(col, F.floor(F.col("_qx_i") / F.lit(batch_size)).cast("bigint"))
+    return (out.withColumn(col, F.expr(f"_qx_i div {int(batch_size)}"))
             .withColumn("batch_pos", (F.col("_qx_i") % F.lit(batch_size)).cast("bigint")).drop("_qx_i"))
 
 
@@ -152,10 +133,11 @@ def pad_batch(df: DataFrame, ids_col: str, batch_col: str = "batch_id", pad_id:
 
 
 def mask_labels(prompt_ids, target_ids, max_len: int) -> Column:
-    """struct(input_ids, labels, attention_mask) for one training example.
+    """struct(input_ids, labels, attention_mask) for one training example of ``max_len`` ids.
 
-    ``[bos] + prompt + target + [eos]``; labels hide the prompt with ``IGNORE_INDEX`` and keep
-    bos, target and eos; the whole example is cut to its last ``max_len`` ids.
+    ``[bos] + prompt + target + [eos]``; labels hide the prompt and the padding with
+    ``IGNORE_INDEX`` and keep bos, target and eos; a longer example is cut to its last
+    ``max_len`` ids, a shorter one is padded on the right (mask 0).
     """
     p, t = _c(prompt_ids), _c(target_ids)
     ids = F.concat(F.array(F.lit(BOS_ID).cast("bigint")), p, t, F.array(F.lit(EOS_ID).cast("bigint")))
@@ -164,10 +146,12 @@ def mask_labels(prompt_ids, target_ids, max_len: int) -> Column:
                       F.array(F.lit(EOS_ID).cast("bigint")))
     mask = F.array_repeat(F.lit(1).cast("bigint"), F.size(ids))
 
-    def tail(a):
-        return F.slice(a, F.greatest(F.size(a) - F.lit(max_len) + 1, F.lit(1)), F.lit(max_len))
+    def fitted(a, fill):
+        cut = F.slice(a, F.greatest(F.size(a) - F.lit(max_len) + 1, F.lit(1)), F.lit(max_len))
+        return F.concat(cut, F.array_repeat(F.lit(fill).cast("bigint"), F.lit(max_len) - F.size(cut)))
 
-    return F.struct(tail(ids).alias("input_ids"), tail(labels).alias("labels"), tail(mask).alias("attention_mask"))
+    return F.struct(fitted(ids, PAD_ID).alias("input_ids"), fitted(labels, IGNORE_INDEX).alias("labels"),
+                    fitted(mask, 0).alias("attention_mask"))
 
 
 # Per-profile training cadence (batch, accumulation, eval/save/log divisors;

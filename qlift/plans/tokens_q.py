@@ -6,41 +6,41 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Tables
 from ..functions import arrays as AR
-from ..operators import sharding
 from ..operators import tokens as TK
+from ..operators.ordering import dense_index
 from .registry import dnorm, query
 
-VOCAB_SIZE = 5000
 CK = ["conv_id", "turn"]
 
+# The oracles state their own constants (special tokens in id order, ids, lengths), not the library's.
+_SPECIALS = ["<s>", "</s>", "<pad>", "<unk>", "<"]
+_BOS, _EOS, _PAD, _UNK, _IGNORE = 0, 1, 2, 3, -100
+
 
 def _vocab(t: Tables):
-    # bounded by VOCAB_SIZE rows; persisted because several plans use it twice (encode and
-    # decode, query and draft encodes) and the two uses are not merged into one exchange
-    return TK.build_vocab(t.documents, "text", VOCAB_SIZE).persist()
+    return TK.build_vocab(t.documents, "text")
 
 
 def _toks(x: str) -> str:
     return f"list_filter(string_split({dnorm(x)}, ' '), lambda t: t <> '')"
 
 
-_SPECIALS_SQL = ", ".join(f"('{s}', {i})" for i, s in enumerate(TK.SPECIALS))
+_SPECIALS_SQL = ", ".join(f"('{s}', {i})" for i, s in enumerate(_SPECIALS))
 
 _VOCAB_CTE = f"""vocab AS (
   SELECT token, CAST(id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS n FROM (VALUES {_SPECIALS_SQL}) AS s(token, id)
   UNION ALL
-  SELECT token, CAST(rank + {len(TK.SPECIALS)} AS BIGINT) AS id, n FROM (
+  SELECT token, CAST(rank + {len(_SPECIALS)} AS BIGINT) AS id, n FROM (
     SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS rank FROM (
       SELECT token, count(*) AS n FROM (SELECT unnest({_toks('text')}) AS token FROM documents) AS u
-      WHERE token NOT IN ({", ".join(f"'{s}'" for s in TK.SPECIALS)}) GROUP BY token) AS c) AS r
-  WHERE rank < {VOCAB_SIZE - len(TK.SPECIALS)})"""
+      WHERE token NOT IN ({", ".join(f"'{s}'" for s in _SPECIALS)}) GROUP BY token) AS c) AS r)"""
 
 
 def _enc_cte(name: str, table: str, keys: list[str], text: str) -> str:
     k = ", ".join(keys)
     return f"""{name} AS (
   SELECT {k}, coalesce(e.ids, []::BIGINT[]) AS ids FROM {table} AS base LEFT JOIN (
-    SELECT {k}, list(coalesce(v.id, {TK.UNK_ID}) ORDER BY pos) AS ids FROM (
+    SELECT {k}, list(coalesce(v.id, {_UNK}) ORDER BY pos) AS ids FROM (
       SELECT {k}, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS pos
       FROM (SELECT {k}, {_toks(text)} AS tk FROM {table}) AS a) AS t
     LEFT JOIN vocab AS v USING (token) GROUP BY {k}) AS e USING ({k}))"""
@@ -64,21 +64,21 @@ def c01(spark, sf):
 SELECT conv_id, turn, {_s('ids')} AS ids, CAST(len(ids) AS BIGINT) AS n_ids FROM enc""")
 def c02(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE)
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK)
     return enc.select("conv_id", "turn", AR.ids_to_text("ids").alias("ids"), F.size("ids").cast("bigint").alias("n_ids"))
 
 
 @query("c03_decode", [], f"""WITH {_with(_VOCAB_CTE, _enc_cte('enc', 'conversations', ['conv_id', 'turn'], 'text'))}
 SELECT conv_id, turn, trim(coalesce((SELECT string_agg(v.token, ' ' ORDER BY x.pos) FROM
-   (SELECT unnest(list_filter(ids, lambda i: i >= {len(TK.SPECIALS)})) AS id,
-           unnest(range(1, len(list_filter(ids, lambda i: i >= {len(TK.SPECIALS)})) + 1)) AS pos) AS x
+   (SELECT unnest(list_filter(ids, lambda i: i >= {len(_SPECIALS)})) AS id,
+           unnest(range(1, len(list_filter(ids, lambda i: i >= {len(_SPECIALS)})) + 1)) AS pos) AS x
    JOIN vocab AS v ON v.id = x.id), '')) AS text
 FROM enc""")
 def c03(spark, sf):
     t = Tables(spark, sf)
     vocab = _vocab(t)
-    enc = TK.encode(t.conversations.select(*CK, "text"), "text", vocab, keys=CK, max_size=VOCAB_SIZE)
-    return TK.decode(enc.drop("text"), "ids", vocab, keys=CK, max_size=VOCAB_SIZE).select("conv_id", "turn", "text")
+    enc = TK.encode(t.conversations.select(*CK, "text"), "text", vocab, keys=CK)
+    return TK.decode(enc.drop("text"), "ids", vocab, keys=CK).select("conv_id", "turn", "text")
 
 
 _ENC_CONV = _with(_VOCAB_CTE, _enc_cte("enc", "conversations", ["conv_id", "turn"], "text"))
@@ -90,7 +90,7 @@ SELECT conv_id, turn, {_s('list_slice(ids, 1, 16)')} AS head_ids,
 FROM enc""")
 def c04(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE)
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK)
     return enc.select("conv_id", "turn", AR.ids_to_text(AR.truncate_ids("ids", 16, "head")).alias("head_ids"),
                       AR.ids_to_text(AR.truncate_ids("ids", 16, "tail")).alias("tail_ids"),
                       AR.is_trimmed("ids", 16).alias("is_trimmed"))
@@ -104,10 +104,10 @@ FROM (SELECT CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) // sz AS BIGI
 GROUP BY worker""")
 def c05(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE)
-    assigned, _ = sharding.contiguous_buckets(enc.select("conv_id", "turn", AR.is_trimmed("ids", 64).alias("trim")),
-                                              ["conv_id", "turn"], 8)
-    rep = TK.trim_report(assigned, "worker", "trim")
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK)
+    rows = dense_index(enc.select("conv_id", "turn", AR.is_trimmed("ids", 64).alias("trim")), CK, "i")
+    share = F.greatest(F.lit(1), F.ceil(t.conversations.select(F.count(F.lit(1))).scalar() / 8))  # a scalar subquery
+    rep = TK.trim_report(rows.withColumn("worker", F.floor(F.col("i") / share).cast("bigint")), "worker", "trim")
     return rep.select("worker", "processed", "trimmed", F.round("ratio", 6).alias("ratio"))
 
 
@@ -124,15 +124,14 @@ _ENC_DOCS = _with(_VOCAB_CTE, _enc_cte("enc", "documents", ["doc_id"], "text"))
 
 
 @query("c07_pad_batch", [], f"""WITH {_ENC_DOCS}
-SELECT doc_id, batch_id, {_s('list_concat(ids, list_resize([]::BIGINT[], m - len(ids), 0))')} AS input_ids,
+SELECT doc_id, batch_id, {_s(f'list_concat(ids, list_resize([]::BIGINT[], m - len(ids), {_PAD}))')} AS input_ids,
        {_s('list_concat(list_resize([]::BIGINT[], len(ids), 1), list_resize([]::BIGINT[], m - len(ids), 0))')} AS attention_mask
 FROM (SELECT doc_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) AS m FROM (
-        SELECT doc_id, list_slice(ids, 1, 128) AS ids,
+        SELECT doc_id, ids,
                CAST((row_number() OVER (ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch_id FROM enc) AS a) AS b""")
 def c07(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), keys=["doc_id"], max_size=VOCAB_SIZE,
-                    max_tokens=128)
+    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), keys=["doc_id"])
     enc = enc.select("doc_id", "ids")
     padded = TK.pad_batch(TK.assign_batches(enc, "doc_id", 16), "ids")
     return padded.select("doc_id", "batch_id", AR.ids_to_text("ids").alias("input_ids"),
@@ -140,19 +139,19 @@ def c07(spark, sf):
 
 
 @query("c08_pad_fixed", [], f"""WITH {_ENC_CONV}
-SELECT conv_id, turn, {_s('list_concat(list_slice(ids, 1, 64), list_resize([]::BIGINT[], 64 - len(list_slice(ids, 1, 64)), 0))')} AS ids
+SELECT conv_id, turn, {_s(f'list_concat(list_slice(ids, 1, 512), list_resize([]::BIGINT[], 512 - len(list_slice(ids, 1, 512)), {_PAD}))')} AS ids
 FROM enc""")
 def c08(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK, max_size=VOCAB_SIZE, max_tokens=64)
-    return enc.select("conv_id", "turn", AR.ids_to_text(AR.pad_fixed("ids", 64, TK.PAD_ID)).alias("ids"))
+    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK)
+    return enc.select("conv_id", "turn", AR.ids_to_text(AR.pad_fixed("ids", 512, TK.PAD_ID)).alias("ids"))
 
 
 def _pairs_enc(t: Tables):
     vocab = _vocab(t)
     # each query is encoded once, then attached to its drafts by id
-    q = TK.encode(t.fx_queries.select("query_id", "query"), "query", vocab, "p", keys=["query_id"], max_size=VOCAB_SIZE)
-    d = TK.encode(t.fx_drafts, "draft", vocab, "t", keys=["query_id", "model_id", "level"], max_size=VOCAB_SIZE)
+    q = TK.encode(t.fx_queries.select("query_id", "query"), "query", vocab, "p", keys=["query_id"])
+    d = TK.encode(t.fx_drafts, "draft", vocab, "t", keys=["query_id", "model_id", "level"])
     return d.join(q.select("query_id", "p"), "query_id")
 
 
@@ -168,14 +167,18 @@ def _tail(a: str, n: int) -> str:
     return f"list_slice({a}, greatest(len({a}) - {n} + 1, 1), len({a}))"
 
 
-_C9_IDS = f"list_concat(list_concat([{TK.BOS_ID}::BIGINT], p), list_concat(t, [{TK.EOS_ID}::BIGINT]))"
-_C9_LAB = (f"list_concat(list_concat([{TK.BOS_ID}::BIGINT], list_resize([]::BIGINT[], len(p), {AR.IGNORE_INDEX})), "
-           f"list_concat(t, [{TK.EOS_ID}::BIGINT]))")
+_C9_IDS = f"list_concat(list_concat([{_BOS}::BIGINT], p), list_concat(t, [{_EOS}::BIGINT]))"
+_C9_LAB = (f"list_concat(list_concat([{_BOS}::BIGINT], list_resize([]::BIGINT[], len(p), {_IGNORE})), "
+           f"list_concat(t, [{_EOS}::BIGINT]))")
+
+
+def _fit(a: str, n: int, fill: int) -> str:
+    return f"list_concat({_tail(a, n)}, list_resize([]::BIGINT[], greatest({n} - len({a}), 0), {fill}))"
 
 
 @query("c09_mask_labels", ["fx_queries", "fx_drafts"], _pairs_sql(f"""
-SELECT query_id, model_id, level, {_s(_tail(_C9_IDS, 48))} AS input_ids, {_s(_tail(_C9_LAB, 48))} AS labels,
-       {_s(_tail(f'list_resize([]::BIGINT[], len({_C9_IDS}), 1)', 48))} AS attention_mask
+SELECT query_id, model_id, level, {_s(_fit(_C9_IDS, 48, _PAD))} AS input_ids, {_s(_fit(_C9_LAB, 48, _IGNORE))} AS labels,
+       {_s(_fit(f'list_resize([]::BIGINT[], len({_C9_IDS}), 1)', 48, 0))} AS attention_mask
 FROM pairs"""))
 def c09(spark, sf):
     p = _pairs_enc(Tables(spark, sf))
@@ -185,24 +188,36 @@ def c09(spark, sf):
         AR.ids_to_text("ex.labels").alias("labels"), AR.ids_to_text("ex.attention_mask").alias("attention_mask"))
 
 
+# A generated sequence as a model returns it: the prompt, padded on the left to a length of 12 (longer prompts keep their
+# last 12 ids), then the draft, whose first four ids are followed by an end mark and the rest (which C11 counts, too).
+_PROMPT = f"list_concat(list_resize([]::BIGINT[], greatest(12 - len(p), 0), {_PAD}), {_tail('p', 12)})"
+_REPLY = f"list_concat(list_concat(list_slice(t, 1, 4), [{_EOS}::BIGINT]), list_slice(t, 5, len(t)))"
+_SEQ = f"list_concat({_PROMPT}, {_REPLY})"
+
+
+def _generated(t: Tables):
+    p = _pairs_enc(t)
+    prompt = AR.pad_ids(AR.truncate_ids("p", 12, "tail"), 12, TK.PAD_ID, "left")
+    eos = F.array(F.lit(TK.EOS_ID).cast("bigint"))
+    reply = F.concat(AR.truncate_ids("t", 4, "head"), eos, F.slice("t", 5, F.greatest(F.size("t"), F.lit(0))))
+    return p.select("query_id", "model_id", "level", F.concat(prompt, reply).alias("seq"))
+
+
 @query("c10_strip_prompt_ids", ["fx_queries", "fx_drafts"], _pairs_sql(f"""
-SELECT query_id, model_id, level, {_s('list_slice(list_concat(p, t), len(p) + 1, len(p) + len(t))')} AS generated
+SELECT query_id, model_id, level, {_s(f'list_slice({_SEQ}, 13, len({_SEQ}))')} AS generated
 FROM pairs"""))
 def c10(spark, sf):
-    p = _pairs_enc(Tables(spark, sf))
-    gen = F.concat("p", "t")
-    return p.select("query_id", "model_id", "level", AR.ids_to_text(AR.strip_prompt_ids(gen, F.size("p"))).alias("generated"))
+    g = _generated(Tables(spark, sf))
+    return g.select("query_id", "model_id", "level", AR.ids_to_text(AR.strip_prompt_ids("seq", 12)).alias("generated"))
 
 
 @query("c11_generated_tokens", ["fx_queries", "fx_drafts"], _pairs_sql(f"""
-SELECT query_id, model_id, level, CAST(len(list_filter(t, lambda x: x <> {TK.EOS_ID})) AS BIGINT) AS gen_tokens
+SELECT query_id, model_id, level, CAST(len(t) AS BIGINT) AS gen_tokens
 FROM pairs"""))
 def c11(spark, sf):
-    p = _pairs_enc(Tables(spark, sf))
-    eos = F.array(F.lit(TK.EOS_ID).cast("bigint"), F.lit(TK.EOS_ID).cast("bigint"))
-    gen = F.concat("p", "t", eos)
-    return p.select("query_id", "model_id", "level",
-                    AR.generated_tokens(AR.strip_prompt_ids(gen, F.size("p")), TK.EOS_ID).cast("bigint").alias("gen_tokens"))
+    g = _generated(Tables(spark, sf))
+    return g.select("query_id", "model_id", "level",
+                    AR.generated_tokens(AR.strip_prompt_ids("seq", 12), TK.EOS_ID).cast("bigint").alias("gen_tokens"))
 
 
 _C12_ROWS = ", ".join(f"('{p}', {b}, {a}, {e}, {s}, {lg})" for p, b, a, e, s, lg in TK.STEP_PROFILES)

@@ -43,13 +43,16 @@ def build_session(master: str | None = None, app: str = "qlift", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only when none is configured."""
+    """Return the shared checkpoint folder.  Where none is configured a local session (tests) gets a
+    temporary one; on a cluster that is an error, since executors don't share local folders."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get(_CKPT_KEY, None) or sc.getConf().get(_CKPT_KEY, None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="qlift-ckpt-")  # tests / local runs only
     sc.setCheckpointDir(local)
     spark.conf.set(_CKPT_KEY, local)
