@@ -74,22 +74,35 @@ FROM fx_drafts
 """),
     ("fx_aue", ["fx_drafts"], """
 SELECT query_id, model_id, level,
-  CASE WHEN (query_id + model_id + level) % 13 = 0 THEN '{bad' ELSE concat(
+  CASE WHEN (query_id + model_id + level) % 13 = 0 THEN '{bad'
+    WHEN (query_id + model_id + level) % 29 = 1 THEN '{"explanation":"x","comprehension_score":"low"} trailing'
+    WHEN (query_id + model_id + level) % 29 = 2 THEN concat(chr(96), chr(96), chr(96), 'json', chr(10), '{"explanation":"x"}', chr(10), chr(96), chr(96), chr(96))
+    WHEN (query_id + model_id + level) % 29 = 3 THEN '{"explanation":5,"comprehension_score":null,"modification_score":["low"]}'
+    WHEN (query_id + model_id + level) % 29 = 4 THEN '{"explanation":"cut off, "comprehension'
+    WHEN (query_id + model_id + level) % 29 = 5 THEN concat(' {"enhanced_query":"', replace(replace(draft, chr(92), ''), '"', ''),
+      '","final_enhanced_query":"final ', CAST(level AS VARCHAR(9)), '"}', chr(10))
+    ELSE concat(
     '{"explanation":"', repeat('word ', CAST((query_id + level) % 25 AS INT)), 'end", "comprehension_score":"', LABEL(query_id + level),
     ' effort","modification_score":"', LABEL(query_id + model_id * 3 + level), ' effort"}') END AS raw
 FROM fx_drafts
 """),
     ("fx_binary", ["fx_drafts"], """
 SELECT query_id, model_id, level,
-  CASE WHEN (query_id + model_id + level) % 19 = 0 THEN 'n/a' ELSE concat('{"Score":"Highly ',
+  CASE WHEN (query_id + model_id + level) % 19 = 0 THEN 'n/a'
+    WHEN (query_id + model_id + level) % 29 = 1 THEN '{"Score":"Highly Likely","Explanation":"x"} but see note'
+    WHEN (query_id + model_id + level) % 29 = 2 THEN '{"Score":true,"Explanation":7}'
+    WHEN (query_id + model_id + level) % 29 = 3 THEN '[{"Score":"Highly Likely"}]'
+    ELSE concat('{"Score":"Highly ',
     CASE WHEN (query_id * 3 + model_id + level) % 8 = 0 THEN 'Unlikely' ELSE 'Likely' END,
     '", "Explanation": "', repeat('word ', CAST((query_id + model_id) % 35 AS INT)), 'end"}') END AS raw
 FROM fx_drafts
 """),
     ("fx_log", ["events"], """
-SELECT event_id, concat(CASE WHEN event_id % 23 = 0 THEN '' ELSE concat(LOGTS(ts), ' ') END, '[',
+SELECT event_id, concat(CASE WHEN event_id % 23 = 0 THEN '' WHEN event_id % 29 = 0 THEN '13/45/2024 10:00:00 AM ' ELSE concat(LOGTS(ts), ' ') END,
+  CASE WHEN event_id % 31 = 0 THEN 'no level here' ELSE concat('[',
   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'CRITICAL' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'DEBUG' ELSE 'WARN' END,
-  '] epoch : ', CAST(event_id % 50 AS VARCHAR(9)), ' - average_val_loss : ', CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR(19))) AS line
+  '] epoch : ', CAST(event_id % 50 AS VARCHAR(9)), ' - average_val_loss : ', CAST(CAST(floor(round(value * 100) / 100) AS BIGINT) AS VARCHAR(19)), '.',
+  lpad(CAST(CAST(round(value * 100) AS BIGINT) % 100 AS VARCHAR(9)), 2, '0')) END) AS line
 FROM events
 """),
 ]

@@ -17,27 +17,36 @@ from .text import QUERY_MARK, _c, json_quote
 
 SLOT_RE = re.compile(r"#([a-z_]+)#")
 
-# Our own instruction, acknowledgement and per-level worked example (level 1..4).
-INSTRUCTION = ("Rewrite the user's request so that a chat assistant can answer it well: add the details that "
-               "matter, keep the intent, and return only the rewritten request.")
-ACKNOWLEDGEMENT = "Understood. I will only return the rewritten request."
-EXAMPLE_QUERY = "weekend trip to lisbon"
-EXAMPLE_REPLIES = [
-    "Suggest a two-day itinerary for a weekend trip to Lisbon, with sights, food and transport tips.",
-    "Suggest a two-day itinerary for a weekend trip to Lisbon for <Travellers> with a budget of <Budget>.",
-    "Suggest a two-day itinerary for a weekend trip to Lisbon for <two adults> with a budget of <300 euros>.",
-    "Suggest a two-day itinerary for a weekend trip to Lisbon for <two adults/a family/a group of friends> "
-    "with a budget of <300 euros/600 euros/1000 euros>.",
+# Our own instruction and worked examples: a query and its rewrites for level 1 to 4.
+INSTRUCTION = ("You receive one short question. Say it again as a complete request that leaves nothing for the answering "
+               "model to guess, and print that request alone.")
+ACKNOWLEDGEMENT = "Ready: one complete request per question, nothing else."
+ANSWER_INSTRUCTION = "Answer the next question in a few plain sentences."
+ANSWER_ACKNOWLEDGEMENT = "Fine, what is the question?"
+EXAMPLES = [
+    ("bread comes out flat", [
+        "My sourdough hardly rises in the oven. Which causes are likely, and how do I test each of them?",
+        "My sourdough hardly rises in the oven although it rested <Resting time>. Which causes are likely?",
+        "My sourdough hardly rises in the oven although it rested <overnight in the fridge>. Which causes are likely?",
+        "My sourdough hardly rises in the oven although it rested <two hours/overnight in the fridge/a full day>. Which causes are likely?",
+    ]),
+    ("java out of memory", [
+        "A nightly Java job dies with a heap error. How do I find what fills the heap?",
+        "On <Java version>, a nightly job with <Heap size> that reads <Input> dies with a heap error. What fills the heap?",
+        "On <Java 21>, a nightly job with <4 GB of heap> that reads <one large CSV file> dies with a heap error. What fills the heap?",
+        "On <Java 17/Java 21>, a nightly job with <2 GB of heap/4 GB of heap> that reads <one large CSV file/many small files> "
+        "dies with a heap error. What fills the heap?",
+    ]),
 ]
 
-# Role tags of the chat format the fine-tuned models were trained on.
-ROLE_OPEN = "<|{role}|>\n"
+# Fixed value: the mark that ends a turn of the chat format the fine-tuned models were trained on.
 TURN_CLOSE = "<|end|>\n"
 
-# Profile -> (instruction role, acknowledgement?, example reply role, target role).
+# Profile -> (instruction, its role, acknowledgement or none, number of worked examples, example reply role, target role).
 CHAT_PROFILES = {
-    "llama": ("system", False, "system", "system"),
-    "phi_mini": ("user", True, "assistant", "assistant"),
+    "llama": (INSTRUCTION, "system", None, 1, "system", "system"),
+    "phi_mini": (INSTRUCTION, "user", ACKNOWLEDGEMENT, 2, "assistant", "assistant"),
+    "phi_medium": (ANSWER_INSTRUCTION, "user", ANSWER_ACKNOWLEDGEMENT, 0, "assistant", "assistant"),
 }
 
 
@@ -46,16 +55,18 @@ def _msg(role: str, content) -> Column:
 
 
 def chat_messages(query, level, profile: str = "llama", target=None) -> Column:
-    """Message array for a profile and level; ``target`` adds the training reply."""
-    inst_role, ack, ex_role, tgt_role = CHAT_PROFILES[profile]
-    reply = F.element_at(F.array(*[F.lit(r) for r in EXAMPLE_REPLIES]), _c(level).cast("int"))
-    msgs = [_msg(inst_role, INSTRUCTION)]
+    """Message array for a profile and level; ``target`` adds the training reply.  The answering profile
+    (``phi_medium``) has no worked examples and no query mark: instruction, acknowledgement, the query itself."""
+    instruction, role, ack, n_examples, reply_role, target_role = CHAT_PROFILES[profile]
+    msgs = [_msg(role, instruction)]
     if ack:
-        msgs.append(_msg("assistant", ACKNOWLEDGEMENT))
-    msgs += [_msg("user", f"{QUERY_MARK} {EXAMPLE_QUERY}"), _msg(ex_role, reply),
-             _msg("user", F.concat(F.lit(QUERY_MARK + " "), _c(query)))]
+        msgs.append(_msg("assistant", ack))
+    for text, replies in EXAMPLES[:n_examples]:
+        reply = F.element_at(F.array(*[F.lit(r) for r in replies]), _c(level).cast("int"))
+        msgs += [_msg("user", f"{QUERY_MARK} {text}"), _msg(reply_role, reply)]
+    msgs.append(_msg("user", F.concat(F.lit(QUERY_MARK + " "), _c(query)) if n_examples else _c(query)))
     if target is not None:
-        msgs.append(_msg(tgt_role, _c(target)))
+        msgs.append(_msg(target_role, _c(target)))
     return F.array(*msgs)
 
 

@@ -140,9 +140,35 @@ def extract_by_offset(text, query_len, marker: str = QUERY_MARK) -> Column:
     return F.when(start > F.length(tail), F.lit("")).otherwise(tail.substr(start, F.length(tail)))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+# A number that stands behind the text in an array: Spark's parser stops after the first value, so the number is reached
+# only if the text is exactly one JSON value.
+_STOP = 918273645
+
+
+def json_object(c) -> Column:
+    """The text as a variant if the whole of it is one JSON object, else null."""
+    def checked(v):
+        whole = F.try_variant_get(v, "$[1]", "bigint") == _STOP
+        return let(F.try_variant_get(v, "$[0]", "variant"),
+                   lambda obj: F.when(whole & F.startswith(F.schema_of_variant(obj), F.lit("OBJECT")), obj))
+
+    return let(F.try_parse_json(F.concat(F.lit("["), _c(c), F.lit(f",{_STOP}]"))), checked)
+
+
+def variant_string(v, field: str) -> Column:
+    """A top-level field of a variant object, null unless it is a string."""
+    return let(F.try_variant_get(v, f"$.{field}", "variant"),
+               lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+
+
 def json_field(c, field: str) -> Column:
-    """A top-level JSON string field, null when the text is not JSON or lacks it."""
-    return F.get_json_object(_c(c), f"$.{field}")
+    """A top-level JSON string field; null when the whole text is not a JSON object, lacks it or holds no string there."""
+    return variant_string(json_object(c), field)
 
 
 def json_quote(c) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c, strip_ws
+from .text import _c, json_object, let, strip_ws, variant_string
 
 # Ordinal labels, lowest first; effort labels may carry the " effort" suffix.
 ORDINAL = {"very low": 1, "low": 2, "high": 3, "very high": 4}
@@ -18,26 +18,22 @@ NA_LABEL = "na"
 # Binary verdict labels.
 BINARY = {"Highly Likely": True, "Highly Unlikely": False}
 
-EFFORT_SCHEMA = "explanation string, comprehension_score string, modification_score string"
-BINARY_SCHEMA = "Score string, Explanation string"
-_CORRUPT = "_corrupt_record"
-_JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+EFFORT_FIELDS = ("explanation", "comprehension_score", "modification_score")
+BINARY_FIELDS = ("Score", "Explanation")
 
 # One review line: "- <criterion>: <label>"; "- Review <criterion>: ..." lines are prose.
 REVIEW_LINE_RE = r"^- (?!Review )([^:]+):(.*)$"
 
 
-def parse_json_object(c, schema: str) -> Column:
-    """One JSON parse: the struct of ``schema``, or null when the text is not a JSON object."""
-    v = F.from_json(_c(c), f"{schema}, {_CORRUPT} string", _JSON_OPTS)
-    fields = [f.strip().split(" ")[0] for f in schema.split(",")]
-    ok = v[_CORRUPT].isNull() & F.ltrim(_c(c)).startswith("{")
-    return F.when(ok, F.struct(*[v[f].alias(f) for f in fields]))
+def parse_json_object(c, fields: tuple[str, ...]) -> Column:
+    """One strict JSON parse: a struct of the named string fields (null where missing or no string), or null when the
+    whole text is not one JSON object."""
+    return let(json_object(c), lambda obj: F.when(obj.isNotNull(), F.struct(*[variant_string(obj, f).alias(f) for f in fields])))
 
 
 def parse_effort(c) -> Column:
     """F2: struct(explanation, comprehension_score, modification_score); null when malformed."""
-    return parse_json_object(c, EFFORT_SCHEMA)
+    return parse_json_object(c, EFFORT_FIELDS)
 
 
 def binary_verdict(score) -> Column:
@@ -49,11 +45,11 @@ def binary_verdict(score) -> Column:
 
 
 def parse_binary(c) -> Column:
-    return binary_verdict(parse_json_object(c, BINARY_SCHEMA)["Score"])
+    return binary_verdict(parse_json_object(c, BINARY_FIELDS)["Score"])
 
 
 def binary_explanation(c) -> Column:
-    return parse_json_object(c, BINARY_SCHEMA)["Explanation"]
+    return parse_json_object(c, BINARY_FIELDS)["Explanation"]
 
 
 def review_lines(c) -> Column:
@@ -75,16 +71,12 @@ def is_review_line(line) -> Column:
 
 def bare_label(c) -> Column:
     """Lower-cased, stripped label without the effort suffix."""
-    return _bare_label(c)
-
-
-def _bare_label(c) -> Column:
     return F.regexp_replace(F.lower(strip_ws(_c(c))), EFFORT_SUFFIX + r"\z", "")
 
 
 def ordinal(c, bare: bool = False) -> Column:
     """label -> 1..4; ``NA`` and unknown labels -> null (see ``label_status``)."""
-    x = _c(c) if bare else _bare_label(c)
+    x = _c(c) if bare else bare_label(c)
     out = F.lit(None).cast("bigint")
     for label, value in ORDINAL.items():
         out = F.when(x == label, F.lit(value).cast("bigint")).otherwise(out)
@@ -93,6 +85,6 @@ def ordinal(c, bare: bool = False) -> Column:
 
 def label_status(c, bare: bool = False) -> Column:
     """'ok', 'na' or 'invalid'."""
-    x = _c(c) if bare else _bare_label(c)
+    x = _c(c) if bare else bare_label(c)
     return (F.when(x.isin(*ORDINAL.keys()), F.lit("ok"))
             .when(x == NA_LABEL, F.lit("na")).otherwise(F.lit("invalid")))

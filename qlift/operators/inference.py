@@ -1,7 +1,7 @@
 """Batch inference jobs (H1-H4).
 
 The model is a user callable ``list[str] -> list[str]`` made by a factory once per Python
-worker (cached), fed in model-sized batches cut from Arrow batches (``mapInPandas``).
+worker (one model is held), fed in model-sized batches cut from Arrow batches (``mapInPandas``).
 Everything around the call (cleaning, prompt rendering, anti-joins, reports) stays in
 JVM-side columns; only the call itself is Python.  Results never depend on partitioning:
 one output per input is enforced for every batch.
@@ -9,9 +9,11 @@ one output per input is enforced for every batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,44 +21,23 @@ from pyspark.sql import types as T
 from ..functions.text import clean
 from ..session import ship_package
 
-_MODEL_CACHE: dict[str, Callable] = {}
+_HELD: dict[bytes, Callable] = {}  # the worker's one model, by the content of its factory and tag
 
 
 class OutputMismatch(RuntimeError):
     pass
 
 
-class RuleBasedEnhancer:
-    """Deterministic stand-in model: ``Explain <query> for <Audience>`` (optionally tagged)."""
+def model_key(factory: Callable, tag: str | None) -> bytes:
+    """What tells two models apart: the pickled factory (code and closure values) and the tag."""
+    return hashlib.sha256(cloudpickle.dumps((factory, tag))).digest()
 
-    def __init__(self, tag: str | None = None):
-        self.tag = tag
 
-    def __call__(self, batch: list) -> list:
-        sfx = f" [{self.tag}]" if self.tag else ""
-        return [None if q is None else f"Explain {q} for <Audience>{sfx}" for q in batch]
-
-
-class RuleBasedResponder:
-    """Deterministic stand-in chat model: ``Answer: <prompt>``."""
-
-    def __call__(self, batch: list) -> list:
-        return [None if q is None else f"Answer: {q}" for q in batch]
-
-
-def rule_based_factory(tag: str | None = None) -> Callable:
-    return RuleBasedEnhancer(tag)
-
-
-def responder_factory(tag: str | None = None) -> Callable:
-    return RuleBasedResponder()
-
-
-def _model(factory: Callable, tag: str | None) -> Callable:
-    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}|{tag}"
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = factory(tag)
-    return _MODEL_CACHE[key]
+def _model(key: bytes, factory: Callable, tag: str | None) -> Callable:
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = factory(tag)
+    return _HELD[key]
 
 
 def _run_batches(model: Callable, texts: list, batch_size: int) -> list:
@@ -65,12 +46,12 @@ def _run_batches(model: Callable, texts: list, batch_size: int) -> list:
         batch = texts[i:i + batch_size]
         res = list(model(batch))
         if len(res) != len(batch):
-            raise OutputMismatch(f"unequal inputs and outputs {len(batch)} != {len(res)}")
+            raise OutputMismatch(f"model call {i // batch_size}: {len(batch)} texts went in, {len(res)} came back")
         out.extend(res)
     return out
 
 
-def generate(df: DataFrame, factory: Callable = rule_based_factory, batch_size: int = 16, profile: str = "gpt2",
+def generate(df: DataFrame, factory: Callable, batch_size: int = 16, profile: str = "gpt2",
              text_col: str = "query", keep: tuple[str, ...] = ("query_id",), tag_col: str | None = None) -> DataFrame:
     """H1: clean per profile, call the model in batches, emit ``(keep..., query, enhanced_query)``.
 
@@ -82,21 +63,23 @@ def generate(df: DataFrame, factory: Callable = rule_based_factory, batch_size:
     cleaned = df.select(*cols, clean(text_col, profile).alias("query"))
     schema = T.StructType(list(cleaned.schema.fields) + [T.StructField("enhanced_query", T.StringType())])
 
+    key = None if tag_col else model_key(factory, None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if tag_col is None:
-                pdf["enhanced_query"] = _run_batches(_model(factory, None), pdf["query"].tolist(), batch_size)
+                pdf["enhanced_query"] = _run_batches(_model(key, factory, None), pdf["query"].tolist(), batch_size)
             else:
                 out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
                 for tag, part in pdf.groupby(tag_col, sort=False):
-                    out.loc[part.index] = _run_batches(_model(factory, tag), part["query"].tolist(), batch_size)
+                    out.loc[part.index] = _run_batches(_model(model_key(factory, tag), factory, tag), part["query"].tolist(), batch_size)
                 pdf["enhanced_query"] = out
             yield pdf
 
     return cleaned.mapInPandas(run, schema)
 
 
-def respond(df: DataFrame, factory: Callable = responder_factory, text_col: str = "draft", batch_size: int = 12,
+def respond(df: DataFrame, factory: Callable, text_col: str = "draft", batch_size: int = 12,
             profile: str = "phi_medium") -> DataFrame:
     """H2: keep every input column, add ``response`` and ``gen_tokens`` (whitespace tokens of it)."""
     ship_package(df.sparkSession)
@@ -105,8 +88,10 @@ def respond(df: DataFrame, factory: Callable = responder_factory, text_col: str
     schema = T.StructType(list(df.schema.fields) + [T.StructField("response", T.StringType()),
                                                     T.StructField("gen_tokens", T.LongType())])
 
+    key = model_key(factory, None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(factory, None)
+        model = _model(key, factory, None)
         for pdf in batches:
             res = _run_batches(model, pdf[prompt].tolist(), batch_size)
             pdf = pdf.drop(columns=[prompt])
@@ -117,15 +102,19 @@ def respond(df: DataFrame, factory: Callable = responder_factory, text_col: str
     return src.mapInPandas(run, schema)
 
 
-def sweep(df: DataFrame, checkpoints: list[str], done: DataFrame, factory: Callable = rule_based_factory,
-          key: str = "query_id", batch_size: int = 16, profile: str = "gpt2", text_col: str = "query") -> DataFrame:
+def sweep(df: DataFrame, checkpoints: list[str], done: DataFrame, factory: Callable,
+          key: str = "query_id", batch_size: int = 16, profile: str = "gpt2", text_col: str = "query",
+          spread: int = 32) -> DataFrame:
     """H3: every checkpoint x every input, minus finished pairs, one result set per checkpoint.
 
     The checkpoint list is a literal array exploded per row (bounded by the list), the
-    finished pairs are removed with a ``left_anti`` join before any model call.
+    finished pairs are removed with a ``left_anti`` join before any model call.  The work is
+    partitioned by checkpoint, each over up to ``spread`` partitions.
     """
     work = df.withColumn("checkpoint", F.explode(F.array(*[F.lit(c) for c in checkpoints])))
     todo = work.join(done.select("checkpoint", key), ["checkpoint", key], "left_anti")
+    # rows of one checkpoint come together, so a worker loads each checkpoint once per partition
+    todo = todo.repartition("checkpoint", F.pmod(F.xxhash64(key), F.lit(spread))).sortWithinPartitions("checkpoint")
     return generate(todo, factory, batch_size, profile, text_col, keep=(key,), tag_col="checkpoint")
 
 

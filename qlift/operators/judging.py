@@ -11,7 +11,6 @@ Formulas marked *derived* are ours (the published numbers give no formula).
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,7 +71,7 @@ def score_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 def parse_binary(df: DataFrame, raw: str = "raw", keys: list[str] = K) -> DataFrame:
     """Highly Likely -> true, Highly Unlikely -> false, anything else -> null."""
-    p = df.select(*keys, V.parse_json_object(F.col(raw), V.BINARY_SCHEMA).alias("_qx_v"))
+    p = df.select(*keys, V.parse_json_object(F.col(raw), V.BINARY_FIELDS).alias("_qx_v"))
     return p.select(*keys, V.binary_verdict(F.col("_qx_v.Score")).alias("verdict"),
                     F.col("_qx_v.Explanation").alias("explanation"))
 
@@ -128,13 +127,9 @@ def metric_rollup(scored: DataFrame) -> DataFrame:
                  F.round(F.avg("score"), 6).alias("mean_score")))
 
 
-def bare_label(c) -> Column:
-    return F.regexp_replace(F.lower(F.col(c) if isinstance(c, str) else c), V.EFFORT_SUFFIX + r"\z", "")
-
-
 def score_distribution(parsed: DataFrame) -> DataFrame:
     """F10 (derived): count and share of each label per model, level, criterion."""
-    counts = (parsed.groupBy("model_id", "level", "criterion", bare_label("label").alias("label"))
+    counts = (parsed.groupBy("model_id", "level", "criterion", V.bare_label("label").alias("label"))
               .agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("model_id", "level", "criterion")  # over aggregated rows only
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 6))
@@ -194,19 +189,16 @@ def model_ranking(scored: DataFrame) -> DataFrame:
                     (F.rank().over(w) == 1).alias("is_best"))
 
 
-def pairwise_wins(scored: DataFrame, models: list[int]) -> DataFrame:
-    """F16 (derived): win/tie/loss counts of each model pair on the same query and level."""
-    overall = scored.filter((F.col("criterion") == OVERALL) & F.col("score").isNotNull())
-    wide = overall.groupBy("query_id", "level").pivot("model_id", models).agg(F.first("score"))
-    aggs = []
-    for a, b in combinations(models, 2):
-        sa, sb = F.col(str(a)), F.col(str(b))
-        both = sa.isNotNull() & sb.isNotNull()
-        aggs += [F.count_if(both & (sa > sb)).alias(f"w_{a}_{b}"), F.count_if(both & (sa == sb)).alias(f"t_{a}_{b}"),
-                 F.count_if(both & (sa < sb)).alias(f"l_{a}_{b}")]
-    per_level = wide.groupBy("level").agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(a).cast("bigint").alias("model_a"), F.lit(b).cast("bigint").alias("model_b"),
-                               F.col(f"w_{a}_{b}").alias("wins"), F.col(f"t_{a}_{b}").alias("ties"),
-                               F.col(f"l_{a}_{b}").alias("losses"))
-                      for a, b in combinations(models, 2)])
-    return per_level.select("level", F.inline(pairs))
+def pairwise_wins(scored: DataFrame) -> DataFrame:
+    """F16 (derived): win/tie/loss counts of each model pair on the same query and level.
+
+    The models come from the data.  The self-join meets on (query, level), where each model has
+    one overall score, so a row fans out to the number of models only.
+    """
+    overall = scored.filter((F.col("criterion") == OVERALL) & F.col("score").isNotNull()).select("query_id", "level", "model_id", "score")
+    a = overall.select("query_id", "level", F.col("model_id").alias("model_a"), F.col("score").alias("_qx_a"))
+    b = overall.select("query_id", "level", F.col("model_id").alias("model_b"), F.col("score").alias("_qx_b"))
+    j = a.join(b, ["query_id", "level"]).filter("model_a < model_b")
+    return (j.groupBy("level", "model_a", "model_b")
+            .agg(F.count_if(F.col("_qx_a") > F.col("_qx_b")).alias("wins"), F.count_if(F.col("_qx_a") == F.col("_qx_b")).alias("ties"),
+                 F.count_if(F.col("_qx_a") < F.col("_qx_b")).alias("losses")))

@@ -28,12 +28,13 @@ def level_no(level) -> Column:
 
 
 def parse_log(df: DataFrame, line: str = "line", keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """``(ts, level, level_no, msg)``; lines without a timestamp or level keep nulls there."""
+    """``(ts, level, level_no, msg)``; lines without a timestamp (or with an
+    impossible one), a level or a message keep nulls there."""
     ts_text = F.regexp_extract(line, TS_RE, 1)
     lvl = F.nullif(F.regexp_extract(line, LEVEL_RE, 1), F.lit(""))
-    ts = F.when(ts_text != "", F.to_timestamp_ntz(ts_text, F.lit(LOG_TS_FORMAT)))
+    ts = F.when(ts_text != "", F.try_to_timestamp(ts_text, F.lit(LOG_TS_FORMAT)).cast("timestamp_ntz"))
     return df.select(*keys, ts.alias("ts"), lvl.alias("level"), level_no(lvl).alias("level_no"),
-                     F.regexp_extract(line, MSG_RE, 1).alias("msg"))
+                     F.when(F.col(line).rlike(MSG_RE), F.regexp_extract(line, MSG_RE, 1)).alias("msg"))
 
 
 def level_filter(parsed: DataFrame, threshold: str | int = "WARN") -> DataFrame:
@@ -42,12 +43,12 @@ def level_filter(parsed: DataFrame, threshold: str | int = "WARN") -> DataFrame:
     return parsed.filter(F.col("level_no") >= n)
 
 
-def epoch_losses(parsed: DataFrame, scale: float = 100.0) -> DataFrame:
+def epoch_losses(parsed: DataFrame) -> DataFrame:
     """Mean loss per split and epoch from ``epoch : e - average_<split>_loss : v`` lines."""
     m = parsed.select(F.regexp_extract("msg", LOSS_RE, 1).alias("e"), F.regexp_extract("msg", LOSS_RE, 2).alias("split"),
                       F.regexp_extract("msg", LOSS_RE, 3).alias("v")).filter(F.col("e") != "")
     return (m.groupBy("split", F.col("e").cast("bigint").alias("epoch"))
-            .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("v").cast("double") / scale), 6).alias("mean_loss")))
+            .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("v").cast("double")), 6).alias("mean_loss")))
 
 
 def best_epoch(losses: DataFrame, run: str = "split") -> DataFrame:

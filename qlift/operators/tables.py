@@ -92,20 +92,6 @@ def keyed_lookup(pairs: DataFrame, requests: DataFrame, keys=("split", "idx")) -
     return requests.join(pairs, list(keys), "inner")
 
 
-def full_requests(spark, stats: DataFrame, split_col: str = "split") -> DataFrame:
-    """Every (split, idx) below ``dataset_len``: a distributed range, not one exploding row."""
-    lens = sorted((r[split_col], int(r["dataset_len"])) for r in stats.select(split_col, "dataset_len").collect())
-    total = sum(n for _, n in lens)
-    rng = spark.range(total)
-    split, idx, start = F.lit(None).cast("string"), F.lit(None).cast("bigint"), 0
-    for name, n in lens:  # one branch per split (a handful)
-        cond = (F.col("id") >= start) & (F.col("id") < start + n)
-        split = F.when(cond, F.lit(name)).otherwise(split)
-        idx = F.when(cond, F.col("id") - F.lit(start)).otherwise(idx)
-        start += n
-    return rng.select(split.alias(split_col), idx.alias("idx"))
-
-
 def align_outputs(expected: DataFrame, outputs: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
     """Per group, inputs, outputs, missing, extra and duplicated outputs (full outer join)."""
     counts = outputs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qx_n"))

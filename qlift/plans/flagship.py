@@ -18,6 +18,7 @@ from ..operators import placeholders as PH
 from .judging_q import _MEANS, _parsed
 from .placeholders_q import _CONF, _PH
 from .registry import dtrunc, query
+from .standins import enhancer_factory
 
 
 def leaderboard(spark, sf):
@@ -25,7 +26,7 @@ def leaderboard(spark, sf):
     means = J.overall_means(J.score_labels(J.parse_review(t.fx_lrqi)))
     stats = PH.placeholder_stats(t.fx_drafts).select("model_id", "level", "share_any")
     conf = PH.level_conformance(t.fx_drafts).select("model_id", "level", F.col("share").alias("conformance"))
-    gen = INF.generate(t.fx_queries, batch_size=16, profile="gpt2")
+    gen = INF.generate(t.fx_queries, enhancer_factory, batch_size=16, profile="gpt2")
     gen_share = gen.agg(F.round(F.avg((F.size(placeholders("enhanced_query")) > 0).cast("double")), 6).alias("gen_share"))
     board = (means.join(stats, ["model_id", "level"], "left").join(conf, ["model_id", "level"], "left")
              .select("model_id", "level", F.round("mean_score", 6).alias("mean_overall"), F.col("n").alias("n_verdicts"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Tables
 from ..operators import inference as INF
 from .registry import dnorm, dtrunc, query
+from .standins import enhancer_factory, responder_factory
 
 _GPT2_CLEAN = dtrunc("lower(query)", 400)
 
@@ -16,7 +17,7 @@ CHECKPOINTS = ["ckpt-1000", "ckpt-2000", "ckpt-3000"]
 @query("h01_generate", ["fx_queries"], f"""
 SELECT query_id, {_GPT2_CLEAN} AS query, 'Explain ' || {_GPT2_CLEAN} || ' for <Audience>' AS enhanced_query FROM fx_queries""")
 def h01(spark, sf):
-    return INF.generate(Tables(spark, sf).fx_queries, batch_size=16, profile="gpt2")
+    return INF.generate(Tables(spark, sf).fx_queries, enhancer_factory, batch_size=16, profile="gpt2")
 
 
 _RESP = f"'Answer: ' || {dtrunc(dnorm('draft', lower=False), 40)}"
@@ -27,7 +28,7 @@ SELECT query_id, model_id, level, draft, {_RESP} AS response,
   CAST(len(string_split({dnorm(_RESP, lower=False)}, ' ')) AS BIGINT) AS gen_tokens
 FROM fx_drafts""")
 def h02(spark, sf):
-    return INF.respond(Tables(spark, sf).fx_drafts, text_col="draft", batch_size=12)
+    return INF.respond(Tables(spark, sf).fx_drafts, responder_factory, text_col="draft", batch_size=12)
 
 
 @query("h03_sweep", ["fx_queries", "fx_tsv"], f"""
@@ -40,7 +41,7 @@ def h03(spark, sf):
     t = Tables(spark, sf)
     # results already exist for the first checkpoint on the validation split
     done = t.fx_tsv.filter(F.col("split") == "val").select(F.lit(CHECKPOINTS[0]).alias("checkpoint"), "query_id")
-    out = INF.sweep(t.fx_queries, CHECKPOINTS, done)
+    out = INF.sweep(t.fx_queries, CHECKPOINTS, done, enhancer_factory)
     return out.select("checkpoint", "query_id", "query", "enhanced_query")
 
 

@@ -6,19 +6,28 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Tables
 from ..functions import templates as TP
+from ..operators import conversations as CV
 from ..operators import judging as J
 from .registry import dnorm, dstrip, query
 from .text_q import _d_render
 
 K = ["query_id", "model_id", "level"]
-MODELS = list(range(7))
 
 
 def _rid(metric: str, a: str) -> str:
     return f"md5(concat_ws(':', '{metric}', {a}.query_id, {a}.model_id, {a}.level))"
 
 
+_NO_MODEL = "CAST(NULL AS BIGINT) AS model_id, CAST(NULL AS BIGINT) AS level"
+
+
 @query("f01_judge_requests", ["fx_queries", "fx_drafts", "fx_finals"], f"""
+, pairs AS (SELECT * FROM (SELECT query_id, query, lag(query_id) OVER w AS prev_query_id, lag(query) OVER w AS prev_query
+     FROM fx_queries WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) x WHERE prev_query_id IS NOT NULL),
+rel AS (SELECT query_id, {_NO_MODEL}, prev_query, query FROM pairs),
+sub AS (SELECT p.query_id, d.model_id, d.level, p.prev_query, p.query, d.draft FROM pairs p JOIN fx_drafts d ON d.query_id = p.prev_query_id),
+ans AS (SELECT q.query_id, {_NO_MODEL}, q.query, c.text AS response FROM fx_queries q
+        JOIN conversations c ON c.conv_id = q.conv_id AND c.turn = q.turn + 1 AND c.role = 'assistant')
 SELECT {_rid('eqdq', 'd')} AS request_id, 'eqdq' AS metric, d.query_id, d.model_id, d.level,
   {_d_render(TP.JUDGE_TEMPLATES['eqdq'], {'query': 'q.query', 'draft': 'd.draft'})} AS prompt
 FROM fx_drafts d JOIN fx_queries q USING (query_id)
@@ -29,14 +38,32 @@ FROM fx_drafts d JOIN fx_finals f USING (query_id, model_id, level)
 UNION ALL
 SELECT {_rid('ha', 'd')}, 'ha', d.query_id, d.model_id, d.level,
   {_d_render(TP.JUDGE_TEMPLATES['ha'], {'query': 'q.query', 'draft': 'd.draft'})}
-FROM fx_drafts d JOIN fx_queries q USING (query_id)""")
+FROM fx_drafts d JOIN fx_queries q USING (query_id)
+UNION ALL
+SELECT {_rid('lrqi', 'a')}, 'lrqi', a.query_id, a.model_id, a.level,
+  {_d_render(TP.JUDGE_TEMPLATES['lrqi'], {'query': 'a.query', 'response': 'a.response'})} FROM ans a
+UNION ALL
+SELECT {_rid('rel', 'r')}, 'rel', r.query_id, r.model_id, r.level,
+  {_d_render(TP.JUDGE_TEMPLATES['rel'], {'previous': 'r.prev_query', 'current': 'r.query'})} FROM rel r
+UNION ALL
+SELECT {_rid('sub', 's')}, 'sub', s.query_id, s.model_id, s.level,
+  {_d_render(TP.JUDGE_TEMPLATES['sub'], {'previous': 's.prev_query', 'draft': 's.draft', 'current': 's.query'})} FROM sub s""")
 def f01(spark, sf):
     t = Tables(spark, sf)
     qd = t.fx_drafts.join(t.fx_queries.select("query_id", "query"), "query_id")
     df_ = t.fx_drafts.join(t.fx_finals, K)
+    none = {"model_id": F.lit(None).cast("bigint"), "level": F.lit(None).cast("bigint")}
+    pairs = CV.followup_pairs(t.fx_queries).select("query_id", "query", "prev_query_id", "prev_query")
+    drafts = t.fx_drafts.select(F.col("query_id").alias("prev_query_id"), "model_id", "level", "draft")
+    replies = (t.conversations.filter(F.col("role") == "assistant")
+               .select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")))
+    answers = t.fx_queries.join(replies, ["conv_id", "turn"])
     return (J.judge_requests("eqdq", qd, {"query": "query", "draft": "draft"})
             .unionByName(J.judge_requests("aue", df_, {"draft": "draft", "final": "final_query"}))
-            .unionByName(J.judge_requests("ha", qd, {"query": "query", "draft": "draft"})))
+            .unionByName(J.judge_requests("ha", qd, {"query": "query", "draft": "draft"}))
+            .unionByName(J.judge_requests("lrqi", answers.withColumns(none), {"query": "query", "response": "response"}))
+            .unionByName(J.judge_requests("rel", pairs.withColumns(none), {"previous": "prev_query", "current": "query"}))
+            .unionByName(J.judge_requests("sub", pairs.join(drafts, "prev_query_id"), {"previous": "prev_query", "draft": "draft", "current": "query"})))
 
 
 def _ord(x: str) -> str:
@@ -51,7 +78,7 @@ def _status(x: str) -> str:
 
 
 def _jf(field: str) -> str:
-    return f"CASE WHEN json_valid(raw) AND starts_with(ltrim(raw), '{{') THEN json_extract_string(raw, '$.{field}') END"
+    return f"CASE WHEN json_valid(raw) AND starts_with(ltrim(raw), '{{') AND json_type(raw, '$.{field}') = 'VARCHAR' THEN json_extract_string(raw, '$.{field}') END"
 
 
 _EFFORT = f""", effort AS (
@@ -213,7 +240,8 @@ _LEV = """list_reduce(list_transform(range(1, length(a) + 1), lambda i: i),
 
 
 @query("f14_edit_distance", ["fx_drafts", "fx_finals"], f"""
-SELECT query_id, model_id, level, CAST({_LEV} AS BIGINT) AS levenshtein,
+SELECT query_id, model_id, level, CAST(CASE WHEN a = b THEN 0 WHEN strlen(a) = length(a) AND strlen(b) = length(b) THEN levenshtein(a, b)
+       ELSE {_LEV} END AS BIGINT) AS levenshtein,
   CAST(len(list_filter(list_distinct(string_split(b, ' ')), lambda w: NOT list_contains(string_split(a, ' '), w))) AS BIGINT) AS words_added,
   CAST(len(list_filter(list_distinct(string_split(a, ' ')), lambda w: NOT list_contains(string_split(b, ' '), w))) AS BIGINT) AS words_removed
 FROM (SELECT d.query_id, d.model_id, d.level, d.draft AS a, f.final_query AS b
@@ -240,5 +268,5 @@ SELECT a.level, a.model_id AS model_a, b.model_id AS model_b, count(*) FILTER (W
 FROM ov a JOIN ov b ON a.query_id = b.query_id AND a.level = b.level AND a.model_id < b.model_id
 GROUP BY a.level, a.model_id, b.model_id""")
 def f16(spark, sf):
-    return J.pairwise_wins(_scored(Tables(spark, sf)), MODELS)
+    return J.pairwise_wins(_scored(Tables(spark, sf)))
 

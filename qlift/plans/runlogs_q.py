@@ -11,14 +11,14 @@ from .registry import query
 _LVL = "CAST(CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RL.LEVELS.items()) + " END AS BIGINT)"
 
 _PARSED = f""", p0 AS (SELECT event_id, regexp_extract(line, '{RL.TS_RE}', 1) AS t,
-    nullif(regexp_extract(line, '{RL.LEVEL_RE}', 1), '') AS level, regexp_extract(line, '{RL.MSG_RE}', 1) AS msg FROM fx_log),
-parsed AS (SELECT event_id, CASE WHEN t <> '' THEN strftime(strptime(t, '%m/%d/%Y %I:%M:%S %p'), '%Y-%m-%d %H:%M:%S') END AS ts,
+    nullif(regexp_extract(line, '{RL.LEVEL_RE}', 1), '') AS level, CASE WHEN regexp_matches(line, '{RL.MSG_RE}') THEN regexp_extract(line, '{RL.MSG_RE}', 1) END AS msg FROM fx_log),
+parsed AS (SELECT event_id, CASE WHEN t <> '' THEN strftime(try_strptime(t, '%m/%d/%Y %I:%M:%S %p'), '%Y-%m-%d %H:%M:%S') END AS ts,
     level, {_LVL} AS level_no, msg FROM p0)
 """
 
 _LOSSES = _PARSED + f""", m AS (SELECT regexp_extract(msg, '{RL.LOSS_RE}', 1) AS e, regexp_extract(msg, '{RL.LOSS_RE}', 2) AS split,
     regexp_extract(msg, '{RL.LOSS_RE}', 3) AS v FROM parsed),
-losses AS (SELECT split, CAST(e AS BIGINT) AS epoch, count(*) AS n, round(avg(CAST(v AS DOUBLE) / 100.0), 6) AS mean_loss
+losses AS (SELECT split, CAST(e AS BIGINT) AS epoch, count(*) AS n, round(avg(CAST(v AS DOUBLE)), 6) AS mean_loss
     FROM m WHERE e <> '' GROUP BY split, CAST(e AS BIGINT))
 """
 

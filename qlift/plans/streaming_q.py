@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..streaming import jobs as ST
 from .inference_q import _GPT2_CLEAN
 from .registry import query
+from .standins import enhancer_factory
 
 
 @query("j01_stream_enhance", ["fx_queries"], f"""
@@ -17,7 +18,7 @@ def j01(spark, sf):
     t = Tables(spark, sf)
     src = scratch_path(spark, "j01-src")
     t.fx_queries.repartition(4).write.json(src)
-    out = ST.stream_enhance(spark, src, scratch_path(spark, "j01-out"), scratch_path(spark, "j01-ckpt"),
+    out = ST.stream_enhance(spark, src, scratch_path(spark, "j01-out"), scratch_path(spark, "j01-ckpt"), enhancer_factory,
                             max_files_per_trigger=2)
     return out.select("query_id", "query", "enhanced_query")
 
@@ -34,8 +35,8 @@ def j02(spark, sf):
 
 
 @query("j03_stream_log_levels", ["fx_log"], """
-, p AS (SELECT regexp_extract(line, '\\[([A-Z]+)\\]', 1) AS level,
-          strptime(regexp_extract(line, '^(\\d{2}/\\d{2}/\\d{4} \\d{2}:\\d{2}:\\d{2} [AP]M) ', 1), '%m/%d/%Y %I:%M:%S %p') AS ts
+, p AS (SELECT nullif(regexp_extract(line, '\\[([A-Z]+)\\]', 1), '') AS level,
+          try_strptime(regexp_extract(line, '^(\\d{2}/\\d{2}/\\d{4} \\d{2}:\\d{2}:\\d{2} [AP]M) ', 1), '%m/%d/%Y %I:%M:%S %p') AS ts
         FROM fx_log WHERE regexp_extract(line, '^(\\d{2}/\\d{2}/\\d{4} \\d{2}:\\d{2}:\\d{2} [AP]M) ', 1) <> '')
 SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour, '%Y-%m-%d %H:%M:%S') AS window_end, level, count(*) AS n

@@ -58,11 +58,12 @@ def d04(spark, sf):
     return TB.split_assign(d, "doc_id")
 
 
-@query("d05_keyed_lookup", ["fx_tsv"], _REASONS + f"SELECT split, idx, {_KEY} AS key, head, tail FROM pairs")
+@query("d05_keyed_lookup", ["fx_tsv", "fx_queries"], _REASONS + f"SELECT split, idx, {_KEY} AS key, head, tail FROM pairs JOIN (SELECT CASE WHEN turn % 4 = 0 THEN 'val' ELSE 'train' END AS split, query_id % 211 AS idx FROM fx_queries) r USING (split, idx)")
 def d05(spark, sf):
     t = Tables(spark, sf)
     pairs = TB.index_pairs(t.fx_tsv, "query_id")
-    requests = TB.full_requests(spark, TB.ingest_stats(t.fx_tsv))
+    # what a loader asks for: indices by user turn, some of them twice, some beyond the data
+    requests = t.fx_queries.select(F.when(F.col("turn") % 4 == 0, "val").otherwise("train").alias("split"), (F.col("query_id") % 211).alias("idx"))
     return TB.keyed_lookup(pairs, requests).select("split", "idx", "key", "head", "tail")
 
 

@@ -131,42 +131,52 @@ FROM (SELECT d.query_id, d.model_id, d.level, length({_B4['gpt2']}) AS ql,
       FROM fx_drafts d JOIN fx_queries q USING (query_id)) AS g
 """)
 def b10(spark, sf):
-    p = _draft_pairs(Tables(spark, sf))
-    gen = F.concat(F.lit(TX.QUERY_MARK + " "), TX.clean("query", "phi_mini_infer"), F.lit("\n"), F.col("draft"))
-    ql = F.length(TX.clean("query", "gpt2"))
-    return p.select("query_id", "model_id", "level", TX.extract_by_offset(gen, ql).alias("extracted"))
+    p = _once_per_query(Tables(spark, sf), q=TX.clean("query", "phi_mini_infer"), ql=F.length(TX.clean("query", "gpt2")))
+    gen = F.concat(F.lit(TX.QUERY_MARK + " "), F.col("q"), F.lit("\n"), F.col("draft"))
+    return p.select("query_id", "model_id", "level", TX.extract_by_offset(gen, F.col("ql")).alias("extracted"))
 
 
 def _d_msgs(profile: str, q: str, level: str, target: str | None) -> str:
-    inst_role, ack, ex_role, tgt_role = TP.CHAT_PROFILES[profile]
+    instruction, role, ack, n_examples, reply_role, target_role = TP.CHAT_PROFILES[profile]
 
     def m(role, content):
         return f"{{'role': '{role}', 'content': {content}}}"
 
-    replies = "[" + ", ".join(sqlstr(r) for r in TP.EXAMPLE_REPLIES) + "]"
-    msgs = [m(inst_role, sqlstr(TP.INSTRUCTION))]
+    msgs = [m(role, sqlstr(instruction))]
     if ack:
-        msgs.append(m("assistant", sqlstr(TP.ACKNOWLEDGEMENT)))
-    msgs += [m("user", sqlstr(f"{TX.QUERY_MARK} {TP.EXAMPLE_QUERY}")), m(ex_role, f"{replies}[{level}]"),
-             m("user", f"'{TX.QUERY_MARK} ' || {q}")]
+        msgs.append(m("assistant", sqlstr(ack)))
+    for text, replies in TP.EXAMPLES[:n_examples]:
+        listed = "[" + ", ".join(sqlstr(r) for r in replies) + "]"
+        msgs += [m("user", sqlstr(f"{TX.QUERY_MARK} {text}")), m(reply_role, f"{listed}[{level}]")]
+    msgs.append(m("user", f"'{TX.QUERY_MARK} ' || {q}" if n_examples else q))
     if target:
-        msgs.append(m(tgt_role, target))
+        msgs.append(m(target_role, target))
     return "[" + ", ".join(msgs) + "]"
 
 
+def _once_per_query(t: Tables, **cleaned):
+    """Drafts joined to columns that are worked out once per query, not once per draft."""
+    return t.fx_drafts.join(t.fx_queries.select("query_id", *[c.alias(n) for n, c in cleaned.items()]), "query_id")
+
+
 _B11_MSGS = _d_msgs("llama", dtrunc(dnorm("q.query", lower=False), 40), "d.level", dtrunc(dnorm("d.draft", lower=False), 80))
+_B11_MINI = _d_msgs("phi_mini", dtrunc(dnorm("q.query", lower=False), 40), "d.level", None)
+_B11_ANSWER = _d_msgs("phi_medium", dtrunc(dnorm("d.draft", lower=False), 80), "d.level", None)
 
 
 @query("b11_chat_messages", ["fx_queries", "fx_drafts"], f"""
-SELECT query_id, model_id, level, CAST(len(msgs) AS BIGINT) AS n_messages, CAST(to_json(msgs) AS VARCHAR) AS messages_json
-FROM (SELECT d.query_id, d.model_id, d.level, {_B11_MSGS} AS msgs FROM fx_drafts d JOIN fx_queries q USING (query_id)) AS g
+SELECT query_id, model_id, level, CAST(len(msgs) AS BIGINT) AS n_messages, CAST(to_json(msgs) AS VARCHAR) AS messages_json,
+  CAST(to_json(mini) AS VARCHAR) AS mini_json, CAST(to_json(answer) AS VARCHAR) AS answer_json
+FROM (SELECT d.query_id, d.model_id, d.level, {_B11_MSGS} AS msgs, {_B11_MINI} AS mini, {_B11_ANSWER} AS answer
+      FROM fx_drafts d JOIN fx_queries q USING (query_id)) AS g
 """)
 def b11(spark, sf):
-    p = _draft_pairs(Tables(spark, sf))
-    msgs = TP.chat_messages(TX.clean("query", "llama"), "level", "llama", target=TX.clean("draft", "llama", "enhanced"))
-    return p.select("query_id", "model_id", "level", msgs.alias("msgs")).select(
+    p = _once_per_query(Tables(spark, sf), q=TX.clean("query", "llama"))
+    p = p.withColumn("draft", TX.clean("draft", "llama", "enhanced"))
+    return p.select("query_id", "model_id", "level", TP.chat_messages("q", "level", "llama", target="draft").alias("msgs"),
+                    TP.chat_messages("q", "level", "phi_mini").alias("mini"), TP.chat_messages("draft", "level", "phi_medium").alias("answer")).select(
         "query_id", "model_id", "level", F.size("msgs").cast("bigint").alias("n_messages"),
-        F.to_json("msgs").alias("messages_json"))
+        F.to_json("msgs").alias("messages_json"), F.to_json("mini").alias("mini_json"), F.to_json("answer").alias("answer_json"))
 
 
 _B12_MSGS = _d_msgs("phi_mini", dtrunc(dnorm("query"), 200), "CAST(2 AS BIGINT)", None)
@@ -213,13 +223,13 @@ def b13(spark, sf):
 
 @query("b14_extract_json_field", ["fx_aue"], """
 SELECT query_id, model_id, level,
-  CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.explanation') END AS explanation,
-  CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.comprehension_score') END AS comprehension_score,
-  CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.enhanced_query') END AS enhanced_query
+  """ + ", ".join(f"""CASE WHEN json_valid(raw) AND json_type(raw, '$.{f}') = 'VARCHAR' THEN json_extract_string(raw, '$.{f}') END AS {f}"""
+                  for f in ("explanation", "comprehension_score", "enhanced_query", "final_enhanced_query")) + """
 FROM fx_aue
 """)
 def b14(spark, sf):
     a = Tables(spark, sf).fx_aue
     return a.select("query_id", "model_id", "level", TX.json_field("raw", "explanation").alias("explanation"),
                     TX.json_field("raw", "comprehension_score").alias("comprehension_score"),
-                    TX.json_field("raw", "enhanced_query").alias("enhanced_query"))
+                    TX.json_field("raw", "enhanced_query").alias("enhanced_query"),
+                    TX.json_field("raw", "final_enhanced_query").alias("final_enhanced_query"))

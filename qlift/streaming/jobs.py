@@ -14,20 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.inference import generate, rule_based_factory
+from ..operators.inference import generate
 from ..operators.runlogs import parse_log
 from ..sources.files import QUERY_SCHEMA
 
 
-def _run(stream_writer, path: str, checkpoint: str, timeout_s: int | None = None):
+def _run(stream_writer, path: str, checkpoint: str):
     q = (stream_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path))
-    q.awaitTermination(timeout_s)
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
     return q
 
 
-def stream_enhance(spark: SparkSession, src: str, out: str, checkpoint: str, factory: Callable = rule_based_factory,
+def stream_enhance(spark: SparkSession, src: str, out: str, checkpoint: str, factory: Callable,
                    batch_size: int = 16, profile: str = "gpt2", max_files_per_trigger: int | None = None) -> DataFrame:
     """New JSONL query files -> cleaned, generated records (JSON sink), exactly once after restart."""
     reader = spark.readStream.schema(QUERY_SCHEMA)

@@ -12,6 +12,7 @@ from qlift.operators import inference as INF
 from qlift.operators import judging as J
 from qlift.operators import runlogs as RL
 from qlift.session import scratch_path
+from qlift.plans.standins import enhancer_factory
 from qlift.sources import files
 from qlift.streaming import jobs as ST
 
@@ -20,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_generate_independent_of_batch_size(spark):
     q = Tables(spark, SF).fx_queries
-    outs = [{r.query_id: r.enhanced_query for r in INF.generate(q, batch_size=b).collect()} for b in (1, 7, 64)]
+    outs = [{r.query_id: r.enhanced_query for r in INF.generate(q, enhancer_factory, batch_size=b).collect()} for b in (1, 7, 64)]
     assert outs[0] == outs[1] == outs[2] and len(outs[0]) == q.count()
 
 
@@ -30,10 +31,46 @@ def test_generate_requires_one_output_per_input(spark):
     def _bad_model(tag=None):  # local: shipped to workers by value
         return lambda batch: batch[:-1]
 
-    with pytest.raises(Exception, match="unequal"):
+    with pytest.raises(Exception, match="came back"):
         INF.generate(q, factory=_bad_model, batch_size=4).collect()
 
 
+def test_factories_of_one_closure_are_two_models(spark):
+    q = Tables(spark, SF).fx_queries.limit(20).coalesce(1)
+
+    def make(word):
+        return lambda tag=None: lambda batch: [word] * len(batch)
+
+    for word in ("first", "second", "first"):
+        assert {r.enhanced_query for r in INF.generate(q, make(word)).collect()} == {word}
+
+
+def test_impossible_date_and_plain_loss(spark):
+    lines = [(1, "13/45/2024 10:00:00 AM [INFO] epoch : 3 - average_val_loss : 2.5"), (2, "no level here"), (3, "02/03/2024 01:02:03 PM [WARN] x")]
+    p = RL.parse_log(spark.createDataFrame(lines, "event_id long, line string"))
+    got = {r.event_id: r for r in p.collect()}
+    assert got[1].ts is None and got[2].msg is None and got[2].level is None and str(got[3].ts) == "2024-02-03 13:02:03"
+    assert RL.epoch_losses(p).first().mean_loss == 2.5
+
+
+def test_strict_json(spark):
+    from qlift.functions import text as TX
+
+    rows = [('{"a":"x"}', "x"), (' {"a":"x"} ', "x"), ('{"a":"x"} see note', None), ('{"a":"x"}{"a":"y"}', None), ('{"a":"x"},{"a":"y"}', None),
+            ('{"a":5}', None), ('{"a":null}', None), ('[{"a":"x"}]', None), ('{"a":"x', None), ('```{"a":"x"}```', None), ('{"a":"x"}] y', None), ("", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", TX.json_field("t", "a").alias("v")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(rows)}
+
+
+def test_nothing_stays_cached(spark):
+    from qlift.plans.registry import load_all
+
+    for k in ("a04_row_range", "c03_decode", "g01_followup_pairs"):
+        load_all()[k].fn(spark, SF).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_read_queries_strict_and_permissive(spark):
     d = tempfile.mkdtemp()
     with open(os.path.join(d, "a.jsonl"), "w") as f:
@@ -79,9 +116,9 @@ def test_stream_enhance_restart_is_exactly_once(spark):
     q = Tables(spark, SF).fx_queries
     src, out, ck = scratch_path(spark, "t-src"), scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
     q.filter("query_id % 2 = 0").write.json(src + "/part1")
-    first = ST.stream_enhance(spark, src + "/*", out, ck).count()
+    first = ST.stream_enhance(spark, src + "/*", out, ck, enhancer_factory).count()
     q.filter("query_id % 2 = 1").write.json(src + "/part2")
-    res = ST.stream_enhance(spark, src + "/*", out, ck)
+    res = ST.stream_enhance(spark, src + "/*", out, ck, enhancer_factory)
     assert first < q.count()
     assert res.count() == q.count() and res.select("query_id").distinct().count() == q.count()
 
@@ -106,15 +143,15 @@ def test_stream_pending_drops_late_redelivery(spark):
 
 def test_sharded_generation_equals_unsharded(spark):
     q = Tables(spark, SF).fx_queries
-    one = {r.query_id: r.enhanced_query for r in INF.generate(q.coalesce(1), batch_size=16).collect()}
-    many = {r.query_id: r.enhanced_query for r in INF.generate(q.repartition(7), batch_size=16).collect()}
+    one = {r.query_id: r.enhanced_query for r in INF.generate(q.coalesce(1), enhancer_factory, batch_size=16).collect()}
+    many = {r.query_id: r.enhanced_query for r in INF.generate(q.repartition(7), enhancer_factory, batch_size=16).collect()}
     assert one == many
 
 
 def test_sweep_skips_finished_pairs(spark):
     q = Tables(spark, SF).fx_queries
     done = q.limit(5).select(F.lit("c1").alias("checkpoint"), "query_id")
-    out = INF.sweep(q, ["c1", "c2"], done)
+    out = INF.sweep(q, ["c1", "c2"], done, enhancer_factory)
     n = q.count()
     assert out.count() == 2 * n - 5
     assert out.filter("checkpoint = 'c2'").first().enhanced_query.endswith("[c2]")
