@@ -2,8 +2,8 @@
 
 Each preference pair sets a document of label 1 against one of label 0.  The model is a score ``w . x`` over the text's
 form (repetition, case, signs, word lengths, lines), learned by logistic loss on the feature differences of the pairs
-(Newton steps with a ridge).  The cut is a quantile of the learning rows' scores, the one whose cut makes the fewest
-errors weighted by class; the reported score is ``1 / (1 + exp(-(s - cut)))`` shifted so that the cut reads as ``CUT`` (0.3).
+(Newton steps with a ridge).  The cut is a quantile of the learning rows' scores, the one that makes the fewest
+errors; the reported score is ``1 / (1 + exp(-(s - cut)))`` shifted so that the cut reads as ``CUT`` (0.3).
 
 Learning reads a bounded, hash-chosen sample of labelled documents (``max_rows``, default 20,000) and ``pairs_per_row``
 partners for each; only their feature vectors reach the driver.
@@ -31,7 +31,7 @@ from .langid import remainder
 CUT = 0.3
 _SIGNS = re.compile(r"[^\w\s.,;:'\"()-]")
 _END = re.compile(r"[.!?](?:\s|$)")
-FEATURES = 18
+FEATURES = 19
 
 
 def features(text: str | None) -> list[float]:
@@ -53,7 +53,7 @@ def features(text: str | None) -> list[float]:
         np.sqrt(twins), twins, np.log1p(longest), np.sqrt(upper), upper,
         np.sqrt(signs * per), min(signs * per, 3.0), np.sqrt(text.count("!") * per), np.sqrt(text.count("|") * per),
         len(set(words)) * per, len(set(words)) / n ** 0.7, np.log1p(n) / 3, (chars - n) * per / 5,
-        1 - len(set(lines)) / max(len(lines), 1), letters, np.sqrt(ends), np.sqrt(sum(map(str.isdigit, text)) / chars), 0.0,
+        1 - len(set(lines)) / max(len(lines), 1), letters, np.sqrt(ends), np.sqrt(sum(map(str.isdigit, text)) / chars), per, 0.0,
     ]
 
 
@@ -90,8 +90,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs_per_row: int = 10, ridge: float = 1.
     s = z @ w
     cuts = np.unique(np.quantile(s, np.linspace(0.002, 0.998, 500)))
     good_s, bad_s = np.sort(s[good]), np.sort(s[bad])
-    lost = np.searchsorted(good_s, cuts) / len(good) + 1 - np.searchsorted(bad_s, cuts) / len(bad)
-    best = cuts[np.abs(lost - lost.min()) < 1e-12]
+    lost = np.searchsorted(good_s, cuts) + len(bad) - np.searchsorted(bad_s, cuts)
+    best = cuts[lost == lost.min()]
     return Model(w, mean, scale, float(np.median(best)))
 
 
