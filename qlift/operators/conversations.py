@@ -64,17 +64,13 @@ def lexical_relatedness(pairs: DataFrame, threshold: float = RELATED_AT) -> Data
                         (F.coalesce(jac, F.lit(0.0)) >= threshold).alias("related"))
 
 
-def overlap(cur, draft) -> Column:
-    C = word_set(cur)
-    return F.try_divide(F.size(F.array_intersect(C, word_set(draft))).cast("double"), F.size(C).cast("double"))
-
-
 def subsumption_overlap(pairs: DataFrame, drafts: DataFrame) -> DataFrame:
     """G3 (derived): share of the follow-up's words already in the draft made from the previous query."""
-    d = drafts.select(F.col("query_id").alias("prev_query_id"), "model_id", "level", "draft")
-    j = pairs.select("conv_id", "prev_query_id", "query_id", "query").join(d, "prev_query_id")
-    return j.select("conv_id", "prev_query_id", "query_id", "model_id", "level",
-                    F.round(overlap("query", "draft"), 6).alias("overlap"))
+    # word sets are made once per query and once per draft, before the join
+    d = drafts.select(F.col("query_id").alias("prev_query_id"), "model_id", "level", word_set("draft").alias("_qx_d"))
+    j = pairs.select("conv_id", "prev_query_id", "query_id", word_set("query").alias("_qx_q")).join(d, "prev_query_id")
+    share = F.try_divide(F.size(F.array_intersect("_qx_q", "_qx_d")).cast("double"), F.size("_qx_q").cast("double"))
+    return j.select("conv_id", "prev_query_id", "query_id", "model_id", "level", F.round(share, 6).alias("overlap"))
 
 
 def followup_reduction(related: DataFrame, overlaps: DataFrame, threshold: float = SUBSUMED_AT) -> DataFrame:
@@ -94,3 +90,32 @@ def session_context(rows: DataFrame, conv: str, turn: str, text: str, k: int, wo
     item = F.when(F.col(f"prev_{text}").isNotNull(), F.struct(F.negative("j").alias("o"), normalize(f"prev_{text}").alias("t")))
     return (p.groupBy(conv, turn).agg(F.array_sort(F.collect_list(item)).alias("_c"))
             .select(conv, turn, truncate_tail(F.array_join(F.transform("_c", lambda s: s["t"]), sep), words).alias("context")))
+
+
+CONTEXT_TYPES = ("last_user", "suggestions", "both", "prefix")
+
+
+def typed_context(queries: DataFrame, drafts: DataFrame, kind: str, conv: str = "conv_id", turn: str = "turn",
+                  sep: str = " | ", words: int = 40) -> DataFrame:
+    """The context a generator gets beside the current query, by type.
+
+    ``last_user``: the previous user query; ``suggestions``: the level-1 drafts made for it, by
+    model; ``both``: the two joined; ``prefix``: nothing but the query itself.  Normalised and
+    tail-truncated; empty where there is no earlier turn.
+    """
+    if kind not in CONTEXT_TYPES:
+        raise ValueError(f"context type {kind!r}: one of {', '.join(CONTEXT_TYPES)}")
+    q = queries.select(conv, turn, "query_id")
+    if kind == "prefix":
+        return q.select("query_id", F.lit("").alias("context"))
+    pairs = followup_pairs(queries, conv, turn).select("query_id", "prev_query_id", normalize("prev_query").alias("_qx_u"))
+    if kind == "last_user":
+        text = pairs.select("query_id", F.col("_qx_u").alias("_qx_c"))
+    else:
+        said = (drafts.filter("level = 1").groupBy(F.col("query_id").alias("prev_query_id"))
+                .agg(F.array_sort(F.collect_list(F.struct("model_id", normalize("draft").alias("d")))).alias("_qx_s")))
+        listed = F.array_join(F.transform("_qx_s", lambda s: s["d"]), sep)
+        both = pairs.join(said, "prev_query_id", "left")
+        text = both.select("query_id", (F.concat_ws(sep, "_qx_u", listed) if kind == "both" else F.coalesce(listed, F.lit(""))).alias("_qx_c"))
+    return (q.join(text, "query_id", "left")
+            .select("query_id", truncate_tail(F.coalesce("_qx_c", F.lit("")), words).alias("context")))

@@ -79,8 +79,8 @@ def word_count(c) -> Column:
 
 def length_ratio(drafts: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
     """words(draft) / words(query), labelled brief / ok / verbose."""
-    j = drafts.join(queries.select(key, "query"), key)
-    ratio = F.try_divide(word_count("draft").cast("double"), word_count("query").cast("double"))
+    j = drafts.join(queries.select(key, word_count("query").alias("_qx_n")), key)  # counted once per query
+    ratio = F.try_divide(word_count("draft").cast("double"), F.col("_qx_n").cast("double"))
     label = (F.when(ratio.isNull(), F.lit(None)).when(ratio < BRIEF_BELOW, "brief")
              .when(ratio > VERBOSE_ABOVE, "verbose").otherwise("ok"))
     return j.select(*[c for c in drafts.columns if c != "draft"], F.round(ratio, 6).alias("ratio"), label.alias("label"))
@@ -88,9 +88,9 @@ def length_ratio(drafts: DataFrame, queries: DataFrame, key: str = "query_id") -
 
 def vacuous_output(drafts: DataFrame, queries: DataFrame, key: str = "query_id", group=GROUP) -> DataFrame:
     """Empty drafts and drafts equal to the query after normalisation, per group."""
-    j = drafts.join(queries.select(key, "query"), key)
-    empty = normalize("draft") == ""
-    same = normalize("draft") == normalize("query")
+    j = drafts.withColumn("_qx_d", normalize("draft")).join(queries.select(key, normalize("query").alias("_qx_q")), key)
+    empty = F.col("_qx_d") == ""
+    same = F.col("_qx_d") == F.col("_qx_q")
     return (j.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("empty"),
                                   F.count_if(same & ~empty).alias("echo"))
             .withColumn("share_vacuous", F.round((F.col("empty") + F.col("echo")) / F.col("n"), 6)))

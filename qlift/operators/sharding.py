@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from .ordering import dense_index
 
 
-def shard_round_robin(df: DataFrame, order_by, n: int, header: bool = False, col: str = "shard") -> DataFrame:
+def shard_round_robin(df: DataFrame, order_by, n: int, header: bool = False, col: str = "shard",
+                      keep_index: bool = False) -> DataFrame:
     """``shard = idx % n``; with a header the header line is idx 0, so data row i has idx i+1."""
     out = dense_index(df, order_by, "_qx_i")
-    return out.withColumn(col, F.pmod(F.col("_qx_i") + F.lit(1 if header else 0), F.lit(n)).cast("bigint")).drop("_qx_i")
+    out = out.withColumn(col, F.pmod(F.col("_qx_i") + F.lit(1 if header else 0), F.lit(n)).cast("bigint"))
+    return out if keep_index else out.drop("_qx_i")
+
+
+def with_header(sharded: DataFrame, header: str, line_col: str, n: int, col: str = "shard") -> DataFrame:
+    """The shards as lines with ``header`` as the first line of each (``line_no`` 0)."""
+    spark = sharded.sparkSession
+    top = spark.range(n).select(F.col("id").alias(col), F.lit(0).cast("bigint").alias("line_no"), F.lit(header).alias(line_col))
+    rows = sharded.select(col, (F.expr(f"_qx_i div {int(n)}") + 1).alias("line_no"), line_col)
+    return top.unionByName(rows)
 
 
 def write_shards(df: DataFrame, path: str, col: str = "shard") -> str:

@@ -116,6 +116,15 @@ def explode_suggestions(df: DataFrame, flat_col: str, n_inputs, num_seq: int, be
                       F.posexplode("_qx_s").alias("rank", "suggestion"))
 
 
+def suggestion_records(df: DataFrame, prefix: str, lang: str, suggestions: str, rank: str, keys: list[str]) -> DataFrame:
+    """D7 with B7: one record ``{prefix, suggestions: [..], lang}`` per input, suggestions in rank order
+    (a group holds one input's suggestions, bounded by the beam)."""
+    return (df.groupBy(*keys).agg(F.first(prefix).alias("prefix"),
+                                  F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(suggestions).alias("s")))).alias("_qx_s"),
+                                  F.first(lang).alias("lang"))
+            .select(*keys, "prefix", F.transform("_qx_s", lambda x: x["s"]).alias("suggestions"), "lang"))
+
+
 def pivot_models(df: DataFrame, row: str, col: str, values, text_col: str) -> DataFrame:
     """Row x level matrix of counts and mean text lengths (literal pivot values)."""
     return (df.groupBy(row).pivot(col, list(values))

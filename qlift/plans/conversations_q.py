@@ -78,6 +78,24 @@ def g05(spark, sf):
     return CV.session_context(q, "conv_id", "turn", "query", 3)
 
 
+_LAST = dnorm("lag(query) OVER w")
+
+
+@query("g05c_context_types", ["fx_queries", "fx_drafts"], f"""
+, u AS (SELECT query_id, lag(query_id) OVER w AS prev_id, {_LAST} AS last_user FROM fx_queries WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT query_id AS prev_id, string_agg({dnorm('draft')}, ' | ' ORDER BY model_id) AS said FROM fx_drafts WHERE level = 1 GROUP BY query_id),
+x AS (SELECT u.query_id, coalesce(last_user, '') AS last_user, coalesce(said, '') AS suggestions,
+        CASE WHEN prev_id IS NULL THEN '' ELSE concat_ws(' | ', last_user, said) END AS both_ FROM u LEFT JOIN s USING (prev_id))
+SELECT query_id, {dtrunc('last_user', 40)} AS last_user, {dtrunc('suggestions', 40)} AS suggestions, {dtrunc('both_', 40)} AS "both", '' AS prefix FROM x""")
+def g05c(spark, sf):
+    t = Tables(spark, sf)
+    out = t.fx_queries.select("query_id")
+    for kind in CV.CONTEXT_TYPES:
+        c = CV.typed_context(t.fx_queries, t.fx_drafts, kind).withColumnRenamed("context", kind)
+        out = out.join(c, "query_id")
+    return out
+
+
 @query("g05b_session_history", [], _ctx("conversations", "text", "conv_id, turn", 2))
 def g05b(spark, sf):
     c = Tables(spark, sf).conversations

@@ -70,6 +70,26 @@ def a06(spark, sf):
     return spark.read.schema(files.QUERY_SCHEMA).json(path)
 
 
+@query("a06b_rows_written", ["fx_queries"], "SELECT count(*) AS rows_written FROM fx_queries")
+def a06b(spark, sf):
+    t = Tables(spark, sf)
+    n = files.write_jsonl_counted(t.fx_queries, scratch_path(spark, "a06b"))
+    return spark.range(1).select(F.lit(n).cast("bigint").alias("rows_written"))
+
+
+@query("a07b_shard_headers", [], """
+SELECT shard, line_no, line FROM (
+  SELECT CAST(i % 8 AS BIGINT) AS shard, CAST((i - 1) // 8 + 1 AS BIGINT) AS line_no, line FROM (
+    SELECT row_number() OVER (ORDER BY doc_id) AS i, CAST(doc_id AS VARCHAR) || chr(9) || source AS line FROM documents) a
+  UNION ALL SELECT CAST(range AS BIGINT), CAST(0 AS BIGINT), 'doc_id' || chr(9) || 'source' FROM range(0, 8)) x
+""")
+def a07b(spark, sf):
+    t = Tables(spark, sf)
+    lines = t.documents.select("doc_id", F.concat_ws("\t", F.col("doc_id").cast("string"), "source").alias("line"))
+    sharded = sharding.shard_round_robin(lines, "doc_id", 8, header=True, keep_index=True)
+    return sharding.with_header(sharded, "doc_id\tsource", "line", 8)
+
+
 @query("a07_shard_round_robin", [], """
 SELECT shard, count(*) AS n_rows FROM (
   SELECT CAST(row_number() OVER (ORDER BY doc_id) % 8 AS BIGINT) AS shard FROM documents) AS s

@@ -101,6 +101,21 @@ def d07(spark, sf):
                       F.col("rank").cast("bigint").alias("rank"), "suggestion")
 
 
+@query("d07b_suggestion_records", ["fx_queries", "fx_drafts"], """
+SELECT q.query_id, d.level, q.query AS prefix, to_json(list(d.draft ORDER BY d.model_id)) AS suggestions, 'l' || (q.conv_id % 3) AS lang
+FROM fx_queries q JOIN fx_drafts d USING (query_id) WHERE d.model_id < 5 GROUP BY q.query_id, d.level, q.query, q.conv_id""")
+def d07b(spark, sf):
+    t = Tables(spark, sf)
+    # seven beams per input, five wanted: the list holds the first five of each
+    flat = (t.fx_drafts.filter("model_id < 5").groupBy("query_id")
+            .agg(F.array_sort(F.collect_list(F.struct("level", "model_id", "draft"))).alias("_p"))
+            .select("query_id", F.transform("_p", lambda s: s["draft"]).alias("flat")))
+    ranked = TB.explode_suggestions(flat, "flat", 4, num_seq=5, beam=7).withColumn("level", (F.col("input_pos") + 1).cast("bigint"))
+    q = t.fx_queries.select("query_id", "query", F.concat(F.lit("l"), (F.col("conv_id") % 3).cast("string")).alias("lang"))
+    out = TB.suggestion_records(ranked.join(q, "query_id"), "query", "lang", "suggestion", "rank", ["query_id", "level"])
+    return out.select("query_id", "level", "prefix", F.to_json("suggestions").alias("suggestions"), "lang")
+
+
 @query("d08_pivot_models", ["fx_drafts"], "SELECT model_id, " + ", ".join(
     f'count(*) FILTER (WHERE level = {n}) AS "{n}_n", round(avg(length(draft)) FILTER (WHERE level = {n}), 6) AS "{n}_mean_len"'
     for n in TB.LEVELS) + " FROM fx_drafts GROUP BY model_id")

@@ -20,16 +20,12 @@ QUERY_SCHEMA = T.StructType([
 ])
 
 
-class InvalidRecords(ValueError):
-    pass
-
-
 def read_queries(spark: SparkSession, path: str, schema: T.StructType = QUERY_SCHEMA, strict: bool = True,
                  required: str = "query"):
     """A1: JSON lines to typed rows.  Every line must parse and carry ``required``.
 
-    ``strict=True`` raises :class:`InvalidRecords` when any line fails (one extra counting
-    pass, like a validation scan); ``strict=False`` returns ``(rows, quarantine)`` where the
+    ``strict=True`` fails the job that reads the rows (``InvalidRecords`` in its message) as soon
+    as a line fails: one scan, no driver action; ``strict=False`` returns ``(rows, quarantine)`` where the
     quarantine keeps the raw text of the rejected lines.
     """
     s = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
@@ -38,10 +34,9 @@ def read_queries(spark: SparkSession, path: str, schema: T.StructType = QUERY_SC
     bad = F.col(CORRUPT).isNotNull() | F.col(required).isNull()
     good = raw.filter(~bad).drop(CORRUPT)
     if strict:
-        n_bad = raw.filter(bad).count()
-        if n_bad:
-            raise InvalidRecords(f"{n_bad} line(s) in {path} are not JSON objects with '{required}'")
-        return good
+        said = F.concat(F.lit(f"InvalidRecords: a line in {path} is no JSON object with '{required}': "),
+                        F.coalesce(F.substring(F.col(CORRUPT), 1, 200), F.lit("field missing")))
+        return raw.filter(F.when(bad, F.raise_error(said).cast("boolean")).otherwise(F.lit(True))).drop(CORRUPT)
     quarantine = raw.filter(bad).select(F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*schema.names))).alias("raw"))
     return good, quarantine
 
@@ -69,6 +64,15 @@ def write_jsonl(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_jsonl_counted(df: DataFrame, path: str) -> int:
+    """The same with the number of rows written, observed by the write itself (no second pass)."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    write_jsonl(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+    return seen.get["rows"]
+
+
 def write_lines(df: DataFrame, col: str, path: str) -> str:
     df.select(F.col(col).alias("value")).write.mode("overwrite").text(path)
     return path
