@@ -11,8 +11,8 @@ correct token sequences.  It starts with one state per symbol and every arc.  Th
 
 The dense table would need vocabulary squared entries, so ``TokenAutomaton`` keeps per token its parts and birth
 time and the removed arcs, and works out an arc of the table when a word first asks for it.  A word has one accepted
-path; it is found from left to right, keeping for each prefix the last token of its path, each step a look-up in the
-arc table.  Decoding emits the label of each arc.
+path; it is found from left to right, the longest arc first, each step a look-up in the arc table, and a state and
+place that led nowhere is left out from then on.  Decoding emits the label of each arc.
 
 A text is cut as the tokenizer file says (NFC, lower case, contractions, runs of letters, single digits, runs of
 other signs); no word spans white space, so the ids of each white-space chunk are kept in a bounded table of the
@@ -70,7 +70,7 @@ def load_spec(path: str) -> dict:
 class TokenAutomaton:
     """Deterministic automaton over tokens; ``path(word)`` gives the ids of a word's only accepted path."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], mark: str, arcs_kept: int = 400_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], mark: str, arcs_kept: int = 300_000):
         def spell(t):
             return t[: -len(mark)] + END if t.endswith(mark) else t
 
@@ -88,7 +88,12 @@ class TokenAutomaton:
                 self.tokens[spell(t)] = i
         for time, (a, b) in enumerate(merges, 1):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time, spell(a + b))
-        self.longest = max(map(len, self.tokens))
+        self.spellings: dict = {}  # the tokens' spellings as nested tables; a token stands under ""
+        for t, i in self.tokens.items():
+            node = self.spellings
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = i
 
     def _gadget(self, u: int, v: int, uv: int, time: int, spelling: str) -> None:
         if not self._arc_at(u, v, time):
@@ -126,52 +131,83 @@ class TokenAutomaton:
         return found
 
     def path(self, word: str) -> list[int]:
-        """``word``: byte symbols, then ``END``."""
-        tokens, arc, longest = self.tokens, self.arc, self.longest
-        whole = tokens.get(word)
+        """``word``: byte symbols, then ``END``.  Follows the longest arc first; what led nowhere is not tried again."""
+        whole = self.tokens.get(word)
         if whole is not None:
             return [whole]
-        last = [START]
-        begin = [0]
-        for i in range(1, len(word) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                t = tokens.get(word[j:i])
-                if t is not None and last[j] is not None and arc(last[j], t):
-                    last.append(t)
-                    begin.append(j)
-                    break
+        spellings, arcs, n = self.spellings, self.arcs, len(word)
+        out: list[int] = []
+        ends = [0]
+        dead: set[tuple[int, int]] = set()
+        untried: list[list[tuple[int, int]]] = []  # per step the tokens spelled from its place on, longest last
+        last, at = START, 0
+        while True:
+            if len(untried) == len(out):
+                node, choices = spellings, []
+                for end in range(at, n):
+                    node = node.get(word[end])
+                    if node is None:
+                        break
+                    t = node.get("")
+                    if t is not None:
+                        choices.append((t, end + 1))
+                untried.append(choices)
+            else:
+                choices = untried[-1]
+            while choices:
+                t, end = choices.pop()
+                if last >= 0:
+                    found = arcs.get(last << 20 | t)
+                    if not (self.arc(last, t) if found is None else found):
+                        continue
+                if dead and (t, end) in dead:
+                    continue
+                out.append(t)
+                if end == n:
+                    return out
+                last, at = t, end
+                ends.append(end)
+                break
             else:
-                last.append(None)
-                begin.append(0)
-        out, i = [], len(word)
-        while i:
-            out.append(last[i])
-            i = begin[i]
-        return out[::-1]
+                if not out:
+                    raise ValueError(f"no path for {word[:60]!r}")
+                untried.pop()
+                dead.add((out.pop(), ends.pop()))
+                last, at = (out[-1], ends[-1]) if out else (START, 0)
 
 
 class Codec:
     """Texts to ids and back, with a bounded table of chunks seen."""
 
-    def __init__(self, spec: dict, chunks_kept: int = 400_000):
+    def __init__(self, spec: dict, kept: int = 300_000):
         self.automaton = TokenAutomaton(spec["vocab"], spec["merges"], spec["mark"])
         self.special = spec["special"]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.labels = {i: t for t, i in {**spec["vocab"], **self.special}.items()}
         self.symbols = _byte_symbols()
         self.chunks: dict[str, list[int]] = {}
-        self.chunks_kept = chunks_kept
+        self.words: dict[str, list[int]] = {}
+        self.kept = kept
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
             text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
         else:
             text = text.lower()
-        out: list[int] = []
-        for w in _WORDS.findall(text):
+        if text.isalpha() and text.isascii():
+            return self._word(text)
+        return [i for w in _WORDS.findall(text) for i in self._word(w)]
+
+    def _word(self, w: str) -> list[int]:
+        ids = self.words.get(w)
+        if ids is None:
             s = w if w.isascii() and w.isalnum() else "".join([self.symbols[b] for b in w.encode("utf-8")])
-            out += self.automaton.path(s + END)
-        return out
+            ids = self.automaton.path(s + END)
+            if len(w) <= 64:
+                if len(self.words) >= self.kept:
+                    self.words.clear()
+                self.words[w] = ids
+        return ids
 
     def _chunk(self, chunk: str) -> list[int]:
         if self.split_special and "<|" in chunk:
@@ -180,7 +216,7 @@ class Codec:
         else:
             ids = self._plain(chunk)
         if len(chunk) <= 64:
-            if len(self.chunks) >= self.chunks_kept:
+            if len(self.chunks) >= self.kept:
                 self.chunks.clear()
             self.chunks[chunk] = ids
         return ids
