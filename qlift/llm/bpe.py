@@ -35,8 +35,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
-from .common import prepare, text_column
+from .common import chunks, prepare, text_column
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END = "\n"  # stands for the end-of-word mark; no byte symbol is spelled so
@@ -45,6 +46,7 @@ SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = regex.compile(f"[^{SPACES}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
 START = -1
+PART = 1 << 20  # bytes or ids of a part of a batch
 
 
 def _byte_symbols() -> list[str]:
@@ -256,30 +258,41 @@ def _broadcast(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(load_spec(path or _tokenizer_path()))
 
 
-def encode(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` in the column ``ids`` (array of int; a column of that name is replaced)."""
-    spec = _broadcast(docs.sparkSession, path)
-
-    @F.pandas_udf("array<int>")
-    def to_ids(text):
-        import numpy as np
+def _with_column(df: DataFrame, name: str, kind: DataType, arrow, make, spec):
+    """For ``mapInArrow`` over the other columns and the source column: the function that adds ``name = make(codec,
+    source)`` and passes batches on in small parts, its schema, and the other columns."""
+    others = [n for n in df.columns if n != name]
+    schema = StructType([*[df.schema[n] for n in others], StructField(name, kind)])
 
+    def run(batches):
         codec = _codec(spec)
-        return text.map(lambda t: np.array(codec.encode(t), dtype=np.int32))
+        for b in batches:
+            source = b.column(b.num_columns - 1)
+            kept = b.select(list(range(b.num_columns - 1)))
+            for i, j in chunks(_sizes(source), PART):
+                made = pa.array([make(codec, x.as_py()) for x in source.slice(i, j - i)], arrow)
+                yield pa.RecordBatch.from_arrays([*kept.slice(i, j - i).columns, made], names=[*others, name])
 
-    return docs.withColumn(ids, to_ids(text_column("`text`")))
+    return run, schema, others
 
 
-def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``rows`` with the decoded text of the id array ``ids`` (null: null)."""
-    spec = _broadcast(rows.sparkSession, path)
+def _sizes(column) -> list[int]:
+    import pyarrow.compute as pc
+
+    measure = pc.binary_length if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pc.list_value_length
+    return pc.fill_null(measure(column), 0).to_pylist()
 
-    @F.pandas_udf("string")
-    def to_text(ids):
-        codec = _codec(spec)
-        return ids.map(lambda x: None if x is None else codec.decode(x))
 
-    return rows.withColumn(text, to_text(F.col(f"`{ids}`")))
+def encode(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
+    """``docs`` with the token ids of ``text`` in the column ``ids`` (array of int; a column of that name is replaced)."""
+    run, schema, others = _with_column(docs, ids, ArrayType(IntegerType()), pa.list_(pa.int32()), lambda c, x: c.encode(x), _broadcast(docs.sparkSession, path))
+    return docs.select(*[F.col(f"`{n}`") for n in others], text_column("`text`").alias("__source")).mapInArrow(run, schema)
+
+
+def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``rows`` with the decoded text of the id array ``ids`` (null: null) in the column ``text`` (one of that name is replaced)."""
+    run, schema, others = _with_column(rows, text, StringType(), pa.string(), lambda c, x: None if x is None else c.decode(x), _broadcast(rows.sparkSession, path))
+    return rows.select(*[F.col(f"`{n}`") for n in others], F.col(f"`{ids}`").alias("__source")).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
