@@ -31,8 +31,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
+    "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
 # A text without this character has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
@@ -179,3 +179,43 @@ def op7_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in (*BASE_KINDS, *ADDED_KINDS)]
     return d.select("doc_id", *counts, F.sha2(span_string(base), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    """DuckDB: plain forms of the patterns (its matcher is linear); ``\b`` is ASCII there, as the look-arounds here."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = (f"list_sum(list_transform(range(0, length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN substr({digits}, length({digits}) - i, 1)::INT "
+            f"WHEN substr({digits}, length({digits}) - i, 1)::INT > 4 THEN 2 * substr({digits}, length({digits}) - i, 1)::INT - 9 "
+            f"ELSE 2 * substr({digits}, length({digits}) - i, 1)::INT END)) % 10 = 0")
+    moved = "(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4))"
+    mod97 = (f"list_reduce(list_transform(range(1, length({moved}) + 1), lambda i: CASE WHEN regexp_matches(substr({moved}, i, 1), '[0-9]') "
+             f"THEN substr({moved}, i, 1)::BIGINT ELSE (ascii(substr({moved}, i, 1)) - 55)::BIGINT END), "
+             "lambda x, y: CASE WHEN y > 9 THEN (x * 100 + y) % 97 ELSE (x * 10 + y) % 97 END) = 1")
+    near = ("regexp_matches(lower(substr(t, greatest(a - 39, 1), least(a, 40)) || ' ' || substr(t, a + length(v) + 1, 40)), "
+            "'(^|[^a-z])(ssn|social|security|insurance)')")
+    checks = {
+        "email": "true", "ip": "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR lpad(ltrim(x, '0'), 3, '0') > '255')) = 0",
+        "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 10 AND 15", "iban": mod97, "ssn": near,
+    }
+    ctes, parts = ["d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"], []
+    for rank, (k, p) in enumerate(patterns.items()):
+        ctes.append(f"""m_{k} AS (SELECT doc_id, t, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS m FROM d WHERE regexp_matches(t, '{p}')),
+s_{k} AS (SELECT doc_id, t, m[i] AS v, (list_sum(list_transform(p[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM m_{k}, unnest(range(1, len(m) + 1)) AS u(i))""")
+        parts.append(f"SELECT doc_id, '{k}' AS kind, {rank} AS rank, a, a + length(v) AS e FROM s_{k} WHERE {checks[k]}")
+    ctes.append("spans AS (" + "\nUNION ALL ".join(parts) + ")")
+    said = "kind || ':' || a || ':' || e"
+    counts = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in patterns)
+    grouped = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in patterns)
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN (SELECT doc_id, {grouped}, string_agg({said}, ',' ORDER BY a, rank) FILTER (WHERE rank < 4) AS base,
+  string_agg({said}, ',' ORDER BY a, rank) AS spans FROM spans GROUP BY doc_id) AS g USING (doc_id)"""
+
+
+OP7_SQL = _oracle()

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_pii": pii.OP7_SQL,
     "op1_embed_dedup": embed_dedup.OP1_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

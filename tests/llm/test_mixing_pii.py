@@ -119,3 +119,13 @@ def test_query_digest(spark, tmp_path):
         want = plain(HARD[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in want) for x in pii.BASE_KINDS)
+
+
+def test_pii_oracle(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op7_pii(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(f"select {', '.join(got.columns)} from ({pii.OP7_SQL})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
