@@ -8,12 +8,14 @@ that length that could repeat are sorted as suffixes, to the depth of 50 bytes:
 * deep: a blind trie of each remaining group orders it by the bytes where its members differ, so the long common
   prefixes are read once per suffix; neighbours that agree on all 50 bytes are one class.
 
+Equal texts are one text with the smallest of their ids: the larger ids lose everything (or nothing, under 50 bytes).
+
 How suffixes meet: every string of 50 bytes holds a minimizer, the least hash among its ``GRAM``-byte grams.  Equal strings
 have equal minimizers, so runs of consecutive strings with one minimizer (cut at 31) travel as one piece of text.  Per block of
 documents a piece is sent once, for the smallest document that holds it; the same piece in a
 larger document of the block is gone anyway.  Only pieces whose minimizer occurs in at least two blocks travel.
 
-Steps: (1) blocks emit their distinct minimizers; (2) minimizers seen in two blocks or more come back to the blocks, which emit
+Steps: (0) each task passes a text on once, to the block that its digest names; (1) blocks emit their distinct minimizers; (2) minimizers seen in two blocks or more come back to the blocks, which emit
 their pieces; (3) buckets of pieces sort the suffixes and answer with a bit mask of the strings that start in a smaller
 document; (4) blocks lay the masks over their documents.  The text is shuffled once (the exchange by
 block serves steps 1, 2 and 4); pieces go to buckets by minimizer, and the strings of a minimizer in more than ``HOT_BLOCKS``
@@ -45,6 +47,8 @@ BUCKET_BYTES = 4 << 20
 HOT_BLOCKS = 20_000
 CHUNK = 1 << 20
 NO_ID = (1 << 63) - 1
+HASH_MASK = np.uint64((1 << 48) - 1)  # of a minimizer's hash; a chance match only sends a piece for nothing
+NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def _words(x: np.ndarray) -> np.ndarray:
@@ -104,7 +108,7 @@ def pieces(texts: list[bytes]):
     parts = -(-size // RUN)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     start, size, of = np.repeat(start, parts) + nth * RUN, np.repeat(size, parts) - nth * RUN, np.repeat(of, parts)
-    return of, start - begin[of], np.minimum(size, RUN), least[start]
+    return of, start - begin[of], np.minimum(size, RUN), least[start] & HASH_MASK
 
 
 def _in_chunks(texts):
@@ -114,22 +118,40 @@ def _in_chunks(texts):
         yield of + i, start, size, least
 
 
-def _minimizers(key, rows: pd.DataFrame) -> pd.DataFrame:
-    texts = [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
-    h = np.unique(np.concatenate([least for *_, least in _in_chunks(texts)] or [np.empty(0, np.uint64)]))
+def _once(batches):
+    """Passes each text on once per task; ids stay with the table of digests."""
+    seen: set[bytes] = set()
+    for b in batches:
+        new = ~b["digest"].duplicated() & ~b["digest"].isin(seen)
+        seen.update(b["digest"][new])
+        yield b[new]
+
+
+def _texts(docs: pd.DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """The block's distinct texts in the order of their digests, and the digests."""
+    docs = docs.drop_duplicates("digest").sort_values("digest")
+    return [t.encode("utf-8", "surrogatepass") for t in docs["text"]], docs["digest"].tolist()
+
+
+def _minimizers(key, docs: pd.DataFrame) -> pd.DataFrame:
+    texts, _ = _texts(docs)
+    h = np.unique(np.concatenate([least for *_, least in _in_chunks(texts)]))
     return pd.DataFrame({"h": h.view(np.int64), "block": np.full(len(h), key[0], np.int32)})
 
 
 def _seen_pieces(buckets: int):
-    def run(key, docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    def run(key, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """The block's pieces: those that must be compared elsewhere, and masks settled here (bucket spread by start)."""
-        h_all, hot_all = shared["h"].to_numpy().view(np.uint64), shared["hot"].to_numpy()
+        texts, digests = _texts(docs)
+        named = known[known["digest"].notna()]
+        id_of = dict(zip(named["digest"], named["key"]))
+        by_id = sorted(range(len(texts)), key=lambda n: id_of[digests[n]])  # smaller ids first: they keep their pieces
+        ids = [id_of[digests[n]] for n in by_id]
+        row, texts = by_id, [texts[n] for n in by_id]
+        shared = known[known["digest"].isna()]
+        h_all, hot_all = shared["h"].to_numpy(np.int64).view(np.uint64), shared["hot"].to_numpy(bool)
         order = np.argsort(h_all)
         h_all, hot_all = h_all[order], hot_all[order]
-        docs = docs.sort_values("key", kind="stable")
-        ids = docs["key"].to_numpy()
-        texts = [t.encode("utf-8", "surrogatepass") for t in docs["text"]]
-        row = docs["row"].to_numpy()
         first: dict[bytes, int] = {}  # piece -> smallest id here
         out = {n: [] for n in ("bucket", "row", "key", "start", "strings", "piece")}
 
@@ -155,7 +177,7 @@ def _seen_pieces(buckets: int):
                         put(xxhash.xxh64_intdigest(one) % buckets, n, s + i, 1, one)
                 else:
                     put(b, n, s, k, piece)
-        d = pd.DataFrame(out, columns=list(out)).astype({"bucket": "int64", "row": "int64", "key": "int64", "start": "int32", "strings": "int32"})
+        d = pd.DataFrame(out, columns=list(out)).astype({"bucket": "int64", "row": "int32", "key": "int64", "start": "int32", "strings": "int32"})
         d["block"] = np.int32(key[0])
         return d[["bucket", "block", "row", "key", "start", "strings", "piece"]]
 
@@ -260,11 +282,11 @@ def _judge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut(key, docs: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+    texts, digests = _texts(docs)
     masks = masks.sort_values("row")
     m_row, m_start, m_bits = masks["row"].to_numpy(), masks["start"].to_numpy(np.int64), masks["mask"].to_numpy()
     out = []
-    for row, doc_id, text in zip(docs["row"], docs["doc_id"], docs["text"]):
-        data = text.encode("utf-8", "surrogatepass")
+    for row, (data, digest) in enumerate(zip(texts, digests)):
         a, b = np.searchsorted(m_row, row, "left"), np.searchsorted(m_row, row, "right")
         gone, runs, kept = 0, 0, data
         if a < b:
@@ -277,8 +299,8 @@ def _cut(key, docs: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
             gone = int(cover.sum())
             runs = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
             kept = np.frombuffer(data, np.uint8)[~cover].tobytes()
-        out.append((None if pd.isna(doc_id) else int(doc_id), len(data), gone, runs, hashlib.sha256(kept).hexdigest(), kept))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+        out.append((digest, gone, runs, hashlib.sha256(kept).hexdigest(), kept))
+    return pd.DataFrame(out, columns=["digest", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -287,20 +309,35 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     d = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), text_column("`text`").alias("text"))
     blocks = count_blocks(d, "text", BLOCK_BYTES, 48)
     buckets = max(48, blocks * BLOCK_BYTES // BUCKET_BYTES)
-    d = d.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
-    d = d.withColumn("row", F.xxhash64("key", "text"))
-    d = d.withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks)).cast("int"))
-    h = d.groupBy("block").applyInPandas(_minimizers, "h long, block int")
+    block = F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int").alias("block")
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    members = d.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), digest)
+    firsts = members.groupBy("digest").agg(F.min("key").alias("key"))
+    texts = d.select(digest, "text").mapInPandas(_once, "digest binary, text string").select(block, "digest", "text")
+    h = texts.groupBy("block").applyInPandas(_minimizers, "h long, block int")
     same = Window.partitionBy("h")
     shared = (h.withColumn("lo", F.min("block").over(same)).withColumn("hi", F.max("block").over(same)).withColumn("n", F.count("*").over(same))
-              .where("lo < hi").select("h", "block", (F.col("n") > HOT_BLOCKS).alias("hot")))
-    piece = d.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(
-        _seen_pieces(buckets), "bucket long, block int, row long, key long, start int, strings int, piece binary")
-    masks = piece.groupBy("bucket").applyInPandas(_judge_bucket, "block int, row long, start int, mask long")
-    out = d.groupBy("block").cogroup(masks.groupBy("block")).applyInPandas(
+              .where("lo < hi").select("block", "h", (F.col("n") > HOT_BLOCKS).alias("hot")))
+    # no null numbers: pandas would read the column as floating point
+    known = shared.select("block", "h", "hot", F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("key")).unionByName(
+        firsts.select(block, F.lit(0).cast("long").alias("h"), F.lit(False).alias("hot"), "digest", "key"))
+    piece = texts.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
+        _seen_pieces(buckets), "bucket long, block int, row int, key long, start int, strings int, piece binary")
+    masks = piece.groupBy("bucket").applyInPandas(_judge_bucket, "block int, row int, start int, mask long")
+    cut = texts.groupBy("block").cogroup(masks.groupBy("block")).applyInPandas(
         _cut if with_text else lambda key, a, b: _cut(key, a, b).drop(columns="kept"),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
-    return out
+        "digest binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    # the keys are turned around so that both sides are exchanged for this join and a digest of many copies can be split
+    around = F.reverse(F.hex("digest")).alias("around")
+    cut = cut.join(firsts.withColumnRenamed("key", "first"), "digest").select(around, "first", *cut.columns[1:])
+    out = members.select("*", around).join(cut, "around")
+    copy = (F.col("key") > F.col("first")) & (F.col("n_bytes") >= SPAN)
+    columns = ["doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+               F.when(copy, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
+               F.when(copy, F.lit(NOTHING)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
+    if with_text:
+        columns.append(F.when(copy, F.unhex(F.lit(""))).otherwise(F.col("kept")).alias("kept"))
+    return out.select(*columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
