@@ -20,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import saved, text_column
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,13 +62,15 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 42, max_repeat: int = 3) -> DataFrame:
     """Every document with its part in the mix: ``row`` (the whole input row), ``size, source_size, target, copies``.
 
-    ``docs`` needs ``doc_id, text, source``.  The text never passes an exchange unless the caller reads ``row``
-    fields that hold it; the source table is joined by Spark's own choice (broadcast while it is small).
+    ``docs`` needs ``doc_id, text, source``.  The source table is worked out first and counted: up to
+    ``BROADCAST_SOURCES`` rows it is broadcast, so that no row of ``docs`` moves; beyond that it is joined by shuffle.
     """
     d = docs.select(F.struct(F.col("*")).alias("row"), F.col("`source`").alias("source"),
                     word_count(text_column("`text`")).alias("size"))
     t = source_targets(d.select("source", "size"), max_repeat)
-    t = t.select(F.col("source").alias("of_source"), "source_size", "target")
+    t = saved(t.select(F.col("source").alias("of_source"), "source_size", "target"))
+    if t.count() <= BROADCAST_SOURCES:
+        t = F.broadcast(t)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = (coin(F.col("row.doc_id"), seed) < (rate - F.floor(rate))).cast("long")
     return (d.join(t, d["source"].eqNullSafe(t["of_source"]), "left")
