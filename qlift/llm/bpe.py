@@ -72,7 +72,7 @@ def load_spec(path: str) -> dict:
 class TokenAutomaton:
     """Deterministic automaton over tokens; ``path(word)`` gives the ids of a word's only accepted path."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], mark: str, arcs_kept: int = 300_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], mark: str, arcs_kept: int = 200_000):
         def spell(t):
             return t[: -len(mark)] + END if t.endswith(mark) else t
 
@@ -181,7 +181,7 @@ class TokenAutomaton:
 class Codec:
     """Texts to ids and back, with a bounded table of chunks seen."""
 
-    def __init__(self, spec: dict, kept: int = 300_000):
+    def __init__(self, spec: dict, kept: int = 200_000):
         self.automaton = TokenAutomaton(spec["vocab"], spec["merges"], spec["mark"])
         self.special = spec["special"]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
