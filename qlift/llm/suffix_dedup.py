@@ -13,7 +13,8 @@ Equal texts are one text with the smallest of their ids: the larger ids lose eve
 How suffixes meet: every string of 50 bytes holds a minimizer, the least hash among its ``GRAM``-byte grams.  Equal strings
 have equal minimizers, so runs of consecutive strings with one minimizer (cut at 31) travel as one piece of text.  Per block of
 documents a piece is sent once, for the smallest document that holds it; the same piece in a
-larger document of the block is gone anyway.  Only pieces whose minimizer occurs in at least two blocks travel.
+larger document of the block is gone anyway.  Only pieces whose minimizer occurs in at least two blocks travel; those
+whose minimizer only documents of one block share are sorted in that block, a megabyte of whole minimizers at a time.
 
 Steps: (0) each task passes a text on once, to the block that its digest names; (1) blocks emit their distinct minimizers; (2) minimizers seen in two blocks or more come back to the blocks, which emit
 their pieces; (3) buckets of pieces sort the suffixes and answer with a bit mask of the strings that start in a smaller
@@ -139,6 +140,23 @@ def _minimizers(key, docs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"h": h.view(np.int64), "block": np.full(len(h), key[0], np.int32)})
 
 
+def _settled_here(groups):
+    """``(text number, start, strings)`` of the runs that also start in a smaller document, from lists of
+    ``(text number, key, start, strings, piece)`` per minimizer."""
+    groups = [g for g in groups if len(g) > 1]
+    for i, j in chunks([sum(len(x[-1]) for x in g) for g in groups], CHUNK):
+        rows = pd.DataFrame([x for g in groups[i:j] for x in g], columns=["row", "key", "start", "strings", "piece"])
+        found = _judge_bucket(rows.assign(block=0))
+        for n, start, mask in zip(found["row"].tolist(), found["start"].tolist(), found["mask"].tolist()):
+            while mask:
+                skip = (mask & -mask).bit_length() - 1
+                mask >>= skip
+                k = (~mask & (mask + 1)).bit_length() - 1  # ones at the low end
+                yield n, start + skip, k
+                mask >>= k
+                start += skip + k
+
+
 def _seen_pieces(buckets: int):
     def run(key, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """The block's pieces: those that must be compared elsewhere, and masks settled here (bucket spread by start)."""
@@ -162,10 +180,14 @@ def _seen_pieces(buckets: int):
         of, start, size, least = (np.concatenate(c) for c in zip(*_in_chunks(texts)))
         at = np.minimum(np.searchsorted(h_all, least), max(len(h_all) - 1, 0))
         there = h_all[at] == least if len(h_all) else np.zeros(len(least), bool)
-        _, which, times = np.unique(least, return_inverse=True, return_counts=True)
-        look = np.nonzero(there | (times[which] > 1))[0]  # the others stand alone
+        _, which = np.unique(least, return_inverse=True)
+        low, high = np.full(len(which), len(texts)), np.full(len(which), -1)  # first and last text of each minimizer
+        np.minimum.at(low, which, of)
+        np.maximum.at(high, which, of)
+        look = np.nonzero(there | (low < high)[which])[0]  # the others stand alone
+        local: dict[int, list] = {}  # minimizer that only this block has -> its pieces
         bucket = (least[look] % np.uint64(buckets)).tolist()
-        for n, s, k, elsewhere, a, b in zip(of[look].tolist(), start[look].tolist(), size[look].tolist(), there[look].tolist(), at[look].tolist(), bucket):
+        for n, s, k, elsewhere, a, b, m in zip(of[look].tolist(), start[look].tolist(), size[look].tolist(), there[look].tolist(), at[look].tolist(), bucket, which[look].tolist()):
             piece = texts[n][s:s + k + SPAN - 1]
             before = first.setdefault(piece, ids[n])
             if before < ids[n]:
@@ -177,6 +199,10 @@ def _seen_pieces(buckets: int):
                         put(xxhash.xxh64_intdigest(one) % buckets, n, s + i, 1, one)
                 else:
                     put(b, n, s, k, piece)
+            else:
+                local.setdefault(m, []).append((n, ids[n], s, k, piece))
+        for n, s, k in _settled_here(local.values()):
+            put(s % buckets, n, s, k, None)
         d = pd.DataFrame(out, columns=list(out)).astype({"bucket": "int64", "row": "int32", "key": "int64", "start": "int32", "strings": "int32"})
         d["block"] = np.int32(key[0])
         return d[["bucket", "block", "row", "key", "start", "strings", "piece"]]

@@ -76,5 +76,21 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert all(hashlib.sha256(o.kept).hexdigest() == o.kept_sha256 for o in out)
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_repeats_within_a_block(spark, monkeypatch, blocks):
+    """A passage in different surroundings goes to its last byte, also if no other block holds it."""
+    monkeypatch.setattr(S, "count_blocks", lambda *_: blocks)
+    r = random.Random(6)
+    text = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    rows = corpus()
+    for i in range(100, 160, 2):
+        passage = text(r.choice([50, 51, 60, 75, 200]))
+        rows += [(i, text(90) + passage + text(90)), (i + 1, text(70) + passage + text(70))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((-1 if i is None else i, *b) for (i, _), b in zip(rows, brute(rows)))
+    got = S.remove_repeats(df, with_text=False).collect()
+    assert sorted((-1 if o.doc_id is None else o.doc_id, o.n_bytes, o.n_removed, o.n_spans, o.kept_sha256) for o in got) == want
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), with_text=False).count() == 0
