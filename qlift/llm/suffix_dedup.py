@@ -16,11 +16,13 @@ documents a piece is sent once, for the smallest document that holds it; the sam
 larger document of the block is gone anyway.  Only pieces whose minimizer occurs in at least two blocks travel; those
 whose minimizer only documents of one block share are sorted in that block, a megabyte of whole minimizers at a time.
 
-Steps: (0) each task passes a text on once, to the block that its digest names; (1) blocks emit their distinct minimizers; (2) minimizers seen in two blocks or more come back to the blocks, which emit
+Steps: (0) each task passes a text on once, to the block that its digest names; (1) blocks emit their distinct minimizers, each
+with the number of its different pieces; (2) minimizers seen in two blocks or more come back to the blocks, which emit
 their pieces; (3) buckets of pieces sort the suffixes and answer with a bit mask of the strings that start in a smaller
 document; (4) blocks lay the masks over their documents.  The text is shuffled once (the exchange by
 block serves steps 1, 2 and 4); pieces go to buckets by minimizer, and the strings of a minimizer in more than ``HOT_BLOCKS``
-blocks go by their own hash instead, so no bucket grows with one passage.
+blocks or with more than ``HOT_PIECES`` different pieces (counted per block in step 1, and summed) go by their own hash
+instead, so no bucket grows with one passage, nor with one short phrase in many surroundings.
 
 Edge cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; documents without id count as
 larger than all others and do not remove from each other; rows that repeat an id do not remove from each other; very long
@@ -46,6 +48,7 @@ SHALLOW = 24
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 HOT_BLOCKS = 20_000
+HOT_PIECES = 20_000  # at most 1.6 MB of a bucket
 CHUNK = 1 << 20
 NO_ID = (1 << 63) - 1
 HASH_MASK = np.uint64((1 << 48) - 1)  # of a minimizer's hash; a chance match only sends a piece for nothing
@@ -86,14 +89,15 @@ def _window_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(h) - width + 1], m[width - size: width - size + len(h) - width + 1])
 
 
-def pieces(texts: list[bytes]):
-    """Runs of strings with one minimizer: ``(text number, start in it, strings, minimizer)`` arrays, text by text."""
+def _marked_pieces(texts: list[bytes]):
+    """``pieces`` and, last, a hash of each piece (the sum of its grams' hashes)."""
     x = np.frombuffer(b"".join(texts), np.uint8)
     length = np.array([len(t) for t in texts], np.int64)
     if len(x) < SPAN:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     begin = np.cumsum(length) - length
-    least = _window_min(_gram_hashes(x), SPAN - GRAM + 1)
+    grams = _gram_hashes(x)
+    least = _window_min(grams, SPAN - GRAM + 1)
     change = np.empty(len(least), bool)
     change[0] = True
     np.not_equal(least[1:], least[:-1], out=change[1:])
@@ -109,7 +113,14 @@ def pieces(texts: list[bytes]):
     parts = -(-size // RUN)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     start, size, of = np.repeat(start, parts) + nth * RUN, np.repeat(size, parts) - nth * RUN, np.repeat(of, parts)
-    return of, start - begin[of], np.minimum(size, RUN), least[start] & HASH_MASK
+    size = np.minimum(size, RUN)
+    upto = np.append(np.uint64(0), np.cumsum(grams))
+    return of, start - begin[of], size, least[start] & HASH_MASK, upto[start + size + SPAN - GRAM] - upto[start]
+
+
+def pieces(texts: list[bytes]):
+    """Runs of strings with one minimizer: ``(text number, start in it, strings, minimizer)`` arrays, text by text."""
+    return _marked_pieces(texts)[:4]
 
 
 def _in_chunks(texts):
@@ -136,8 +147,13 @@ def _texts(docs: pd.DataFrame) -> tuple[list[bytes], list[bytes]]:
 
 def _minimizers(key, docs: pd.DataFrame) -> pd.DataFrame:
     texts, _ = _texts(docs)
-    h = np.unique(np.concatenate([least for *_, least in _in_chunks(texts)]))
-    return pd.DataFrame({"h": h.view(np.int64), "block": np.full(len(h), key[0], np.int32)})
+    least, mark = (np.concatenate(c) for c in zip(*[_marked_pieces(texts[i:j])[3:] for i, j in chunks([len(t) for t in texts], CHUNK)]))
+    order = np.lexsort((mark, least))
+    least, mark = least[order], mark[order]
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (mark[1:] != mark[:-1])
+    h, n = np.unique(least[new], return_counts=True)  # a block sends a piece once
+    return pd.DataFrame({"h": h.view(np.int64), "block": np.full(len(h), key[0], np.int32), "pieces": n.astype(np.int32)})
 
 
 def _settled_here(groups):
@@ -340,10 +356,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     members = d.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), digest)
     firsts = members.groupBy("digest").agg(F.min("key").alias("key"))
     texts = d.select(digest, "text").mapInPandas(_once, "digest binary, text string").select(block, "digest", "text")
-    h = texts.groupBy("block").applyInPandas(_minimizers, "h long, block int")
+    h = texts.groupBy("block").applyInPandas(_minimizers, "h long, block int, pieces int")
     same = Window.partitionBy("h")
     shared = (h.withColumn("lo", F.min("block").over(same)).withColumn("hi", F.max("block").over(same)).withColumn("n", F.count("*").over(same))
-              .where("lo < hi").select("block", "h", (F.col("n") > HOT_BLOCKS).alias("hot")))
+              .withColumn("pieces", F.sum("pieces").over(same))
+              .where("lo < hi").select("block", "h", ((F.col("n") > HOT_BLOCKS) | (F.col("pieces") > HOT_PIECES)).alias("hot")))
     # no null numbers: pandas would read the column as floating point
     known = shared.select("block", "h", "hot", F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("key")).unionByName(
         firsts.select(block, F.lit(0).cast("long").alias("h"), F.lit(False).alias("hot"), "digest", "key"))

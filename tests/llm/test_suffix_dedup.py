@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from qlift.llm import suffix_dedup as S
@@ -92,5 +93,26 @@ def test_repeats_within_a_block(spark, monkeypatch, blocks):
     assert sorted((-1 if o.doc_id is None else o.doc_id, o.n_bytes, o.n_removed, o.n_spans, o.kept_sha256) for o in got) == want
 
 
+def test_a_phrase_in_many_surroundings_is_spread(spark, monkeypatch):
+    """Few blocks, many different pieces with one minimizer: no bucket takes them all."""
+    judge, phrase = S._judge_bucket, b"the one phrase that all of these hold"
+
+    def guarded(rows):
+        assert sum(phrase in p for p in rows["piece"].dropna()) < 300
+        return judge(rows)
+
+    monkeypatch.setattr(S, "HOT_PIECES", 100, raising=False)
+    monkeypatch.setattr(S, "_judge_bucket", guarded)
+    monkeypatch.setattr(S, "count_blocks", lambda *_: 3)
+    r = random.Random(7)
+    text = lambda: "".join(r.choices("abcdefghijklmnop", k=60))
+    rows = [(i, text() + phrase.decode() + text()) for i in range(600)] + [(i, "left side of it " + phrase.decode() + text()) for i in range(600, 620)]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+    assert sorted((o.doc_id, o.n_bytes, o.n_removed, o.n_spans, o.kept_sha256) for o in got) == sorted((i, *b) for (i, _), b in zip(rows, brute(rows)))
+    # equal pieces count once, so a passage in many texts of a block is not hot by that
+    same = pd.DataFrame({"digest": [bytes([i]) for i in range(9)], "text": [f"{i}" + "\n" * 49 + "0123456789" * 12 for i in range(9)]})
+    assert S._minimizers((0,), same)["pieces"].max() < 9
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), with_text=False).count() == 0
