@@ -5,7 +5,7 @@ that an edit changes only the pieces it touches.  Every piece is hashed to a wid
 so the order of the pieces does not matter, and pieces can be inserted or deleted by adding or subtracting:
 
 * 8 random lanes modulo 2**64: equal multisets, and only those (but for 512-bit accidents), have equal lanes;
-* 256 lanes of +1 or -1 modulo 2**16: their inner product estimates how much two multisets share, so the cosine of two
+* 256 lanes of +1 or -1 modulo 2**32 (a text has under 2**30 pieces): their inner product estimates how much two multisets share, so the cosine of two
   fingerprints is their likeness (0 to 1, error about 0.06).
 
 A piece is its words; white space inside it does not count.  ``op6`` compares each text with its edited text and with
@@ -32,7 +32,7 @@ from .common import count_blocks, prepare, text_column
 
 EXACT_LANES = 8
 SIGN_WORDS = 4  # 64 signs each
-WIDTH = EXACT_LANES * 4 + SIGN_WORDS * 64  # in 16-bit units
+WIDTH = EXACT_LANES * 4 + SIGN_WORDS * 64 * 2  # in 16-bit units
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 10_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -69,7 +69,7 @@ def vector(hashes: np.ndarray) -> np.ndarray:
         s = _mixed(h + _ODD * np.arange(101, 101 + SIGN_WORDS, dtype=np.uint64))
         ones = np.unpackbits(s.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
         signs += 2 * ones - len(h)
-    return np.concatenate([exact.view(np.uint16), signs.astype(np.uint16)])
+    return np.concatenate([exact.view(np.uint16), signs.astype(np.uint32).view(np.uint16)])
 
 
 def fingerprint(text: str | None) -> np.ndarray:
@@ -79,7 +79,8 @@ def fingerprint(text: str | None) -> np.ndarray:
 def _summed(a: np.ndarray, b: np.ndarray, sign: int) -> np.ndarray:
     n = EXACT_LANES * 4
     x, y = a[:n].view(np.uint64), b[:n].view(np.uint64)
-    return np.concatenate([(x + y if sign > 0 else x - y).view(np.uint16), a[n:] + b[n:] if sign > 0 else a[n:] - b[n:]])
+    s, t = a[n:].view(np.uint32), b[n:].view(np.uint32)
+    return np.concatenate([(x + y if sign > 0 else x - y).view(np.uint16), (s + t if sign > 0 else s - t).view(np.uint16)])
 
 
 def insert(fp: np.ndarray, text: str) -> np.ndarray:
@@ -96,7 +97,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated cosine of the two multisets, 0 to 1; exactly 1 for equal fingerprints."""
     if (a == b).all():
         return 1.0
-    x, y = (v[EXACT_LANES * 4:].view(np.int16).astype(float) for v in (a, b))
+    x, y = (v[EXACT_LANES * 4:].view(np.int32).astype(float) for v in (a, b))
     norm = np.sqrt((x @ x) * (y @ y))
     return float(np.clip(x @ y / norm, 0.0, 1.0)) if norm else 0.0
 

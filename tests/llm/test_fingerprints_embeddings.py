@@ -27,6 +27,17 @@ def test_likeness_follows_the_share_kept():
     assert abs(near[1] - 0.75 ** 0.5) < 0.15
 
 
+def test_many_equal_pieces(spark):
+    """Sign lanes far from zero do not wrap."""
+    fps = {k: P.fingerprint("one line\n" * k) for k in (30_000, 40_000, 70_000)}
+    assert all(P.likeness(a, b) > 0.999 for a in fps.values() for b in fps.values())
+    joined = P.insert(fps[30_000], "one line\n" * 40_000)
+    assert (joined == fps[70_000]).all() and (P.delete(joined, "one line\n" * 40_000) == fps[30_000]).all()
+    rows = [(i, "one line\n" * k) for i, k in enumerate(fps)] + [(9, "unlike words here\n" * 50)]
+    out = sorted(P.edits(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(r.near_edited > 0.99 for r in out[:3]) and all(r.near_next > 0.999 for r in out[:2]) and out[2].near_next < 0.3
+
+
 def brute_edits(rows):
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     out = []
