@@ -7,8 +7,8 @@ is decided by the popcount per language over its n-grams, corrected for the filt
 
 Learning: n-grams (4 bytes of the lower-cased UTF-8 text, everything but letters read as one blank) of a bounded sample of
 labelled documents, ``per_language`` each (parameter, default 2,000, hash-chosen).  An n-gram is put into a language's
-filter if it occurs at least 3 times there and at least a tenth as often as in the language that uses it most.  At most 64
-languages are learned, the most frequent ones.  The table is bounded by its size (positions times mask), whatever the corpus.
+filter if it occurs at least 3 times there and at least a tenth as often as in the language that uses it most.  All
+languages are learned; a position has a mask of 64 bits for every 64 of them (8 MB of table each), whatever the corpus.
 
 Edge cases: a null text or one without any letter is ``und`` with score 0; letters without a known n-gram give the most
 frequent language with score 0; nothing to learn from gives ``und``; very long texts are read whole, in one pass;
@@ -30,7 +30,7 @@ from .common import chunks, prepare, text_column
 GRAM = 4
 BITS = 20
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-MOST_LANGUAGES = 64
+WORD = 64  # languages in one mask
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 CHUNK = 1 << 20
@@ -39,7 +39,7 @@ CHUNK = 1 << 20
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # uint64 masks, or the narrowest type that holds them
+    table: np.ndarray  # masks of the narrowest type that holds them; over 64 languages, a column of uint64 per 64
     rates: np.ndarray  # per language: share of foreign n-grams that pass its filter
 
 
@@ -86,36 +86,37 @@ def learn(docs: DataFrame, per_language: int = 2000, seed: int = 7) -> Model:
     prepare(docs.sparkSession)
     rows = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").cast("string").alias("text"), F.col("`lang`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~(F.coalesce(remainder(F.col("doc_id"), 4), F.lit(0)) == 2))
-    freq = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    freq = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     names = [r["lang"] for r in freq]
     if not names:
         return Model([], np.zeros(1 << BITS, np.uint8), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for r in freq for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    index = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    known = docs.sparkSession.createDataFrame([(n, i, min(1.0, per_language / r["count"])) for i, (n, r) in enumerate(zip(names, freq))], "lang string, l int, share double")
+    words = -(-len(names) // WORD)
     coin = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(F.col("lang").isin(names)).where(coin < share[F.col("lang")])
+    sample = rows.join(F.broadcast(known), "lang").where(coin < F.col("share"))
     grams = sample.select("lang", "text").mapInPandas(_gram_counts, "lang string, gram long, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
     sizes = {r["lang"]: r["s"] for r in grams.groupBy("lang").agg(F.sum("n").alias("s")).collect()}
     if not sizes:
         return Model(names, np.zeros(1 << BITS, np.uint8), np.zeros(len(names)))
-    size = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, float(v))])
-    by_gram = grams.groupBy("gram").agg(F.collect_list(F.struct(index[F.col("lang")].alias("l"), (F.col("n") / size[F.col("lang")]).alias("r"))).alias("u"))
-    masks = by_gram.select("gram", F.aggregate(
-        F.filter("u", lambda x: x["r"] >= 0.1 * F.array_max(F.transform("u", lambda y: y["r"]))), F.lit(0).cast("long"),
-        lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["l"]))).alias("mask"))
+    size = docs.sparkSession.createDataFrame([(n, i, float(sizes[n])) for i, n in enumerate(names) if n in sizes], "lang string, l int, size double")
+    by_gram = grams.join(F.broadcast(size), "lang").groupBy("gram").agg(F.collect_list(F.struct("l", (F.col("n") / F.col("size")).alias("r"))).alias("u"))
+    used = by_gram.select("gram", F.filter("u", lambda x: x["r"] >= 0.1 * F.array_max(F.transform("u", lambda y: y["r"]))).alias("u"))
+    masks = used.select("gram", "u", F.explode(F.sequence(F.lit(0), F.lit(words - 1))).alias("word")).select("gram", "word", F.aggregate(
+        F.filter("u", lambda x: F.floor(x["l"] / WORD) == F.col("word")), F.lit(0).cast("long"),
+        lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["l"] % WORD))).alias("mask")).where("mask != 0")
 
     def place(batches):
         for b in batches:
             for p in _positions(b["gram"].to_numpy().astype(np.uint64)):
-                yield pd.DataFrame({"position": p, "mask": b["mask"]})
+                yield pd.DataFrame({"position": p, "word": b["word"], "mask": b["mask"]})
 
-    filled = masks.mapInPandas(place, "position long, mask long").groupBy("position").agg(F.bit_or("mask").alias("mask")).collect()
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(names))
-    table = np.zeros(1 << BITS, kind)
-    table[[r["position"] for r in filled]] = np.array([r["mask"] for r in filled], np.int64).astype(kind)
-    fill = np.array([np.count_nonzero(table >> kind(i) & kind(1)) for i in range(len(names))]) / (1 << BITS)
-    return Model(names, table, fill ** len(HASHES))
+    filled = masks.mapInPandas(place, "position long, word int, mask long").groupBy("position", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= min(len(names), WORD))
+    table = np.zeros((1 << BITS, words), kind)
+    table[filled["position"].to_numpy(), filled["word"].to_numpy()] = filled["mask"].to_numpy().astype(kind)
+    fill = np.array([np.count_nonzero(table[:, i // WORD] >> kind(i % WORD) & kind(1)) for i in range(len(names))]) / (1 << BITS)
+    return Model(names, table[:, 0].copy() if words == 1 else table, fill ** len(HASHES))
 
 
 def judge(texts, model: Model) -> tuple[list[str], np.ndarray]:
@@ -125,8 +126,9 @@ def judge(texts, model: Model) -> tuple[list[str], np.ndarray]:
     names, scores = [], np.zeros(len(data))
     if not n_lang:
         return [UNKNOWN] * len(data), scores
-    one = model.table.dtype.type(1)
-    for a, b in chunks([len(d) for d in data], CHUNK):
+    kind = model.table.dtype.type
+    columns = model.table.reshape(len(model.table), -1).T
+    for a, b in chunks([len(d) + n_lang for d in data], CHUNK):
         length = np.array([len(d) for d in data[a:b]])
         codes = _codes(b"".join(data[a:b]))
         hits = np.zeros((b - a, n_lang))
@@ -134,12 +136,13 @@ def judge(texts, model: Model) -> tuple[list[str], np.ndarray]:
         has = np.nonzero(grams)[0]
         if len(has):
             first, second = _positions(codes)
-            mask = model.table[first] & model.table[second]
             start = (np.cumsum(length) - length)[has]
-            for d, (s, n) in enumerate(zip(start, grams[has])):  # windows over a border belong to no text
-                mask[s + n:s + n + GRAM - 1] = 0
-            for lang in range(n_lang):
-                hits[has, lang] = np.add.reduceat((mask >> model.table.dtype.type(lang)) & one, start, dtype=np.int64)
+            for word, column in enumerate(columns):
+                mask = column[first] & column[second]
+                for s, n in zip(start, grams[has]):  # windows over a border belong to no text
+                    mask[s + n:s + n + GRAM - 1] = 0
+                for lang in range(word * WORD, min((word + 1) * WORD, n_lang)):
+                    hits[has, lang] = np.add.reduceat((mask >> kind(lang % WORD)) & kind(1), start, dtype=np.int64)
         true = np.maximum((hits - grams[:, None] * model.rates) / (1 - model.rates), 0)
         best = true.argmax(axis=1)
         ranked = np.sort(true, axis=1)

@@ -37,6 +37,20 @@ def test_language_without_labels_or_rows(spark):
     assert langid.predict(docs.limit(0), langid.learn(docs.limit(0))).count() == 0
 
 
+def test_more_than_64_languages(spark):
+    """Every language has a bit, the rarest too."""
+    r = random.Random(9)
+    words = {f"l{k:03}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for k in range(130)}
+    rows = [(k * 1000 + i, " ".join(r.choices(words[l], k=40)), l) for k, l in enumerate(words) for i in range(8 if k < 64 else 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert sorted(model.languages) == sorted(words) and model.table.shape == (1 << langid.BITS, 3)
+    names, scores = langid.judge([t for _, t, _ in rows], model)
+    assert names == [l for *_, l in rows] and (scores > 0.5).all()
+    few = langid.learn(docs.where("lang < 'l005'"))
+    assert few.table.shape == (1 << langid.BITS,) and few.table.dtype == np.uint8
+
+
 def test_bloom_counts_against_sets():
     """The corrected popcounts decide as exact n-gram sets do."""
     r = random.Random(2)
