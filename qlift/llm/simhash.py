@@ -62,15 +62,19 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """``doc_id, fp`` per row of ``docs``."""
+def _digest():
+    return F.unhex(F.sha2(text_column("`text`"), 256))
+
+
+def fingerprints(docs: DataFrame, n: int = 3, digest: bool = False) -> DataFrame:
+    """``doc_id, fp`` per row of ``docs`` and, if asked for, ``digest`` of the text."""
     prepare(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, n) for t in text], dtype="int64")
 
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), fp(text_column()).alias("fp"))
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), fp(text_column()).alias("fp"), *[_digest().alias("digest")] * digest)
 
 
 def _syndrome_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -194,23 +198,31 @@ def near_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, n: int = 3, max_bits: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` per row of ``docs``; ``component_id`` is the smallest id reachable by links."""
-    d = saved(fingerprints(docs, n))
+    return _groups(fingerprints(docs, n), max_bits).select("doc_id", "fp", "component_id")
+
+
+def _groups(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``fps`` with ``component`` (a fingerprint of the group) and ``component_id``."""
+    d = saved(fps)
     per = saved(d.groupBy("fp").agg(F.min("doc_id").alias("first")))
     nodes = connected(near_links(per, max_bits))
     per = per.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     firsts = per.groupBy("component").agg(F.min("first").alias("component_id"))
     per = saved(per.select("fp", (-F.col("component")).alias("nc")).join(
-        firsts.select((-F.col("component")).alias("nc"), "component_id"), "nc").select("fp", "component_id"))
-    return d.join(per, "fp").select("doc_id", "fp", "component_id")
+        firsts.select((-F.col("component")).alias("nc"), "component_id"), "nc").select("fp", (-F.col("nc")).alias("component"), "component_id"))
+    return d.join(per, "fp")
 
 
 def dedupe(docs: DataFrame, n: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group; of repeated rows with that id one stays.
+    """The rows of ``docs`` whose id is the smallest of their group; of a group's rows with that id the one of the least
+    digest of its text stays (of equal texts, that of the least hash of all columns).
     Rows without id stay only if no document with an id is in their group."""
-    g = simhash_groups(docs, n, max_bits)
-    ids = g.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where(F.col("`doc_id`").isNotNull())
-    kept = named.join(ids, F.col("`doc_id`").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    g = _groups(fingerprints(docs, n, digest=True), max_bits)
+    ids = g.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id"), "component").agg(F.min("digest").alias("kept_digest"))
+    ids = ids.select("kept_id", "kept_digest")  # texts of one digest are in one component
+    named = docs.where(F.col("`doc_id`").isNotNull()).select(
+        F.struct("*").alias("row"), F.col("`doc_id`").cast("long").alias("kept_id"), _digest().alias("kept_digest"), F.xxhash64("*").alias("hash"))
+    kept = named.join(ids, ["kept_id", "kept_digest"], "left_semi").groupBy("kept_id", "kept_digest").agg(F.min_by("row", "hash").alias("row")).select("row.*")
     lone = g.where("doc_id is null and component_id is null").select("fp").distinct()
     return kept.unionByName(_unnamed(docs, lone, n))
 

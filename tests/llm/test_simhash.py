@@ -102,3 +102,14 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == [-1, 1, 2, 7, 11]
     assert S.dedupe(df.limit(0)).count() == 0
+
+
+def test_one_id_on_two_texts(spark):
+    """Texts are judged by their own group, not by that of another text with their id."""
+    r = random.Random(11)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(5, a, "x"), (5, b, "x"), (3, a, "x"), (7, c, "x"), (7, c, "y"), (9, c, "x"), (8, text(), "x"), (8, text(), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(o.doc_id, o.text) for o in S.dedupe(df).collect()]
+    assert sorted(got) == sorted([(3, a), (5, b), (7, c), rows[6][:2], rows[7][:2]])
