@@ -34,6 +34,7 @@ WORD = 64  # languages in one mask
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 CHUNK = 1 << 20
+CHANCE = 1e-9  # that a text of which no language knows anything passes as known by false positives
 
 
 @dataclass
@@ -119,6 +120,28 @@ def learn(docs: DataFrame, per_language: int = 2000, seed: int = 7) -> Model:
     return Model(names, table[:, 0].copy() if words == 1 else table, fill ** len(HASHES))
 
 
+def _evident(data: list[bytes], model: Model) -> np.ndarray:
+    """Whether some language has more of a text's different n-grams than false positives explain: the bound
+    ``exp(-n * KL(hits / n, rate))`` of that chance, times the number of languages, is below ``CHANCE``."""
+    out = np.zeros(len(data), bool)
+    columns = model.table.reshape(len(model.table), -1).T
+    kind, need = model.table.dtype.type, np.log(max(len(model.languages), 1) / CHANCE)
+    for d, text in enumerate(data):
+        codes = np.unique(_codes(text))
+        if not len(codes):
+            continue
+        first, second = _positions(codes)
+        masks = [column[first] & column[second] for column in columns]
+        for lang, rate in enumerate(model.rates):
+            share = np.count_nonzero(masks[lang // WORD] >> kind(lang % WORD) & kind(1)) / len(codes)
+            if share > rate:
+                rest = (1 - share) * np.log((1 - share) / (1 - rate)) if share < 1 else 0.0
+                if rate == 0 or len(codes) * (share * np.log(share / rate) + rest) > need:
+                    out[d] = True
+                    break
+    return out
+
+
 def judge(texts, model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     data = [_letters(t) for t in texts]
@@ -169,10 +192,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame, short: int = 20) -> DataFrame:
     """The rows of ``docs`` with a known language (columns unchanged).  Rejected are texts without letters and texts of
-    ``short`` characters or more of which no n-gram is known to any language; shorter ones can't be told apart and stay."""
-    p = predict(docs, learn(docs))
-    known = (F.col("score") > 0) | (F.length("row.text") < short)
-    return p.where((F.col("lang_pred") != UNKNOWN) & known).select("row.*")
+    ``short`` characters or more of which no language knows more n-grams than chance explains; shorter ones can't be told
+    apart and stay."""
+    model = learn(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def evident(text: pd.Series) -> pd.Series:
+        return pd.Series(_evident([_letters(t) for t in text], shared.value))
+
+    known = evident(F.col("row.text").cast("string")) | (F.length("row.text") < short)
+    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & known).select("row.*")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,18 @@ def test_more_than_64_languages(spark):
     assert few.table.shape == (1 << langid.BITS,) and few.table.dtype == np.uint8
 
 
+def test_unseen_script_goes_out_at_any_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(3)
+    def unseen(k):  # noqa: E306
+        return " ".join("".join(chr(r.randrange(0x10D0, 0x10F1)) for _ in range(r.randint(2, 9))) for _ in range(k))
+    more = [(2_000_000 + i, unseen(k), None) for i, k in enumerate([8, 30, 300, 3000, 20_000] * 12)]
+    odd = spark.createDataFrame(more + [(3_000_000, "\n".join([unseen(9)] * 500), None)], "doc_id long, text string, lang string")
+    n = docs.where("doc_id is not null and length(text) >= 20").count()
+    kept = langid.keep_known(docs.unionByName(odd))
+    assert kept.where("doc_id >= 2000000").count() == 0 and kept.where("length(text) >= 20").count() == n
+
+
 def test_bloom_counts_against_sets():
     """The corrected popcounts decide as exact n-gram sets do."""
     r = random.Random(2)
