@@ -15,7 +15,7 @@ path; it is found from left to right, the longest arc first, each step a look-up
 place that led nowhere is left out from then on.  Decoding emits the label of each arc.
 
 A text is cut as the tokenizer file says (NFC, lower case, contractions, runs of letters, single digits, runs of
-other signs); no word spans white space, so the ids of each white-space chunk are kept in a bounded table of the
+other signs), with the tokenizer's own character tables, stated below; no word spans white space, so the ids of each white-space chunk are kept in a bounded table of the
 worker.  Special tokens in a text keep their own id.  Nothing is shuffled; the merges (bounded by the vocabulary) are
 broadcast.
 
@@ -28,11 +28,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
@@ -43,12 +43,70 @@ TOKENIZER_FILE = "word_bpe_49k.json"
 END = "\n"  # stands for the end-of-word mark; no byte symbol is spelled so
 # White space of the tokenizer's patterns (Unicode White_Space), stated for the texts where str.split() would differ.
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNKS = regex.compile(f"[^{SPACES}]+")
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
+_CHUNKS = re.compile(f"[^{SPACES}]+")
+# What the tokenizer's character tables hold beside (or without) those of Unicode 15.1.  Its letters and
+# digits are those of Unicode 16, its lower case that of 17, its normal form that of 10.
+UNICODE = "15.1.0"
+MORE_LETTERS = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 "
+    "11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0")
+MORE_DIGITS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+MORE_LOWER = "1c89:1c8a a7cb:264 a7cc:a7cd a7ce:a7cf a7d2:a7d3 a7d4:a7d5 a7da:a7db a7dc:19b 10d50-10d65:10d70 16ea0-16eb8:16ebb"
+UNKNOWN_MARKS = (  # combining marks (and one pair) that the normal form leaves where they stand
+    "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 "
+    "1133b 1145e 11839-1183a 11930 11935 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f "
+    "1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef")
 START = -1
 PART = 1 << 20  # bytes or ids of a part of a batch
 
 
+def _ranges(stated: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (r.partition("-") for r in stated.split())]
+
+
+def _class(ranges) -> str:
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
+
+
+def _of_category(first: str) -> list[tuple[int, int]]:
+    """The ranges of code points whose general category begins with ``first``, by the interpreter's tables."""
+    out: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == first:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return [(a, b) for a, b in out]
+
+
+class Text:
+    """Normal form, lower case and words as the tokenizer has them, for every code point."""
+
+    def __init__(self):
+        if unicodedata.unidata_version != UNICODE:
+            raise RuntimeError(f"character tables are stated for Unicode {UNICODE}, not {unicodedata.unidata_version}: "
+                               "state the fixed values of this module anew (tests/llm/test_bpe.py compares every code point)")
+        letters = _class([*_of_category("L"), *_ranges(MORE_LETTERS)])
+        digits = _class([*_of_category("N"), *_ranges(MORE_DIGITS)])
+        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACES}{letters}{digits}]+").findall
+        self.unknown_marks = re.compile(f"([{_class(_ranges(UNKNOWN_MARKS))}]+)")
+        self.more_lower = {}
+        for entry in MORE_LOWER.split():
+            source, to = entry.split(":")
+            (a, b), = _ranges(source)
+            self.more_lower |= {c: int(to, 16) + c - a for c in range(a, b + 1)}
+
+    def normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if self.unknown_marks.search(text):
+            text = "".join(unicodedata.normalize("NFC", p) for p in self.unknown_marks.split(text))
+        else:
+            text = unicodedata.normalize("NFC", text)
+        return "".join([c.lower() for c in text]).translate(self.more_lower)
+
+
 def _byte_symbols() -> list[str]:
     """The printable character that stands for each byte (printable Latin-1 for itself, the rest from U+0100 on)."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -187,18 +245,16 @@ class Codec:
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.labels = {i: t for t, i in {**spec["vocab"], **self.special}.items()}
         self.symbols = _byte_symbols()
+        self.text = Text()
         self.chunks: dict[str, list[int]] = {}
         self.words: dict[str, list[int]] = {}
         self.kept = kept
 
     def _plain(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        else:
-            text = text.lower()
+        text = self.text.normal(text)
         if text.isalpha() and text.isascii():
             return self._word(text)
-        return [i for w in _WORDS.findall(text) for i in self._word(w)]
+        return [i for w in self.text.words(text) for i in self._word(w)]
 
     def _word(self, w: str) -> list[int]:
         ids = self.words.get(w)
