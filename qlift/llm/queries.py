@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, fingerprints, langid, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from . import bpe, embed_dedup, fingerprints, langid, mixing, pii, quality, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_embed_dedup": embed_dedup.op1_embed_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 ORACLES = {
     "op7_pii": pii.OP7_SQL,
     "op1_embed_dedup": embed_dedup.OP1_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op13_secrets": secrets.OP13_SQL,
 }
