@@ -9,7 +9,7 @@ from ..fixtures import Tables
 from ..operators import sharding
 from ..operators.ordering import first_n, row_range
 from ..session import scratch_path
-from ..sources import files
+from ..sources import files, line_index
 from .registry import query
 
 
@@ -53,6 +53,24 @@ def a04(spark, sf):
     return row_range(t.documents.select("doc_id", "text"), "doc_id", 100, 600).select("idx", "doc_id", "text")
 
 
+_FOLDER = "lpad(CAST(query_id // 20000 AS VARCHAR), 9, '0')"
+
+
+@query("a04b_line_range", ["fx_tsv"], f"""
+SELECT idx, folder, line_no, line FROM (
+  SELECT CAST(row_number() OVER (ORDER BY {_FOLDER}, query_id) - 1 AS BIGINT) AS idx, {_FOLDER} AS folder,
+    CAST(row_number() OVER (PARTITION BY {_FOLDER} ORDER BY query_id) - 1 AS BIGINT) AS line_no, line FROM fx_tsv) AS x
+WHERE idx >= 60 AND idx < 160""")
+def a04b(spark, sf):
+    # a folder of files whose lines stand by query id; more files as the table grows
+    folder = F.lpad(F.floor(F.col("query_id") / 20000).cast("string"), 9, "0")
+    root = scratch_path(spark, "a04b")
+    lines = Tables(spark, sf).fx_tsv.withColumn("folder", folder).repartition("folder").sortWithinPartitions("folder", "query_id")
+    lines.select("folder", F.col("line").alias("value")).write.partitionBy("folder").text(root)
+    found = line_index.line_range(spark, root, 60, 160, line_index.file_index(spark, root))
+    return found.select("idx", F.regexp_extract("file", "folder=([0-9]+)/", 1).alias("folder"), "line_no", "line")
+
+
 @query("a05_first_n", [], """
 SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 250
 """)
