@@ -70,13 +70,19 @@ def chat_messages(query, level, profile: str = "llama", target=None) -> Column:
     return F.array(*msgs)
 
 
+# Fixed value: what asks the model to go on.
+GENERATION_PROMPT = "<|assistant|>\n"
+
+
+def rendered_parts(messages, add_generation_prompt: bool = False) -> Column:
+    """The rendered messages one by one (and the generation prompt last); their concatenation is the chat."""
+    parts = F.transform(_c(messages), lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit(TURN_CLOSE)))
+    return F.concat(parts, F.array(F.lit(GENERATION_PROMPT))) if add_generation_prompt else parts
+
+
 def render_chat(messages, add_generation_prompt: bool = False) -> Column:
     """Fold messages into one string with role tags."""
-    parts = F.transform(_c(messages), lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit(TURN_CLOSE)))
-    out = F.array_join(parts, "")
-    if add_generation_prompt:
-        out = F.concat(out, F.lit("<|assistant|>\n"))
-    return out
+    return F.array_join(rendered_parts(messages, add_generation_prompt), "")
 
 
 def render(template: str, values: dict, json_mode: bool = True) -> Column:

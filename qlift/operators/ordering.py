@@ -11,8 +11,9 @@
 3. adds the in-partition position (low 33 bits of ``monotonically_increasing_id``) and joins
    the index to the rows by their unique key.
 
-The order key must be unique; callers pass a tie-break column when it is not.  Nothing is
-cached; Spark removes the checkpoint files with the plan that reads them where
+The order key must be unique where other columns are joined back; callers pass a tie-break column when it is
+not.  Equal keys stand side by side in one range, so a grouped count over the written ranges (no exchange) finds
+them, and ``DuplicateKeys`` is raised instead of a join that would multiply rows.  Nothing is cached; Spark removes the checkpoint files with the plan that reads them where
 ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
 """
 
@@ -29,6 +30,10 @@ from ..session import ensure_checkpoint_dir
 _MASK = (1 << 33) - 1
 
 
+class DuplicateKeys(ValueError):
+    pass
+
+
 def _order(order_by) -> list[tuple[str, bool]]:
     """Column names with their direction; ``-name`` is descending."""
     names = [order_by] if isinstance(order_by, str) else list(order_by)
@@ -39,13 +44,15 @@ def _sorted_by(name: str, descending: bool) -> Column:
     return F.col(name).desc() if descending else F.col(name).asc()
 
 
-def index_keys(keys: DataFrame, order: list[Column], index_col: str, num_partitions: int | None = None) -> DataFrame:
-    """``keys`` (order columns only) with their dense index."""
+def index_keys(keys: DataFrame, order: list[Column], index_col: str, num_partitions: int | None = None, unique: bool = False) -> DataFrame:
+    """``keys`` (order columns only) with their dense index; ``unique`` raises on equal keys."""
     spark = keys.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (keys.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_qx_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
+    if unique and not ranged.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("_qx_n")).where("_qx_n > 1").limit(1).isEmpty():
+        raise DuplicateKeys("the order key is not unique: add a column that tells the rows apart")
     ranged = ranged.withColumn("_qx_pid", F.shiftright("_qx_mid", 33))
     counts = ranged.groupBy("_qx_pid").agg(F.count(F.lit(1)).alias("_qx_n"))
     # one row per range partition: a window over it is bounded by n, not by the data
@@ -61,8 +68,9 @@ def dense_index(df: DataFrame, order_by, index_col: str = "idx", num_partitions:
     order = _order(order_by)
     names = [f"_qx_k{i}" for i in range(len(order))]
     keys = df.select(*[F.col(c).alias(n) for (c, _), n in zip(order, names)])
-    indexed = index_keys(keys, [_sorted_by(n, d) for n, (_, d) in zip(names, order)], index_col, num_partitions)
-    if {c for c, _ in order} == set(df.columns):  # nothing but the keys: no join needed
+    alone = {c for c, _ in order} == set(df.columns)  # nothing but the keys: no join needed, equal rows are interchangeable
+    indexed = index_keys(keys, [_sorted_by(n, d) for n, (_, d) in zip(names, order)], index_col, num_partitions, unique=not alone)
+    if alone:
         return indexed.select(*[F.col(names[[o for o, _ in order].index(c)]).alias(c) for c in df.columns], index_col)
     on = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for (c, _), n in zip(order, names)])
     return df.join(indexed, on).drop(*names)

@@ -55,7 +55,7 @@ def build_vocab(df: DataFrame, col: str, max_size: int | None = None) -> DataFra
     return _specials(df.sparkSession).unionByName(corpus)
 
 
-def _looked_up(items: DataFrame, vocab: DataFrame, on: str, value: str, keys: list[str]) -> DataFrame:
+def looked_up(items: DataFrame, vocab: DataFrame, on: str, value: str, keys: list[str]) -> DataFrame:
     """Items with the vocabulary's ``value`` for their ``on`` (null if it has none)."""
     head = vocab.filter(F.col("id") < HEAD).select(F.col(on).alias("_qx_on"), F.col(value).alias("_qx_head"))
     tail = vocab.filter(F.col("id") >= HEAD).select(F.col(on).cast("string").alias("_qx_key"), F.col(value).alias("_qx_tail"))
@@ -90,7 +90,7 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, out_col: str = "ids",
         raise ValueError("encode needs unique row keys")
     kept = [c for c in df.columns if c not in (*keys, out_col)]
     toks = _pieces(df, keys, kept, tokenize(text_col), "token")
-    joined = _looked_up(toks, vocab, "token", "id", keys)
+    joined = looked_up(toks, vocab, "token", "id", keys)
     return _regroup(joined, keys, kept, F.coalesce("id", F.lit(UNK_ID)), out_col, "bigint")
 
 
@@ -100,11 +100,72 @@ def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text",
         raise ValueError("decode needs unique row keys")
     kept = [c for c in df.columns if c not in (*keys, out_col)]
     ids = _pieces(df, keys, kept, F.filter(_c(ids_col), lambda i: i >= len(SPECIALS)), "id")
-    joined = _looked_up(ids, vocab, "id", "token", keys)
+    joined = looked_up(ids, vocab, "id", "token", keys)
     out = _regroup(joined, keys, kept, F.col("token"), "_qx_words", "string")
     return out.withColumn(out_col, F.trim(F.array_join("_qx_words", " "))).drop("_qx_words")
 
 
+def fit_parts(parts, budget) -> Column:
+    """C4: how much of an array of texts the last ``budget`` tokens cover, as a struct.
+
+    Token counts are summed from the last part backwards until the budget is spent: ``n_tokens`` in all, ``n_kept``,
+    ``whole`` last parts that stay whole, ``cut`` the 0-based part that the cut falls into (null if all stay, or if it falls
+    between two parts) and ``cut_kept`` its last tokens that stay.  No token may span two parts (a rendered message
+    ends in white space).  A budget of 0 or less keeps nothing.
+    """
+    counts = F.transform(_c(parts), lambda p: F.size(tokenize(F.coalesce(p, F.lit("")))).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    total = F.aggregate(counts, zero, lambda acc, n: acc + n)
+    start = F.struct(F.greatest(budget.cast("bigint"), zero).alias("left"), zero.alias("whole"), zero.alias("kept"), F.lit(True).alias("open"))
+
+    def back(acc, n):
+        fits = acc["open"] & (n <= acc["left"])
+        return F.struct(F.when(fits, acc["left"] - n).otherwise(acc["left"]).alias("left"), (acc["whole"] + F.when(fits, 1).otherwise(0)).alias("whole"),
+                        F.when(acc["open"] & ~fits, acc["left"]).otherwise(acc["kept"]).alias("kept"), fits.alias("open"))
+
+    spent = F.aggregate(F.reverse(counts), start, back)
+    return F.struct(
+        total.alias("n_tokens"), F.least(total, F.greatest(budget.cast("bigint"), zero)).alias("n_kept"), spent["whole"].alias("whole"),
+        F.when(spent["kept"] > 0, F.size(_c(parts)) - spent["whole"] - 1).cast("bigint").alias("cut"), spent["kept"].alias("cut_kept"))
+
+
+def kept_text(parts, fit) -> Column:
+    """C4: the tokens that ``fit_parts`` keeps, as text: the end of the cut part, then the whole parts."""
+    p, f = _c(parts), _c(fit)
+    words = tokenize(F.coalesce(F.get(p, f["cut"].cast("int")), F.lit("")))
+    tail = F.slice(words, (F.size(words) - f["cut_kept"] + 1).cast("int"), f["cut_kept"].cast("int"))
+    cut = F.when(f["cut"].isNull(), F.lit("")).otherwise(F.array_join(tail, " "))
+    whole = F.slice(p, (F.size(p) - f["whole"] + 1).cast("int"), f["whole"].cast("int"))
+    return F.concat_ws(" ", cut, F.array_join(whole, ""))
+
+
+def chat_budget(df: DataFrame, messages: str, budget, vocab: DataFrame, keys: list[str], add_generation_prompt: bool = True) -> DataFrame:
+    """C4 over B11/B12: chats rendered and trimmed to a token budget: ``keys..., text, n_tokens, n_kept, whole, cut, cut_kept,
+    trimmed_text, is_trimmed``.
+
+    A chat within its budget stays as it was rendered.  A longer one becomes the decoded last ``budget`` tokens, so the
+    cut may fall inside one message; tokens unknown to ``vocab`` are lost on the way, as the ids have no name for them.
+    ``is_trimmed`` compares the texts.  Only the kept tokens of longer chats pass the vocabulary joins.  ``budget`` is a
+    number or a column; ``keys`` must be unique; a null message list is an empty chat.
+    """
+    from ..functions.templates import rendered_parts
+
+    b = budget if isinstance(budget, Column) else F.lit(budget)
+    none = F.expr("cast(array() as array<struct<role:string,content:string>>)")
+    said = F.transform(F.coalesce(F.col(messages), none), lambda m: F.struct(F.coalesce(m["role"], F.lit("")).alias("role"), F.coalesce(m["content"], F.lit("")).alias("content")))
+    d = df.select(*keys, rendered_parts(said, add_generation_prompt).alias("_qx_parts"), b.alias("_qx_budget"))
+    d = d.withColumn("_qx_fit", fit_parts("_qx_parts", F.col("_qx_budget")))
+    fit = [F.col("_qx_fit")[n].alias(n) for n in ("n_tokens", "n_kept", "whole", "cut", "cut_kept")]
+    text = F.array_join("_qx_parts", "").alias("text")
+    over = F.col("_qx_fit.n_tokens") > F.greatest(F.col("_qx_budget"), F.lit(0))
+    within = d.where(~over).select(*keys, text, *fit, text.alias("trimmed_text"))
+    cut = d.where(over).select(*keys, text, *fit, kept_text("_qx_parts", "_qx_fit").alias("_qx_kept"))
+    ids = encode(cut, "_qx_kept", vocab, "_qx_ids", keys).drop("_qx_kept")
+    cut = decode(ids, "_qx_ids", vocab, "trimmed_text", keys).drop("_qx_ids")
+    out = within.unionByName(cut)
+    return out.withColumn("is_trimmed", F.col("trimmed_text") != F.col("text"))
+
+
 def trim_report(df: DataFrame, worker_col: str, trimmed_col: str) -> DataFrame:
     """Processed, trimmed and trimmed/processed per worker (null ratio for 0 rows)."""
     return (df.groupBy(worker_col)

@@ -270,3 +270,62 @@ GROUP BY a.level, a.model_id, b.model_id""")
 def f16(spark, sf):
     return J.pairwise_wins(_scored(Tables(spark, sf)))
 
+
+# The table of the longest common subsequence row by row; inside a row the running maximum.
+_LCS = """list_reduce(list_transform(range(1, len(a) + 1), lambda i: i),
+    lambda prev, i: list_transform(range(0, len(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k:
+        CASE WHEN k = 0 THEN 0 WHEN a[i] = b[k] THEN prev[k] + 1 ELSE prev[k + 1] END))),
+    list_transform(range(0, len(b) + 1), lambda j: 0))[len(b) + 1]"""
+
+
+@query("f14b_word_edits", ["fx_drafts", "fx_finals"], f"""
+SELECT query_id, model_id, level, kept, shared - kept AS moved, len(b) - shared AS added, len(a) - shared AS removed
+FROM (SELECT *, CAST(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE {_LCS} END AS BIGINT) AS kept,
+    CAST(coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))), 0) AS BIGINT) AS shared
+  FROM (SELECT d.query_id, d.model_id, d.level, list_filter(string_split(d.draft, ' '), lambda w: w <> '') AS a,
+      list_filter(string_split(f.final_query, ' '), lambda w: w <> '') AS b
+    FROM fx_drafts d JOIN fx_finals f USING (query_id, model_id, level)) AS x) AS y""")
+def f14b(spark, sf):
+    t = Tables(spark, sf)
+    return J.word_edits(t.fx_drafts, t.fx_finals)
+
+
+_POISSON = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535))
+
+
+@query("f17_bootstrap_uplift", ["fx_lrqi"], _parsed("fx_lrqi") + _MEANS + f"""
+, ov AS (SELECT query_id, model_id, level, CAST(score AS BIGINT) AS score FROM scored WHERE criterion = 'Overall score' AND score IS NOT NULL),
+wt AS (SELECT query_id, r, {_POISSON} AS w FROM (
+    SELECT query_id, r, CAST('0x' || substr(md5('1:' || query_id || ':' || (r // 8)), CAST(4 * (r % 8) + 1 AS INTEGER), 4) AS INTEGER) AS u
+    FROM (SELECT DISTINCT query_id FROM ov) AS q, range(0, 200) AS g(r)) AS x),
+bm AS (SELECT model_id, level, r, CAST(sum(w * score) AS DOUBLE) / nullif(sum(w), 0) AS mean FROM ov JOIN wt USING (query_id) GROUP BY model_id, level, r),
+ups AS (SELECT a.model_id, a.level, (a.mean - b.mean) / nullif(b.mean, 0) AS u FROM bm a JOIN bm b ON b.model_id = a.model_id AND b.r = a.r AND b.level = 0 WHERE a.level > 0),
+bs AS (SELECT model_id, level, count(u) AS n_replicates, round(avg(u), 6) AS boot_mean, round(quantile_cont(u, 0.025), 6) AS low, round(quantile_cont(u, 0.975), 6) AS high
+  FROM ups GROUP BY model_id, level)
+SELECT m.model_id, m.level, round((m.mean_score - z.mean_score) / z.mean_score, 6) AS uplift, n_replicates, boot_mean, low, high
+FROM means m LEFT JOIN means z ON z.model_id = m.model_id AND z.level = 0 LEFT JOIN bs ON bs.model_id = m.model_id AND bs.level = m.level WHERE m.level > 0""")
+def f17(spark, sf):
+    return J.bootstrap_uplift(_scored(Tables(spark, sf)))
+
+
+@query("f18_model_rating", ["fx_lrqi"], _parsed("fx_lrqi") + """
+, ov AS (SELECT query_id, model_id, level, score FROM scored WHERE criterion = 'Overall score' AND score IS NOT NULL),
+g AS (SELECT a.level, a.model_id AS i, b.model_id AS j, count(*) AS n, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END)::DOUBLE AS won
+  FROM ov a JOIN ov b ON a.query_id = b.query_id AND a.level = b.level AND a.model_id <> b.model_id GROUP BY a.level, a.model_id, b.model_id),
+p AS (SELECT level, i, sum(won) AS points, CAST(sum(n) AS BIGINT) AS n_games FROM g GROUP BY level, i),
+ms AS (SELECT x.level, x.i, list(coalesce(g.n, 0) ORDER BY y.i) AS ns FROM p x JOIN p y ON y.level = x.level LEFT JOIN g ON g.level = x.level AND g.i = x.i AND g.j = y.i GROUP BY x.level, x.i),
+t AS (SELECT level, list(i ORDER BY i) AS ids, list(points ORDER BY i) AS won, list(ns ORDER BY i) AS ns FROM ms JOIN p USING (level, i) GROUP BY level)
+SELECT level, model_id, points, n_games, round(rating, 6) AS rating, component FROM (
+  WITH RECURSIVE r AS (
+    SELECT level, 0 AS step, list_transform(ids, lambda i: 1.0::DOUBLE) AS r, 1.0::DOUBLE AS moved FROM t
+    UNION ALL
+    SELECT level, step + 1, new, list_max(list_transform(range(1, len(new) + 1), lambda i: abs(new[i] - r[i])))
+    FROM (SELECT level, step, r, list_transform(raw, lambda x: x * len(raw) / list_sum(raw)) AS new FROM (
+      SELECT r.level, step, r.r, list_transform(range(1, len(ids) + 1), lambda i: won[i] / list_sum(list_transform(range(1, len(ids) + 1),
+        lambda j: CASE WHEN ns[i][j] = 0 THEN 0.0 ELSE ns[i][j] / (r.r[i] + r.r[j]) END))) AS raw
+      FROM r JOIN t ON t.level = r.level WHERE step < 2000 AND moved > 1e-9) AS x) AS y)
+  SELECT e.level, unnest(t.ids) AS model_id, unnest(e.r) AS rating, list_min(t.ids) AS component
+  FROM (SELECT level, max_by(r, step) AS r FROM r GROUP BY level) AS e JOIN t ON t.level = e.level) AS z
+JOIN (SELECT level, i AS model_id, points, n_games FROM p) AS q USING (level, model_id)""")
+def f18(spark, sf):
+    return J.model_rating(J.pairwise_wins(_scored(Tables(spark, sf))))

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Tables
 from ..functions import arrays as AR
+from ..functions import templates as TP
+from ..functions import text as TX
 from ..operators import tokens as TK
 from ..operators.ordering import dense_index
-from .registry import dnorm, query
+from .registry import dnorm, dtrunc, query
+from .text_q import _d_msgs
 
 CK = ["conv_id", "turn"]
 
@@ -96,6 +99,37 @@ def c04(spark, sf):
                       AR.is_trimmed("ids", 16).alias("is_trimmed"))
 
 
+BUDGETS = (0, 1, 20, 60, 110, 150)
+_CHAT = _d_msgs("phi_mini", dtrunc(dnorm("query", lower=False), 40), "CAST(query_id % 4 + 1 AS BIGINT)", None)
+
+
+def _sum(parts: str) -> str:
+    return f"CAST(coalesce(list_sum(list_transform({parts}, lambda p: len({_toks('p')}))), 0) AS BIGINT)"
+
+
+@query("c04b_chat_budget", ["fx_queries"], f""",
+{_VOCAB_CTE},
+parts AS (SELECT query_id, list_concat(list_transform({_CHAT}, lambda m: '<|' || m.role || '|>' || chr(10) || m.content || '<|end|>' || chr(10)),
+    ['<|assistant|>' || chr(10)]) AS parts FROM fx_queries),
+chat AS (SELECT query_id, parts, array_to_string(parts, '') AS text, CAST(b AS BIGINT) AS budget FROM parts, (VALUES {", ".join(f"({b})" for b in BUDGETS)}) AS v(b)),
+fit AS (SELECT *, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(least(len(toks), budget) AS BIGINT) AS n_kept,
+    CAST(len(list_filter(range(1, len(parts) + 1), lambda i: {_sum("list_slice(parts, i, len(parts))")} <= budget)) AS BIGINT) AS whole
+  FROM (SELECT *, {_toks('text')} AS toks FROM chat) AS x),
+spent AS (SELECT *, n_kept - {_sum("list_slice(parts, len(parts) - whole + 1, len(parts))")} AS cut_kept FROM fit),
+said AS (SELECT query_id, budget, string_agg(token, ' ' ORDER BY pos) AS words FROM (
+    SELECT query_id, budget, unnest(list_slice(toks, len(toks) - budget + 1, len(toks))) AS token, unnest(range(1, n_kept + 1)) AS pos FROM spent WHERE n_tokens > budget) AS k
+  JOIN vocab USING (token) WHERE id >= {len(_SPECIALS)} GROUP BY query_id, budget)
+SELECT query_id, budget, n_tokens, n_kept, whole, CASE WHEN cut_kept > 0 THEN CAST(len(parts) - whole - 1 AS BIGINT) END AS cut, cut_kept,
+  CASE WHEN n_tokens <= budget THEN text ELSE coalesce(words, '') END AS trimmed_text, n_tokens > budget AS is_trimmed
+FROM spent LEFT JOIN said USING (query_id, budget)""")
+def c04b(spark, sf):
+    t = Tables(spark, sf)
+    chats = t.fx_queries.select("query_id", TP.chat_messages(TX.clean("query", "phi_medium"), F.col("query_id") % 4 + 1, "phi_mini").alias("chat"))
+    chats = chats.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("bigint") for b in BUDGETS])))
+    fitted = TK.chat_budget(chats, "chat", F.col("budget"), _vocab(t), ["query_id", "budget"])
+    return fitted.drop("text")
+
+
 @query("c05_trim_report", [], f"""WITH {_ENC_CONV}
 SELECT worker, count(*) AS processed, count(*) FILTER (WHERE len(ids) > 64) AS trimmed,
        round(CAST(count(*) FILTER (WHERE len(ids) > 64) AS DOUBLE) / count(*), 6) AS ratio
@@ -104,8 +138,10 @@ FROM (SELECT CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) // sz AS BIGI
 GROUP BY worker""")
 def c05(spark, sf):
     t = Tables(spark, sf)
-    enc = TK.encode(t.conversations, "text", _vocab(t), keys=CK)
-    rows = dense_index(enc.select("conv_id", "turn", AR.is_trimmed("ids", 64).alias("trim")), CK, "i")
+    # the index is made of the keys alone, so that texts are tokenised once
+    place = dense_index(t.conversations.select(*CK), CK, "i")
+    enc = TK.encode(t.conversations.select(*CK, "text"), "text", _vocab(t), keys=CK)
+    rows = enc.select(*CK, AR.is_trimmed("ids", 64).alias("trim")).join(place, CK)
     share = F.greatest(F.lit(1), F.ceil(t.conversations.select(F.count(F.lit(1))).scalar() / 8))  # a scalar subquery
     rep = TK.trim_report(rows.withColumn("worker", F.floor(F.col("i") / share).cast("bigint")), "worker", "trim")
     return rep.select("worker", "processed", "trimmed", F.round("ratio", 6).alias("ratio"))
@@ -131,9 +167,9 @@ FROM (SELECT doc_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) A
                CAST((row_number() OVER (ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch_id FROM enc) AS a) AS b""")
 def c07(spark, sf):
     t = Tables(spark, sf)
+    place = TK.assign_batches(t.documents.select("doc_id"), "doc_id", 16)  # of the keys alone: texts are tokenised once
     enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), keys=["doc_id"])
-    enc = enc.select("doc_id", "ids")
-    padded = TK.pad_batch(TK.assign_batches(enc, "doc_id", 16), "ids")
+    padded = TK.pad_batch(enc.select("doc_id", "ids").join(place.select("doc_id", "batch_id"), "doc_id"), "ids")
     return padded.select("doc_id", "batch_id", AR.ids_to_text("ids").alias("input_ids"),
                          AR.ids_to_text("attention_mask").alias("attention_mask"))
 

@@ -1,5 +1,6 @@
 """dense_index, shards, token arrays, padding, labels."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -98,3 +99,17 @@ def test_vocab_paths_agree(spark):
     capped = {r.token: r.id for r in TK.build_vocab(docs, "text", 300).collect()}        
     assert len(capped) == 300 and all(full[t] == i for t, i in capped.items())
     assert sorted(full.values()) == list(range(len(full)))
+
+
+def test_dense_index_refuses_ties(spark):
+    from qlift.operators.ordering import DuplicateKeys
+
+    df = spark.range(6).select((F.col("id") % 2).alias("k"), "id")
+    with pytest.raises(DuplicateKeys):
+        dense_index(df, "k")
+    assert dense_index(df, ["k", "id"]).count() == 6
+    keys = dense_index(df.select("k"), "k", "i")  # nothing to join back: equal rows are interchangeable
+    assert sorted((r.i, r.k) for r in keys.collect()) == [(i, int(i > 2)) for i in range(6)]
+    nulls = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "k long, v long")
+    with pytest.raises(DuplicateKeys):
+        dense_index(nulls, "k")
