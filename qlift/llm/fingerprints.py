@@ -1,14 +1,15 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-A text is a multiset of pieces: its paragraphs (lines), long ones cut after words that a hash picks (one in four), so
-that an edit changes only the pieces it touches.  Every piece is hashed to a wide vector and the vectors are summed,
-so the order of the pieces does not matter, and pieces can be inserted or deleted by adding or subtracting:
+A text is a multiset of paragraphs (its lines).  Every paragraph is hashed to a wide vector and the vectors are summed,
+so the order of the paragraphs does not matter, and paragraphs can be inserted or deleted by adding or subtracting:
 
-* 8 random lanes modulo 2**64: equal multisets, and only those (but for 512-bit accidents), have equal lanes;
-* 256 lanes of +1 or -1 modulo 2**32 (a text has under 2**30 pieces): their inner product estimates how much two multisets share, so the cosine of two
-  fingerprints is their likeness (0 to 1, error about 0.06).
+* 8 exact lanes modulo 2**64, the 512 bits of the paragraph's BLAKE2b digest: equal multisets have equal lanes, and two
+  given different ones have equal lanes with a probability of about 2**-512 (it is no defence against texts made up to collide);
+* 256 lanes of +1 or -1 modulo 2**32 (a text has under 2**30 pieces) for the likeness, where the unit is smaller: a paragraph is cut after words that a hash
+  picks (one in four), so that an edit changes only the pieces it touches.  The inner product of these lanes estimates how much two texts
+  share, so the cosine of two fingerprints is their likeness (0 to 1, error about 0.06).
 
-A piece is its words; white space inside it does not count.  ``op6`` compares each text with its edited text and with
+A paragraph, or a piece, is its words; white space inside it does not count.  ``op6`` compares each text with its edited text and with
 the next document's.  For that, documents are dealt into buckets of consecutive ids; a bucket also gets a copy of the first
 document of the next one, and one pass over the sorted bucket sees every neighbour.  Texts are shuffled once.
 
@@ -21,10 +22,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +48,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(text: str) -> np.ndarray:
-    """A 64-bit hash per piece of the text."""
-    lines = [w for w in map(bytes.split, text.encode("utf-8", "replace").split(b"\n")) if w]
+def paragraphs(text: str) -> list[list[bytes]]:
+    """The words of each paragraph that has any."""
+    return [w for w in map(bytes.split, text.encode("utf-8", "replace").split(b"\n")) if w]
+
+
+def exact_lanes(lines: list[list[bytes]]) -> np.ndarray:
+    """The sum of the paragraphs' 512-bit digests, lane by lane modulo 2**64."""
+    digests = b"".join([hashlib.blake2b(b" ".join(ws)).digest() for ws in lines])
+    return np.frombuffer(digests, "<u8").reshape(-1, EXACT_LANES).sum(axis=0, dtype=np.uint64)
+
+
+def pieces(lines: list[list[bytes]]) -> np.ndarray:
+    """A 64-bit hash per piece of the paragraphs."""
     if not lines:
         return np.empty(0, np.uint64)
-    words = np.fromiter((zlib.crc32(w) for ws in lines for w in ws), np.uint64)
+    words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lines)), np.uint64)
     ends = (words & np.uint64(3)) == 0
     ends[np.cumsum([len(w) for w in lines]) - 1] = True
     starts = np.concatenate(([0], np.nonzero(ends)[0][:-1] + 1))
@@ -59,21 +71,21 @@ def pieces(text: str) -> np.ndarray:
     return _mixed(np.add.reduceat(_mixed(words + _ODD) * _POWERS[nth % len(_POWERS)], starts))
 
 
-def vector(hashes: np.ndarray) -> np.ndarray:
-    """The sum of the pieces' vectors, as ``WIDTH`` 16-bit units (the exact lanes first)."""
-    exact = np.zeros(EXACT_LANES, np.uint64)
+def sign_lanes(hashes: np.ndarray) -> np.ndarray:
+    """The sum of the pieces' signs."""
     signs = np.zeros(SIGN_WORDS * 64, np.int64)
     for i in range(0, len(hashes), 8192):
         h = hashes[i:i + 8192, None]
-        exact += _mixed(h + _ODD * np.arange(1, EXACT_LANES + 1, dtype=np.uint64)).sum(axis=0, dtype=np.uint64)
         s = _mixed(h + _ODD * np.arange(101, 101 + SIGN_WORDS, dtype=np.uint64))
         ones = np.unpackbits(s.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
         signs += 2 * ones - len(h)
-    return np.concatenate([exact.view(np.uint16), signs.astype(np.uint32).view(np.uint16)])
+    return signs
 
 
 def fingerprint(text: str | None) -> np.ndarray:
-    return vector(pieces(text or ""))
+    """``WIDTH`` 16-bit units, the exact lanes first."""
+    lines = paragraphs(text or "")
+    return np.concatenate([exact_lanes(lines).view(np.uint16), sign_lanes(pieces(lines)).astype(np.uint32).view(np.uint16)])
 
 
 def _summed(a: np.ndarray, b: np.ndarray, sign: int) -> np.ndarray:

@@ -17,6 +17,26 @@ def test_homomorphic():
     assert (P.delete(P.fingerprint(a), a) == 0).all()
 
 
+def test_different_words_of_one_checksum_are_different():
+    """Two words with the same CRC-32."""
+    a, b = "the price of gnyijstj rose", "the price of etislvlf rose"
+    assert (P.fingerprint(a) != P.fingerprint(b)).any() and P.likeness(P.fingerprint(a), P.fingerprint(b)) < 1.0
+    assert (P.fingerprint(f"x\n{a}\n{b}") == P.fingerprint(f"{b}\n\n{a}\nx")).all()
+
+
+def test_exact_lanes_are_the_sum_of_digests():
+    """Restated without numpy: paragraphs, their digests, sums modulo 2**64."""
+    import collections
+
+    text = "one  two\nthree\n\n one two \n\tlast é"
+    lanes = [0] * 8
+    for words, times in collections.Counter(" ".join(x.split()) for x in text.split("\n") if x.split()).items():
+        d = hashlib.blake2b(words.encode()).digest()
+        for k in range(8):
+            lanes[k] = (lanes[k] + times * int.from_bytes(d[8 * k : 8 * k + 8], "little")) % 2**64
+    assert P.fingerprint(text)[:32].view(np.uint64).tolist() == lanes
+
+
 def test_likeness_follows_the_share_kept():
     r = random.Random(1)
     lines = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(6)) for _ in range(400)]
