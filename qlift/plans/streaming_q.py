@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables
+from ..operators import runlogs as RL
 from ..session import scratch_path
 from ..streaming import jobs as ST
 from .inference_q import _GPT2_CLEAN
 from .registry import query
+from .runlogs_q import _LOSSES
 from .standins import enhancer_factory
 
 
@@ -50,3 +52,19 @@ def j03(spark, sf):
     fmt = "yyyy-MM-dd HH:mm:ss"
     return out.select(F.date_format("window_start", fmt).alias("window_start"),
                       F.date_format("window_end", fmt).alias("window_end"), "level", "n")
+
+
+@query("j04_stream_early_stop", ["fx_log"], _LOSSES + """
+, s AS (SELECT split, epoch, mean_loss, min(mean_loss) OVER (PARTITION BY split ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM losses),
+g AS (SELECT split, epoch, sum(CASE WHEN best_before IS NULL OR mean_loss < best_before THEN 1 ELSE 0 END)
+    OVER (PARTITION BY split ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM s),
+st AS (SELECT split, epoch, row_number() OVER (PARTITION BY split, grp ORDER BY epoch) - 1 AS stale FROM g)
+SELECT d.split AS run, x.stop_epoch FROM (SELECT DISTINCT split FROM losses) d
+LEFT JOIN (SELECT split, min(epoch) AS stop_epoch FROM st WHERE stale = 4 GROUP BY split) x USING (split)""")
+def j04(spark, sf):
+    losses = RL.epoch_losses(RL.parse_log(Tables(spark, sf).fx_log)).select(F.col("split").alias("run"), "epoch", F.col("mean_loss").alias("loss"))
+    src, out, ckpt = (scratch_path(spark, f"j04-{x}") for x in ("src", "out", "ckpt"))
+    for part in ("epoch < 3", "epoch >= 3"):  # the stream is stopped and started again in between
+        losses.where(part).write.mode("append").parquet(src)
+        stops = ST.stream_early_stop(spark, src, out, ckpt, 4)
+    return stops

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables
+from ..operators import grouping as GR
 from ..operators import tables as TB
-from .registry import dstrip, query
+from ..session import Stored
+from .registry import dnorm, dstrip, query
 
 
 @query("d01_unpivot_levels", ["fx_drafts"], """
@@ -121,3 +123,46 @@ def d07b(spark, sf):
     for n in TB.LEVELS) + " FROM fx_drafts GROUP BY model_id")
 def d08(spark, sf):
     return TB.pivot_models(Tables(spark, sf).fx_drafts, "model_id", "level", TB.LEVELS, "draft")
+
+
+_WORDS = f"list_filter(string_split({dnorm('text')}, ' '), lambda w: w <> '')"
+_RUNS = f"""runs AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 8, 0) + 2),
+    lambda i: array_to_string(w[i:i + 7], ' ')) END) AS run FROM (SELECT doc_id, {_WORDS.replace('lower(text)', "lower(coalesce(text, ''))")} AS w FROM documents) AS x),
+held AS (SELECT run, min(doc_id) AS head FROM runs GROUP BY run HAVING count(*) > 1 AND count(*) <= 0.02 * (SELECT count(*) FROM documents)),
+links AS (SELECT DISTINCT head AS a, doc_id AS b FROM runs JOIN held USING (run) WHERE doc_id <> head),
+grp AS (SELECT doc_id, coalesce(label, doc_id) AS group_id FROM documents LEFT JOIN (
+  WITH RECURSIVE reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT DISTINCT b, b FROM links
+    UNION SELECT r.a, x.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) AS x ON x.a = r.b)
+  SELECT a AS doc_id, min(b) AS label FROM reach GROUP BY a) AS l USING (doc_id)),
+sz AS (SELECT group_id, count(*) AS n, count(*) > 0.005 * (SELECT CAST(count(*) AS DOUBLE) FROM documents) AS large FROM grp GROUP BY group_id),
+pr AS (SELECT least(0.5, 0.1 / nullif(1.0 - coalesce(sum(n) FILTER (WHERE large), 0) / CAST(sum(n) AS DOUBLE), 0)) AS p FROM sz),
+spl AS (SELECT group_id, CASE WHEN large THEN 'train' WHEN u < p THEN 'test' WHEN u < p * 2 THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT *, CAST(CAST('0x' || substr(md5(CAST(group_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM sz) AS s, pr)"""
+
+
+@query("d09_grouped_split", [], f"WITH {_RUNS} SELECT doc_id, group_id, split FROM grp JOIN spl USING (group_id)")
+def d09(spark, sf):
+    d = Tables(spark, sf).documents.select("doc_id", "text")
+    return GR.grouped_split(d, "doc_id", "text").select("doc_id", "group_id", "split")
+
+
+def _leaks(name: str, assigned: str) -> str:
+    return f"""{name} AS (SELECT split, count(*) AS rows, count(*) FILTER (WHERE shared > 0) AS leaking, round(max(CASE WHEN n > 0 THEN shared / CAST(n AS DOUBLE) ELSE 0 END), 6) AS max_containment
+  FROM (SELECT a.doc_id, a.split, count(r.run) AS n, count(t.run) AS shared FROM {assigned} a LEFT JOIN runs r USING (doc_id)
+    LEFT JOIN (SELECT DISTINCT run FROM runs JOIN held USING (run) JOIN {assigned} x USING (doc_id) WHERE x.split = 'train') AS t ON t.run = r.run
+    WHERE a.split <> 'train' GROUP BY a.doc_id, a.split) AS y GROUP BY split)"""
+
+
+@query("d09b_leak_report", [], f"""WITH {_RUNS},
+grouped AS (SELECT doc_id, split FROM grp JOIN spl USING (group_id)),
+plain AS (SELECT doc_id, CASE WHEN b < 8 THEN 'train' WHEN b = 8 THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 10 AS b FROM documents) AS z),
+{_leaks('lg', 'grouped')},
+{_leaks('lp', 'plain')}
+SELECT 'grouped' AS kind, * FROM lg UNION ALL SELECT 'plain', * FROM lp""")
+def d09b(spark, sf):
+    d = Tables(spark, sf).documents.select("doc_id", "text")
+    grouped = Stored(spark, "d09b").put(GR.grouped_split(d, "doc_id", "text").select("doc_id", "text", "split"))
+    plain = TB.split_assign(d, "doc_id").select("doc_id", "text", "split")
+    return (GR.leak_report(grouped, "doc_id", "text").select(F.lit("grouped").alias("kind"), "*")
+            .unionByName(GR.leak_report(plain, "doc_id", "text").select(F.lit("plain").alias("kind"), "*")))

@@ -8,6 +8,7 @@ from ..fixtures import Tables
 from ..functions import arrays as AR
 from ..functions import templates as TP
 from ..functions import text as TX
+from ..operators import subwords as SW
 from ..operators import tokens as TK
 from ..operators.ordering import dense_index
 from .registry import dnorm, dtrunc, query
@@ -272,3 +273,23 @@ FROM (SELECT profile, eval_div, save_div, log_div, rows,
            (SELECT count(*) AS rows FROM documents) AS r) AS x""")
 def c12(spark, sf):
     return TK.plan_steps(Tables(spark, sf).documents)
+
+
+MERGES = 12
+
+
+def _merge_steps() -> str:
+    """The oracle's rounds one after the other, every pair counted anew in each."""
+    out = [f"""w1 AS MATERIALIZED (SELECT n, ' ' || array_to_string(list_concat(string_split(word, ''), ['</w>']), '  ') || ' ' AS seg
+  FROM (SELECT word, count(*) AS n FROM (SELECT unnest({_toks('text')}) AS word FROM conversations) AS u GROUP BY word) AS c)"""]
+    for i in range(1, MERGES + 1):
+        out.append(f"""m{i} AS MATERIALIZED (SELECT CAST({i} AS BIGINT) AS rank, x.a AS "left", x.b AS "right", CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, unnest(list_transform(range(1, len(s)), lambda j: {{'a': s[j], 'b': s[j + 1]}})) AS x FROM (SELECT n, string_split(trim(seg), '  ') AS s FROM w{i}) AS q) AS r
+  GROUP BY x.a, x.b ORDER BY 4 DESC, 2, 3 LIMIT 1)""")
+        out.append(f"""w{i + 1} AS MATERIALIZED (SELECT w.n, replace(seg, ' ' || m."left" || '  ' || m."right" || ' ', ' ' || m."left" || m."right" || ' ') AS seg FROM w{i} AS w, m{i} AS m)""")
+    return "WITH " + ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(1, MERGES + 1))
+
+
+@query("c13_learn_merges", [], _merge_steps())
+def c13(spark, sf):
+    return SW.learn_merges(Tables(spark, sf).conversations, "text", MERGES)

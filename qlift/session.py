@@ -65,6 +65,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/qlift-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+class Stored:
+    """Tables in the shared checkpoint folder for loops of joins: unlike a checkpoint, a table read again has its own
+    size, so that the planner's estimates don't grow (as products) from round to round."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.paths: list[str] = []
+
+    def put(self, df):
+        path = scratch_path(self.spark, self.name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, keep: int) -> None:
+        """Deletes all tables but the last ``keep``; nothing that is still to be read may rest on them."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        while len(self.paths) > keep:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+            path.getFileSystem(conf).delete(path, True)
+
+
 _SHIPPED: set = set()
 
 

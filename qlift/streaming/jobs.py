@@ -1,4 +1,4 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs.
 
 The batch workflow's resumable file loop becomes a file-source stream with a checkpoint:
 each input file is processed exactly once across restarts, and ``availableNow`` runs the
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators.inference import generate
 from ..operators.runlogs import parse_log
+from ..session import ship_package
 from ..sources.files import QUERY_SCHEMA
 
 
@@ -73,3 +74,49 @@ def stream_log_levels(spark: SparkSession, src: str, out: str, checkpoint: str,
                       "level", "n")
     _run(flat.writeStream.format("parquet").outputMode("append"), out, checkpoint)
     return spark.read.parquet(out)
+
+
+STOP_SCHEMA = "run string, seen_epoch bigint, stop_epoch bigint"
+_STOP_STATE = "last_epoch bigint, best_loss double, stale bigint, stop_epoch bigint"
+
+
+def _watch(patience: int):
+    """State per run: the last epoch judged, the best loss, the epochs since then, and where the run stopped (or -1)."""
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        seen = pd.concat(list(frames)).dropna(subset=["epoch", "loss"])
+        last, best, stale, stopped = state.get if state.exists else (-1, float("inf"), 0, -1)
+        out = []
+        if not state.exists:
+            out.append((key[0], last, None))
+        # in the order of the epochs; of an epoch that comes twice in one batch the smaller loss
+        for epoch, loss in seen.groupby("epoch")["loss"].min().sort_index().items():
+            if epoch <= last:
+                continue  # repeated or late: the epoch has been judged (or passed over) already
+            last = int(epoch)
+            improved = loss < best
+            best, stale = (float(loss), 0) if improved else (best, stale + 1)
+            if stale == patience and stopped < 0:
+                stopped = last
+                out.append((key[0], last, stopped))
+        state.update((last, best, stale, stopped))
+        yield pd.DataFrame(out, columns=["run", "seen_epoch", "stop_epoch"]).astype({"seen_epoch": "int64", "stop_epoch": "Int64"})
+
+    return step
+
+
+def stream_early_stop(spark: SparkSession, src: str, out: str, checkpoint: str, patience: int) -> DataFrame:
+    """I5 on a stream: per run the first epoch after ``patience`` epochs without a new strict minimum, else null.
+
+    ``src`` holds Parquet files of ``run, epoch, loss`` (one row per run and epoch, I3's result).  The state of a run is four
+    numbers, kept across restarts by the checkpoint.  Epochs are judged in ascending order; one at or below the last
+    judged epoch of its run is repeated or late and changes nothing.  Rows without epoch or loss are passed over, but make the run known.
+    A run emits one row when it is first seen and one when it stops; what comes back folds these to a row per run.
+    """
+    ship_package(spark)
+    s = spark.readStream.schema("run string, epoch bigint, loss double").parquet(src)
+    events = s.groupBy("run").applyInPandasWithState(_watch(patience), STOP_SCHEMA, _STOP_STATE, "append", "NoTimeout")
+    _run(events.writeStream.format("parquet").outputMode("append"), out, checkpoint)
+    return spark.read.schema(STOP_SCHEMA).parquet(out).groupBy("run").agg(F.min("stop_epoch").alias("stop_epoch"))
