@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, scratch_path, ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 
 
 def text_column(name: str = "text") -> Column:
@@ -38,29 +38,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Stored:
-    """Tables in the folder of ``spark.checkpoint.dir`` for loops of joins: unlike a checkpoint, a table read again
-    has its own size, so that the planner's estimates don't grow (as products) from round to round."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ensure_checkpoint_dir(spark)
-        self.spark, self.name = spark, name
-        self.paths: list[str] = []
-
-    def put(self, df: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, self.name)
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def forget(self, keep: int) -> None:
-        """Deletes all tables but the last ``keep``; nothing that is still to be read may rest on them."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        while len(self.paths) > keep:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
-            path.getFileSystem(conf).delete(path, True)
-
-
 def bounded_sample(rows: DataFrame, n: int, *key: str, seed: int = 7) -> DataFrame:
     """About ``n`` of the rows (all, if there are fewer), chosen by a hash of the key columns: the same ones each run.
 
@@ -72,6 +49,17 @@ def bounded_sample(rows: DataFrame, n: int, *key: str, seed: int = 7) -> DataFra
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(1 << 30)) < int(n / total * (1 << 30)))
 
 
+def collected(rows: DataFrame, column: str, max_rows: int, max_bytes: int, seed: int) -> list:
+    """The rows on the driver: all of them while they are ``max_rows`` and their ``column`` holds ``max_bytes`` at most, else about as
+    many as fit, chosen by a hash of ``doc_id`` and the column (the same ones each run).  They are counted and weighed before they move."""
+    rows = saved(rows)
+    n = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length(column).cast("long")).alias("bytes")).first()
+    share = min(1.0, max_rows / max(n["rows"], 1), max_bytes / max(n["bytes"] or 0, 1))
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", column), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return rows.collect()
+
+
 def chunks(lengths, limit: int):
     """Slices ``(from, to)`` of consecutive items whose lengths sum to about ``limit`` (one long item: a slice of its own)."""
     at, size = 0, 0

@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, prepare
+from ..session import Stored
+from .common import prepare
 
 ROOT = bytes(16)
 PIECE = 8192  # ids joined to one piece of text

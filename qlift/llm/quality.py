@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, prepare
+from .common import bounded_sample, collected, prepare
 from .langid import remainder
 
 CUT = 0.3
@@ -95,7 +95,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs_per_row: int = 10, ridge: float = 1.
     return Model(w, mean, scale, float(np.median(best)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int = 7) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_bytes: int = 96 << 20, seed: int = 7) -> Model | None:
     """Fit on labelled documents; rows whose id's CRC-32 leaves 0 modulo 5 are held out."""
     prepare(docs.sparkSession)
     marks = labels.select(F.col("`doc_id`").alias("doc_id"), F.col("`quality`").cast("int").alias("y"))
@@ -107,8 +107,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int
     def vector(text: pd.Series) -> pd.Series:
         return text.map(lambda t: np.array(features(t), np.float32).tobytes())
 
-    # the sample is bounded by max_rows (16 bytes a row)
-    rows = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "y", vector("text").alias("x")).orderBy("doc_id", "x").collect()
+    # the marks are bounded by max_rows (16 bytes a row); what comes to the driver is weighed first (an id may stand on many rows)
+    rows = collected(texts.join(F.broadcast(marks), "doc_id").select("doc_id", "y", vector("text").alias("x")), "x", 2 * max_rows, max_bytes, seed)
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["x"]))
     if not rows:
         return None
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), FEATURES).astype(float)

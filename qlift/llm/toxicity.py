@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, prepare
+from .common import bounded_sample, collected, prepare
 
 BITS = 20
 GRADES = 3
@@ -114,7 +114,7 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, least_docs: int = 5, lift: fl
     return Model(weights, np.cumsum([gaps[0], np.exp(gaps[1]), np.exp(gaps[2])]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int = 7) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_bytes: int = 96 << 20, seed: int = 7) -> Model | None:
     prepare(docs.sparkSession)
     marks = labels.select(F.col("`doc_id`").alias("doc_id"), F.col("`toxic`").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     marks = bounded_sample(marks.groupBy("doc_id").agg(F.max("y").alias("y")), max_rows, "doc_id", seed=seed)
@@ -124,8 +124,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int
     def words(text: pd.Series) -> pd.Series:
         return text.map(lambda t: buckets(t).tobytes())
 
-    # the sample is bounded by max_rows (16 bytes a row)
-    rows = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "y", words("text").alias("x")).collect()
+    # the marks are bounded by max_rows (16 bytes a row); what comes to the driver is weighed first (an id may stand on many rows)
+    rows = collected(texts.join(F.broadcast(marks), "doc_id").select("doc_id", "y", words("text").alias("x")), "x", 2 * max_rows, max_bytes, seed)
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["x"]))
     return fit([np.frombuffer(r["x"], np.int32) for r in rows], np.array([r["y"] for r in rows]))
 

@@ -1,5 +1,6 @@
 """Language ID, quality and toxicity: held-out accuracy and edge rows."""
 
+import math
 import random
 import zlib
 
@@ -126,3 +127,70 @@ def test_toxicity_edges(spark, labelled):
     assert len(got) == docs.count() and all(0 <= r.severity <= 3 and 0 <= r.p_toxic <= 1 for r in got)
     assert labelled or all(r.severity == 0 for r in got)
     assert toxicity.predict(docs.limit(0), model).count() == 0
+
+
+def _ordinal_loss(sets, y, weights, theta, ridge=1e-5):
+    """The cumulative-link likelihood, said plainly, row by row."""
+    loss = 0.0
+    for s, grade in zip(sets, y):
+        x = sum(float(weights[b]) for b in s)
+        above = [1.0, *(1 / (1 + math.exp(t - x)) for t in theta), 0.0]
+        loss -= math.log(max(above[grade] - above[grade + 1], 1e-9))
+    return loss / len(y) + ridge / 2 * sum(float(w) ** 2 for w in weights[np.nonzero(weights)[0]])
+
+
+def test_toxicity_fit_against_plain_steps():
+    """Forty Adam steps with gradients of the plain likelihood by differences end at the same weights and thresholds."""
+    rng = np.random.default_rng(4)
+    toxic = rng.integers(0, 2, 150)
+    sets = [np.unique(np.concatenate([rng.integers(0, 12, 4), rng.integers(20, 26, rng.integers(1, 7)) if t else rng.integers(40, 46, 4)])).astype(np.int32) for t in toxic]
+    model = toxicity.fit(sets, toxic, least_z=2.0, rounds=40)
+    used = np.nonzero(model.weights)[0]
+    marker = set(range(20, 26))
+    assert marker <= set(used.tolist())
+    y = [1 + (len(marker & set(s.tolist())) >= 3) + (len(marker & set(s.tolist())) >= 6) if t else 0 for s, t in zip(sets, toxic)]
+
+    def loss(v):
+        weights = np.zeros(64)
+        weights[used] = v[:-3]
+        return _ordinal_loss(sets, y, weights, [v[-3], v[-3] + math.exp(v[-2]), v[-3] + math.exp(v[-2]) + math.exp(v[-1])])
+
+    v = np.concatenate([np.zeros(len(used)), [2.0, 0.0, 0.0]])
+    first, second = np.zeros(len(v)), np.zeros(len(v))
+    for i in range(1, 41):
+        g = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in np.eye(len(v)) * 1e-5])
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        v = v - 0.05 * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.999**i)) + 1e-8)
+    assert np.abs(model.weights[used] - v[:-3]).max() < 2e-3
+    assert np.abs(model.thresholds - np.cumsum([v[-3], math.exp(v[-2]), math.exp(v[-1])])).max() < 2e-3
+
+
+def test_quality_fit_against_plain_steps():
+    """The weights solve the Bradley-Terry likelihood of the same pairs (plain gradient, pair by pair); the cut has the fewest errors of its quantiles."""
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 120)
+    x = rng.standard_normal((120, 4)) + np.outer(y, [1.0, -0.5, 0.0, 0.2])
+    m = quality.fit(x, y, pairs_per_row=5, seed=3)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    again = np.random.default_rng(3)
+    good, bad = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
+    a, b = again.choice(good, 600), again.choice(bad, 600)
+    gradient = m.weights.copy()
+    for i, j in zip(a, b):
+        d = z[i] - z[j]
+        gradient -= d / (1 + math.exp(float(d @ m.weights)))
+    assert np.abs(gradient).max() < 1e-4
+    s = z @ m.weights
+    errors = {c: sum(v < c for v in s[y == 1]) + sum(v >= c for v in s[y == 0]) for c in np.quantile(s, np.linspace(0.002, 0.998, 500))}
+    assert sum(v < m.cut for v in s[y == 1]) + sum(v >= m.cut for v in s[y == 0]) <= min(errors.values()) + 1
+
+
+def test_what_comes_to_the_driver_is_weighed(spark):
+    from qlift.llm.common import collected
+
+    rows = spark.range(5000).selectExpr("id % 50 AS doc_id", "cast(repeat(cast(id AS string), 10) AS binary) AS x")
+    assert len(collected(rows, "x", 10_000, 1 << 20, 1)) == 5000
+    some = collected(rows, "x", 10_000, 40_000, 1)
+    assert 20_000 < sum(len(r.x) for r in some) < 60_000
+    assert sorted(map(tuple, some)) == sorted(map(tuple, collected(rows.repartition(7), "x", 10_000, 40_000, 1)))
+    assert 300 < len(collected(rows, "x", 500, 1 << 30, 1)) < 700
