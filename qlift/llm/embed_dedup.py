@@ -101,6 +101,8 @@ class Plan:
 
 def _unit(vectors: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+    # by a power of two first (exact), so that no square overflows or vanishes
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 

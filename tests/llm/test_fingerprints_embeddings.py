@@ -124,6 +124,16 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_huge_and_tiny_components_link(spark):
+    """Vectors whose squares overflow or vanish are compared like any other."""
+    r = np.random.default_rng(2)
+    base = r.standard_normal(24)
+    scales = [1.0, 1e200, 1e-200, 1e300, 1e-310]
+    rows = [(i, (base * s).tolist()) for i, s in enumerate(scales)] + [(10 + i, r.standard_normal(24).tolist()) for i in range(40)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == (4, 0) for i in range(5)) and all(got[10 + i] == (0, 10 + i) for i in range(40))
+
+
 def test_calibration():
     assert E.least_count(0.9545) == max(l for l in range(33) if sum(
         __import__("math").comb(32, k) * 0.9545 ** k * 0.0455 ** (32 - k) for k in range(l, 33)) >= E.RECALL)
