@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating star operations (no driver state but two numbers a round)."""
+"""Connected components of a link table, by alternating star operations (no driver state but three numbers a round)."""
 
 from __future__ import annotations
 
@@ -29,11 +29,12 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = saved(e)
     before = None
     for _ in range(max_rounds):
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-        if (now["n"], now["h"]) == before:
+        # two 64-bit hashes of every link, one summed whole and one by exclusive or: equal for different links in one of 2**128 cases
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(11), "u", "v"))).first())
+        if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = (now["n"], now["h"])
+        before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (both.where("v > u").withColumn("nk", -F.col("u"))
                  .join(_least_neighbour(both), "nk").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
