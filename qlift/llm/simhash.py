@@ -216,27 +216,27 @@ def _groups(fps: DataFrame, max_bits: int) -> DataFrame:
 def dedupe(docs: DataFrame, n: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group; of a group's rows with that id the one of the least
     digest of its text stays (of equal texts, that of the least hash of all columns).
-    Rows without id stay only if no document with an id is in their group."""
+    Of a group without any id one row stays: of its least fingerprint the one of the least digest, then hash."""
     g = _groups(fingerprints(docs, n, digest=True), max_bits)
     ids = g.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id"), "component").agg(F.min("digest").alias("kept_digest"))
     ids = ids.select("kept_id", "kept_digest")  # texts of one digest are in one component
     named = docs.where(F.col("`doc_id`").isNotNull()).select(
         F.struct("*").alias("row"), F.col("`doc_id`").cast("long").alias("kept_id"), _digest().alias("kept_digest"), F.xxhash64("*").alias("hash"))
     kept = named.join(ids, ["kept_id", "kept_digest"], "left_semi").groupBy("kept_id", "kept_digest").agg(F.min_by("row", "hash").alias("row")).select("row.*")
-    lone = g.where("doc_id is null and component_id is null").select("fp").distinct()
+    lone = g.where("doc_id is null and component_id is null").groupBy("component").agg(F.min("fp").alias("fp")).select("fp")
     return kept.unionByName(_unnamed(docs, lone, n))
 
 
 def _unnamed(docs: DataFrame, lone: DataFrame, n: int) -> DataFrame:
-    """One row per text of the rows without id whose fingerprint is in ``lone``."""
-    rows = docs.where(F.col("`doc_id`").isNull()).dropDuplicates(["text"])
+    """One row without id per fingerprint of ``lone``, by a fixed order."""
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, n) for t in text], dtype="int64")
 
-    packed = rows.select(F.struct(F.col("*")).alias("row"), fp(text_column("`text`")).alias("fp"))
-    return packed.join(lone, "fp", "left_semi").select("row.*")
+    packed = docs.where(F.col("`doc_id`").isNull()).select(
+        F.struct(F.col("*")).alias("row"), fp(text_column("`text`")).alias("fp"), F.struct(_digest().alias("d"), F.xxhash64("*").alias("h")).alias("order"))
+    return packed.join(lone, "fp", "left_semi").groupBy("fp").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
