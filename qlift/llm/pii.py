@@ -2,6 +2,8 @@ r"""Personal data: patterns propose spans, checksums confirm them, nearby words
 
 Only DataFrame functions.  A pattern's matches and the pieces between them (``regexp_extract_all`` and ``split``
 walk the text alike) give every span's position in code points; nothing leaves its row, so there is no exchange.
+The work grows in proportion to the text and its matches: positions are running sums over blocks, the context of a match
+comes from the pieces beside it, and a redacted text is joined once from its pieces and marks.
 
 Base kinds, leftmost and non-overlapping per kind: ``email``, ``ip`` (parts up to 255), ``card`` (14 to 19 digits
 that pass Luhn), ``phone`` (10 to 15 digits).  These stay whatever their score.  The method adds ``iban`` (mod 97
@@ -42,6 +44,9 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax", "iban": "iban|account|bank|transfer", "ssn": "ssn|social|security|insurance",
 }
 CONTEXT_GAIN = 0.4
+LEAST = 5  # code points of the shortest match of any kind
+STEP = 256  # elements of a block of running sums
+BLOCK = 4096  # code points of a block of a text
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -83,32 +88,61 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, text: Column, start: Column, end: Column, reach: int) -> Column:
-    before = F.substring(text, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach)))
-    around = F.concat_ws(" ", before, F.substring(text, end + 1, F.lit(reach)))
+def _let(value: Column, body) -> Column:
+    """``body(value)``, the value worked out once (a column named twice, or inside a lambda, may be worked out again)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, zero: Column, merge) -> Column:
+    """For each element what ``merge`` makes of all earlier ones.  Blocks of ``STEP`` and the totals of the blocks before: no
+    array grows element by element, which would copy it each time."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / STEP).cast("int")), lambda b: F.slice(values, b * STEP + 1, STEP))
+
+    def offsets(bl):
+        return _let(F.transform(bl, lambda block: F.aggregate(block, zero, merge)), lambda totals: F.flatten(F.transform(
+            bl, lambda block, b: _let(F.aggregate(F.slice(totals, F.lit(1), b), zero, merge), lambda off: F.transform(
+                block, lambda x, i: F.aggregate(F.slice(block, F.lit(1), i), off, merge))))))
+
+    return _let(blocks, offsets)
+
+
+def _near(pieces: Column, found: Column, i: Column, reach: int) -> Column:
+    """Up to ``reach`` code points before match i and after it, from the pieces and matches beside it (a match has 5 code
+    points at least, so ``reach`` of them lie in ``reach / 5 + 1`` matches and the pieces around)."""
+    k = reach // LEAST + 1
+    lo = F.greatest(i - k, F.lit(0))
+    earlier = F.zip_with(F.slice(pieces, lo + 1, i - lo), F.slice(found, lo + 1, i - lo), lambda p, m: F.concat(F.right(p, F.lit(reach)), F.right(m, F.lit(reach))))
+    later = F.zip_with(F.slice(found, i + 2, F.lit(k)), F.slice(pieces, i + 3, F.lit(k)), lambda m, p: F.concat(F.left(F.coalesce(m, F.lit("")), F.lit(reach)),
+                                                                                                           F.left(F.coalesce(p, F.lit("")), F.lit(reach))))
+    before = F.right(F.concat(F.array_join(earlier, ""), F.right(F.get(pieces, i), F.lit(reach))), F.lit(reach))
+    after = F.left(F.concat(F.left(F.get(pieces, i + 1), F.lit(reach)), F.array_join(later, "")), F.lit(reach))
+    return F.concat_ws(" ", before, after)
+
+
+def _score(kind: str, around: Column) -> Column:
     near = F.lower(around).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})")
     return F.least(F.lit(PRIOR[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0.0), F.lit(1.0))
 
 
-def _verdict(kind: str):
-    return lambda v: F.struct(F.length(v).alias("n"), _valid(kind, v).alias("ok"))
+def _spans(kind: str, rank: int, found: Column, valid: Column, pieces: Column, reach: int) -> Column:
+    """The spans of the valid matches: a match starts behind all pieces and matches before it."""
+    def of(p):
+        widths = F.zip_with(F.slice(p, F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n")))
 
+        def placed(w):
+            ends = _before(F.transform(w, lambda x: x["gap"] + x["n"]), F.lit(0), lambda acc, x: acc + x)
+            spans = F.transform(F.arrays_zip(ends.alias("at"), w.alias("w"), valid.alias("ok")), lambda x, i: F.when(x["ok"], _let(
+                x["at"] + x["w"]["gap"], lambda start: F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+                                                                (start + x["w"]["n"]).alias("end"), _score(kind, _near(p, found, i, reach)).alias("score")))))
+            return F.filter(spans, lambda x: x.isNotNull())
 
-def _with_gap(pieces: Column):
-    """A match with the length of the piece before it."""
-    return lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), m["n"].alias("n"), m["ok"].alias("ok"))
+        return _let(widths, placed)
 
+    return _let(pieces, of)
 
-def _append(kind: str, rank: int, reach: int):
-    """Fold step: move past the gap and the match, keep the span if its check passed."""
-    def step(acc, m):
-        start = acc["pos"] + m["gap"]
-        end = start + m["n"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
-                        _score(kind, F.col("body"), start, end, reach).alias("score"))
-        return F.struct(end.alias("pos"), F.when(m["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return step
+def _check(kind: str):
+    return lambda v: _valid(kind, v)
 
 
 def _of_kind(kind: str):
@@ -124,18 +158,15 @@ def find_spans(docs: DataFrame, reach: int = 40, threshold: float = 0.6) -> Data
     for k in kinds:
         found = F.regexp_extract_all(F.col("body"), F.lit(PATTERNS[k]), F.lit(0))
         d = d.withColumn(f"m_{k}", F.when(F.instr(F.col("body"), NEEDS[k]) > 0, found).otherwise(none) if k in NEEDS else found)
-    # matches with their verdicts; the pieces between them are cut only where a match holds
+    # verdicts of the matches; the pieces between them are cut only where a match holds
     for k in kinds:
-        d = d.withColumn(f"m_{k}", F.transform(f"m_{k}", _verdict(k)))
-    for k in kinds:
-        d = d.withColumn(f"p_{k}", F.when(F.exists(f"m_{k}", lambda m: m["ok"]), F.split("body", PATTERNS[k], -1)))
+        d = d.withColumn(f"v_{k}", F.transform(f"m_{k}", _check(k)))
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,score:double>>)")
     for rank, k in enumerate(kinds):
-        gaps = F.transform(f"m_{k}", _with_gap(F.col(f"p_{k}")))
-        spans = F.aggregate(gaps, F.struct(F.lit(0).alias("pos"), empty.alias("out")), _append(k, rank, reach), lambda acc: acc["out"])
+        spans = _spans(k, rank, F.col(f"m_{k}"), F.col(f"v_{k}"), F.split("body", PATTERNS[k], -1), reach)
         if k in ADDED_KINDS:
             spans = F.filter(spans, lambda s: s["score"] >= threshold)
-        d = d.withColumn(f"s_{k}", F.when(F.col(f"p_{k}").isNotNull(), spans).otherwise(empty))
+        d = d.withColumn(f"s_{k}", F.when(F.exists(f"v_{k}", lambda ok: ok), spans).otherwise(empty))
     return d.select("row", "body", F.array_sort(F.concat(*[F.col(f"s_{k}") for k in kinds])).alias("spans"))
 
 
@@ -144,20 +175,33 @@ def span_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end`` (code points) out of its blocks of ``BLOCK``: only the blocks it meets are touched."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((end - 1) / BLOCK).cast("int")
+    met = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(met, start - first * BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+
+def _marked(blocks: Column, spans: Column, length: Column) -> Column:
+    """The text with marks for its spans (sorted): a span that begins behind all earlier ones starts a cut, which reaches to
+    the furthest end of the spans before the next cut."""
+    def joined(reached):
+        cuts = F.filter(F.zip_with(spans, reached, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), lambda x: x["s"]["start"] >= x["r"])
+        parts = F.transform(cuts, lambda x: F.concat(_between(blocks, x["r"], x["s"]["start"]), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")))
+        furthest = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), _between(blocks, furthest, length))
+
+    return _let(_before(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda acc, x: F.greatest(acc, x)), joined)
+
+
 def redact(docs: DataFrame, reach: int = 40, threshold: float = 0.6) -> DataFrame:
     """The rows of ``docs`` with every span of personal data replaced by ``[KIND]`` in ``text`` (overlapping spans:
     the one that begins first, and at the same start the first kind, names the cut, which reaches to the furthest
     end).  ``n_chars`` follows the new text where the column exists.  A null text stays null."""
     d = find_spans(docs, reach, threshold)
-
-    def step(acc, s):
-        gap = F.substring(F.col("body"), acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"),
-                        F.when(s["start"] >= acc["pos"], F.concat(acc["out"], gap, mark)).otherwise(acc["out"]).alias("out"))
-
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step,
-                      lambda acc: F.concat(acc["out"], F.substring(F.col("body"), acc["pos"] + 1, F.length("body"))))
+    marked = _let(F.regexp_extract_all(F.col("body"), F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: _marked(blocks, F.col("spans"), F.length("body")))
+    cut = F.when(F.size("spans") > 0, marked)
     text = F.when(F.size("spans") > 0, cut).otherwise(F.col("row.text"))
     d = d.select("row", text.alias("new_text"))
     names = docs.columns

@@ -129,3 +129,43 @@ def test_pii_oracle(spark, tmp_path):
     c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = c.sql(f"select {', '.join(got.columns)} from ({pii.OP7_SQL})").fetchall()
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_fifty_thousand_matches_in_one_text(spark):
+    """Linear in the text: found and redacted within seconds; the spans and the text are those of the plain rules."""
+    import time
+
+    text = "".join(f"é{i} mail a{i}@b{i}.org or +1 555 010 {i % 10000:04d}; " for i in range(25_000))
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    start = time.time()
+    spans = pii.find_spans(df).first().spans
+    new = pii.redact(df).first().text
+    assert time.time() - start < 60
+    assert len(spans) == 50_000 and all(text[s.start:s.end].startswith(("a", "+")) for s in spans)
+    assert new == "".join(f"é{i} mail [EMAIL] or [PHONE]; " for i in range(25_000))
+
+
+def test_context_reaches_over_neighbouring_matches(spark):
+    """The context of a match is 40 code points of text either way, whatever matches lie in them."""
+    texts = ["a@b.c " * n + "078-05-1120" for n in range(9)] + ["ssn a@b.c 078-05-1120", "078-05-1120 a@b.c x@y.z social", "078-05-1120 " + "1.2.3.4 " * 5 + "ssn",
+             "ssn" + "x" * 40 + " 078-05-1120", "078-05-1120 078-05-1121 078-05-1122 social"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("row.doc_id", "spans").collect()}
+    for i, t in rows:
+        want = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", t)
+                if re.search("(?<![a-z])(ssn|social|security|insurance)", (t[max(0, m.start() - 40) : m.start()] + " " + t[m.end() : m.end() + 40]).lower())]
+        assert [(a, b) for k, a, b in got[i] if k == "ssn"] == want, t
+
+
+def test_overlapping_spans_are_one_cut(spark):
+    """A span inside, or across the end of, an earlier one belongs to its cut."""
+    texts = ["x +4111111111111111 y", "4111 1111 1111 1111@b.org and more +1 (499) 555-6503.", "1.2.3.4@x.org 1.2.3.4", "a" * 9000 + " 1.2.3.4 " + "é" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_spans(df).selectExpr("row.doc_id", "spans").collect()}
+    for r in pii.redact(df).collect():
+        t, out, pos = texts[r.doc_id], "", 0
+        for s in spans[r.doc_id]:
+            if s.start >= pos:
+                out += t[pos : s.start] + f"[{s.kind.upper()}]"
+            pos = max(pos, s.end)
+        assert r.text == out + t[pos:]
