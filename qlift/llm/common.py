@@ -49,17 +49,6 @@ def bounded_sample(rows: DataFrame, n: int, *key: str, seed: int = 7) -> DataFra
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(1 << 30)) < int(n / total * (1 << 30)))
 
 
-def collected(rows: DataFrame, column: str, max_rows: int, max_bytes: int, seed: int) -> list:
-    """The rows on the driver: all of them while they are ``max_rows`` and their ``column`` holds ``max_bytes`` at most, else about as
-    many as fit, chosen by a hash of ``doc_id`` and the column (the same ones each run).  They are counted and weighed before they move."""
-    rows = saved(rows)
-    n = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length(column).cast("long")).alias("bytes")).first()
-    share = min(1.0, max_rows / max(n["rows"], 1), max_bytes / max(n["bytes"] or 0, 1))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", column), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return rows.collect()
-
-
 def chunks(lengths, limit: int):
     """Slices ``(from, to)`` of consecutive items whose lengths sum to about ``limit`` (one long item: a slice of its own)."""
     at, size = 0, 0

@@ -183,14 +183,3 @@ def test_quality_fit_against_plain_steps():
     s = z @ m.weights
     errors = {c: sum(v < c for v in s[y == 1]) + sum(v >= c for v in s[y == 0]) for c in np.quantile(s, np.linspace(0.002, 0.998, 500))}
     assert sum(v < m.cut for v in s[y == 1]) + sum(v >= m.cut for v in s[y == 0]) <= min(errors.values()) + 1
-
-
-def test_what_comes_to_the_driver_is_weighed(spark):
-    from qlift.llm.common import collected
-
-    rows = spark.range(5000).selectExpr("id % 50 AS doc_id", "cast(repeat(cast(id AS string), 10) AS binary) AS x")
-    assert len(collected(rows, "x", 10_000, 1 << 20, 1)) == 5000
-    some = collected(rows, "x", 10_000, 40_000, 1)
-    assert 20_000 < sum(len(r.x) for r in some) < 60_000
-    assert sorted(map(tuple, some)) == sorted(map(tuple, collected(rows.repartition(7), "x", 10_000, 40_000, 1)))
-    assert 300 < len(collected(rows, "x", 500, 1 << 30, 1)) < 700
