@@ -30,6 +30,7 @@ import json
 import re
 import sys
 import unicodedata
+import zlib
 from itertools import chain
 
 import pyarrow as pa
@@ -56,6 +57,7 @@ UNKNOWN_MARKS = (  # combining marks (and one pair) that the normal form leaves
     "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 "
     "1133b 1145e 11839-1183a 11930 11935 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f "
     "1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef")
+LOW = 0x250  # texts below it (Latin letters and signs) have a pattern of their own
 START = -1
 PART = 1 << 20  # bytes or ids of a part of a batch
 
@@ -87,9 +89,9 @@ class Text:
         if unicodedata.unidata_version != UNICODE:
             raise RuntimeError(f"character tables are stated for Unicode {UNICODE}, not {unicodedata.unidata_version}: "
                                "state the fixed values of this module anew (tests/llm/test_bpe.py compares every code point)")
-        letters = _class([*_of_category("L"), *_ranges(MORE_LETTERS)])
-        digits = _class([*_of_category("N"), *_ranges(MORE_DIGITS)])
-        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACES}{letters}{digits}]+").findall
+        letters, digits = [*_of_category("L"), *_ranges(MORE_LETTERS)], [*_of_category("N"), *_ranges(MORE_DIGITS)]
+        self.all_words = self._pattern(letters, digits)
+        self.low_words = self._pattern(*([(a, min(b, LOW - 1)) for a, b in c if a < LOW] for c in (letters, digits)))
         self.unknown_marks = re.compile(f"([{_class(_ranges(UNKNOWN_MARKS))}]+)")
         self.more_lower = {}
         for entry in MORE_LOWER.split():
@@ -97,6 +99,15 @@ class Text:
             (a, b), = _ranges(source)
             self.more_lower |= {c: int(to, 16) + c - a for c in range(a, b + 1)}
 
+    @staticmethod
+    def _pattern(letters, digits):
+        letters, digits = _class(letters), _class(digits)
+        return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACES}{letters}{digits}]+").findall
+
+    def words(self, text: str) -> list[str]:
+        """The pieces of a normal text; texts of low code points alone have a pattern of few ranges."""
+        return self.low_words(text) if text.isascii() or max(text) < chr(LOW) else self.all_words(text)
+
     def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
@@ -122,7 +133,7 @@ def load_spec(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         t = json.load(f)
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in t["model"]["merges"]]
-    return {"path": path, "vocab": t["model"]["vocab"], "merges": merges,
+    return {"vocab": t["model"]["vocab"], "merges": merges,
             "special": {a["content"]: a["id"] for a in t["added_tokens"] if a["special"]},
             "mark": t["model"]["end_of_word_suffix"]}
 
@@ -148,12 +159,13 @@ class TokenAutomaton:
                 self.tokens[spell(t)] = i
         for time, (a, b) in enumerate(merges, 1):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time, spell(a + b))
-        self.spellings: dict = {}  # the tokens' spellings as nested tables; a token stands under ""
-        for t, i in self.tokens.items():
+        # the tokens' spellings as nested tables: a sign leads to the token spelled so far (or -1) and the table of what may follow
+        self.spellings: dict = {}
+        for t in sorted(self.tokens):
             node = self.spellings
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = i
+            for c in t[:-1]:
+                node = node.setdefault(c, (-1, {}))[1]
+            node[t[-1]] = (self.tokens[t], node[t[-1]][1] if t[-1] in node else {})
 
     def _gadget(self, u: int, v: int, uv: int, time: int, spelling: str) -> None:
         if not self._arc_at(u, v, time):
@@ -196,6 +208,31 @@ class TokenAutomaton:
         if whole is not None:
             return [whole]
         spellings, arcs, n = self.spellings, self.arcs, len(word)
+        # most words: the longest arc at every step
+        out: list[int] = []
+        last, at = START, 0
+        while at < n:
+            node, best = spellings, -1
+            for end in range(at, n):
+                found = node.get(word[end])
+                if found is None:
+                    break
+                t, node = found
+                if t >= 0:
+                    best, to = t, end + 1
+            if best < 0:
+                return self._search(word)
+            if last >= 0:
+                found = arcs.get(last << 20 | best)
+                if not (self.arc(last, best) if found is None else found):
+                    return self._search(word)
+            out.append(best)
+            last, at = best, to
+        return out
+
+    def _search(self, word: str) -> list[int]:
+        """The same with a way back: what led nowhere is left out from then on."""
+        spellings, arcs, n = self.spellings, self.arcs, len(word)
         out: list[int] = []
         ends = [0]
         dead: set[tuple[int, int]] = set()
@@ -205,11 +242,11 @@ class TokenAutomaton:
             if len(untried) == len(out):
                 node, choices = spellings, []
                 for end in range(at, n):
-                    node = node.get(word[end])
-                    if node is None:
+                    found = node.get(word[end])
+                    if found is None:
                         break
-                    t = node.get("")
-                    if t is not None:
+                    t, node = found
+                    if t >= 0:
                         choices.append((t, end + 1))
                 untried.append(choices)
             else:
@@ -237,42 +274,43 @@ class TokenAutomaton:
 
 
 class Codec:
-    """Texts to ids and back, with a bounded table of chunks seen."""
+    """Texts to ids and back, with two bounded tables: the ids of short chunks and words seen (a plain word's are shared)."""
 
-    def __init__(self, spec: dict, kept: int = 200_000):
+    def __init__(self, spec: dict, kept: int = 50_000, kept_words: int = 200_000):
         self.automaton = TokenAutomaton(spec["vocab"], spec["merges"], spec["mark"])
         self.special = spec["special"]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.labels = {i: t for t, i in {**spec["vocab"], **self.special}.items()}
         self.symbols = _byte_symbols()
         self.text = Text()
-        self.chunks: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.kept = kept
+        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.kept, self.kept_words = kept, kept_words
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str):
         text = self.text.normal(text)
-        if text.isalpha() and text.isascii():
+        if text.isascii() and text.isalpha():
             return self._word(text)
         return [i for w in self.text.words(text) for i in self._word(w)]
 
-    def _word(self, w: str) -> list[int]:
-        ids = self.words.get(w)
+    def _word(self, w: str) -> tuple[int, ...]:
+        ids = self.seen.get(w)
         if ids is None:
             s = w if w.isascii() and w.isalnum() else "".join([self.symbols[b] for b in w.encode("utf-8")])
-            ids = self.automaton.path(s + END)
+            ids = tuple(self.automaton.path(s + END))
             if len(w) <= 64:
-                if len(self.words) >= self.kept:
-                    self.words.clear()
-                self.words[w] = ids
+                if len(self.seen) >= self.kept_words:
+                    self.seen.clear()
+                self.seen[w] = ids
         return ids
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
         if self.split_special and "<|" in chunk:
             ids = [i for p in self.split_special.split(chunk)
                    for i in ([self.special[p]] if p in self.special else self._plain(p))]
         else:
             ids = self._plain(chunk)
+        ids = tuple(ids)  # the word's own, if it is one
         if len(chunk) <= 64:
             if len(self.chunks) >= self.kept:
                 self.chunks.clear()
@@ -295,12 +333,12 @@ _CODECS: dict[str, Codec] = {}
 
 
 def _codec(spec) -> Codec:
-    """The worker's compiled automaton of this tokenizer; one is held."""
-    s = spec.value
-    if s["path"] not in _CODECS:
+    """The worker's compiled automaton of this tokenizer; one is held, and of the broadcast only its packed form."""
+    path, packed = spec.value
+    if path not in _CODECS:
         _CODECS.clear()
-        _CODECS[s["path"]] = Codec(s)
-    return _CODECS[s["path"]]
+        _CODECS[path] = Codec(json.loads(zlib.decompress(packed)))
+    return _CODECS[path]
 
 
 def _tokenizer_path() -> str:
@@ -311,7 +349,8 @@ def _tokenizer_path() -> str:
 
 def _broadcast(spark: SparkSession, path: str | None):
     prepare(spark)
-    return spark.sparkContext.broadcast(load_spec(path or _tokenizer_path()))
+    path = path or _tokenizer_path()
+    return spark.sparkContext.broadcast((path, zlib.compress(json.dumps(load_spec(path)).encode())))
 
 
 def _with_column(df: DataFrame, name: str, kind: DataType, arrow, make, spec):
