@@ -276,7 +276,7 @@ class TokenAutomaton:
 class Codec:
     """Texts to ids and back, with two bounded tables: the ids of short chunks and words seen (a plain word's are shared)."""
 
-    def __init__(self, spec: dict, kept: int = 50_000, kept_words: int = 200_000):
+    def __init__(self, spec: dict, kept: int = 40_000, kept_words: int = 100_000):
         self.automaton = TokenAutomaton(spec["vocab"], spec["merges"], spec["mark"])
         self.special = spec["special"]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -329,16 +329,18 @@ class Codec:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
+# Words a worker keeps with their ids (and two fifths as many chunks); 150 bytes each or so.
+FEW_WORDS, MANY_WORDS = 100_000, 200_000
 
 
 def _codec(spec) -> Codec:
     """The worker's compiled automaton of this tokenizer; one is held, and of the broadcast only its packed form."""
-    path, packed = spec.value
-    if path not in _CODECS:
+    *key, packed = spec.value
+    if tuple(key) not in _CODECS:
         _CODECS.clear()
-        _CODECS[path] = Codec(json.loads(zlib.decompress(packed)))
-    return _CODECS[path]
+        _CODECS[tuple(key)] = Codec(json.loads(zlib.decompress(packed)), key[1] * 2 // 5, key[1])
+    return _CODECS[tuple(key)]
 
 
 def _tokenizer_path() -> str:
@@ -347,10 +349,10 @@ def _tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
-def _broadcast(spark: SparkSession, path: str | None):
+def _broadcast(spark: SparkSession, path: str | None, kept_words: int = FEW_WORDS):
     prepare(spark)
     path = path or _tokenizer_path()
-    return spark.sparkContext.broadcast((path, zlib.compress(json.dumps(load_spec(path)).encode())))
+    return spark.sparkContext.broadcast((path, kept_words, zlib.compress(json.dumps(load_spec(path)).encode())))
 
 
 def _with_column(df: DataFrame, name: str, kind: DataType, arrow, make, spec):
@@ -392,7 +394,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode, decode and digest in one pass over the texts."""
-    spec = _broadcast(docs.sparkSession, path)
+    spec = _broadcast(docs.sparkSession, path, MANY_WORDS)  # no rows are carried along here, which leaves room
 
     def run(batches):
         codec = _codec(spec)
