@@ -324,6 +324,12 @@ class Codec:
         get, chunk = self.chunks.get, self._chunk
         return list(chain.from_iterable([get(c) or chunk(c) for c in (_CHUNKS.findall(text) if odd else text.split())]))
 
+    def forget(self) -> None:
+        """Empties the tables of what was seen; the automaton stays."""
+        self.chunks.clear()
+        self.seen.clear()
+        self.automaton.arcs.clear()
+
     def decode(self, ids) -> str:
         """The labels of the ids, joined by a space (the file names no decoder)."""
         return " ".join(map(self.labels.__getitem__, ids))
@@ -363,12 +369,15 @@ def _with_column(df: DataFrame, name: str, kind: DataType, arrow, make, spec):
 
     def run(batches):
         codec = _codec(spec)
-        for b in batches:
-            source = b.column(b.num_columns - 1)
-            kept = b.select(list(range(b.num_columns - 1)))
-            for i, j in chunks(_sizes(source), PART):
-                made = pa.array([make(codec, x.as_py()) for x in source.slice(i, j - i)], arrow)
-                yield pa.RecordBatch.from_arrays([*kept.slice(i, j - i).columns, made], names=[*others, name])
+        try:
+            for b in batches:
+                source = b.column(b.num_columns - 1)
+                kept = b.select(list(range(b.num_columns - 1)))
+                for i, j in chunks(_sizes(source), PART):
+                    made = pa.array([make(codec, x.as_py()) for x in source.slice(i, j - i)], arrow)
+                    yield pa.RecordBatch.from_arrays([*kept.slice(i, j - i).columns, made], names=[*others, name])
+        finally:
+            codec.forget()  # the worker may go on with another stage
 
     return run, schema, others
 
