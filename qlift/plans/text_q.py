@@ -59,8 +59,8 @@ def _b5_inputs(q):
     w = F.split(F.lower(F.col("query")), " ", -1)
     return q.select("query_id", F.col("query").alias("prefix"), F.col("query").alias("completion"),
                     F.to_json(F.array(F.col("query"))).alias("context_json"),
-                    F.to_json(F.array(F.coalesce(w.getItem(0), F.lit("")), F.coalesce(w.getItem(1), F.lit("")),
-                                      F.coalesce(w.getItem(2), F.lit("")))).alias("suggestions_json"))
+                    # get() gives null beyond the last word, where [] fails
+                    F.to_json(F.array(*[F.coalesce(F.get(w, F.lit(i)), F.lit("")) for i in range(3)])).alias("suggestions_json"))
 
 
 _B5_ITEMS = lambda lst: dtrunc(f"array_to_string(list_transform({lst}, lambda t: {dnorm('t')}), ' | ')", 40)

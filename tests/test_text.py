@@ -98,3 +98,17 @@ def test_training_text_roundtrip(spark):
     # the end marker stays (it is part of the completion); right-strip applies to what follows it
     got = t.select(TX.extract_after_marker(F.regexp_replace("t", re.escape(TX.END_MARK) + "$", "")).alias("x")).first()[0]
     assert got == "better q"
+
+
+def test_completion_context_of_short_queries(spark, tmp_path):
+    """Queries of fewer than three words (none, null) have empty suggestions."""
+    from qlift.plans.text_q import b05
+
+    rows = [(1, 0, "user", "hi"), (2, 0, "user", ""), (3, 0, "user", None), (4, 0, "user", "Two words"), (5, 0, "user", "a b c d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.query_id: r.context for r in b05(spark, str(tmp_path)).collect()}
+    assert got == {
+        101: "### Related Searches: hi |  | , ### Previous Query: hi, ### Prefix: hi ### Completion: hi",
+        202: "### Related Searches:  |  | , ### Previous Query: , ### Prefix:  ### Completion: ", 303: None,
+        404: "### Related Searches: two | words | , ### Previous Query: two words, ### Prefix: two words ### Completion: Two words",
+        505: "### Related Searches: a | b | c, ### Previous Query: a b c d, ### Prefix: a b c d ### Completion: a b c"}
