@@ -1,75 +1,146 @@
 """Groups of near-equal texts, splits that keep them together, and a leak report.
 
 Two texts belong together if they share a run of ``n`` words (a shorter text: all of it).  Runs that more than ``common`` of all rows
-hold (a licence line, a greeting) link nothing and count as no leak.  The runs are blocks: a row has the blocks it holds,
-and labels spread from rows to blocks and back (each takes the least label it sees) until nothing changes.  So a block with
-thousands of rows costs thousands of rows, not pairs, and its ``min`` is folded before the shuffle.  Every round also follows the
-label's own label, so labels run twice as far each time.
+hold (a licence line, a greeting) link nothing and count as no leak.  The runs are blocks, made in one pass over the texts and exchanged
+once: a window over a block gives how many rows hold it and the least of them, its head.  A row is linked to the heads of its blocks
+only, once each: a block with thousands of rows costs thousands of rows, not pairs, and two rows that share hundreds of runs have one
+link.  The groups are the connected components of these links, by alternating star operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import chain, pairwise
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pandas.util import hash_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Stored
-from .tokens import tokenize
+from ..session import Stored, ship_package
 
 RUN = 8
 COMMON = 0.02
 MAX_GROUP = 0.005
+# The key of the word hashes and the factor from word to word of the two halves of a digest; bytes of text cut at once.
+LANES = (("runs of words, 1", 0x9E3779B97F4A7C15), ("runs of words, 2", 0xC2B2AE3D27D4EB4F))
+PART = 1 << 20
+
+
+def _digests(words: list[list[str]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of ``n`` words of each text as (number of the text, 128-bit digest); a shorter text is one run, one without
+    words has none.  A digest is the sum of keyed 64-bit hashes of the words, each times its place's power, in two lanes."""
+    size = np.array([len(w) for w in words])
+    room = np.where(size > 0, np.maximum(size, n), 0)  # a shorter text is filled up with zeros
+    codes, different = pd.factorize(np.array([*chain.from_iterable(words)], dtype=object))
+    start = np.cumsum(room) - room
+    at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+    per_text = np.where(size > 0, room - n + 1, 0)
+    text = np.repeat(np.arange(len(words)), per_text)
+    first = np.arange(per_text.sum()) + np.repeat(start - (np.cumsum(per_text) - per_text), per_text)
+    lanes = []
+    for key, power in LANES:
+        h = np.zeros(room.sum(), np.uint64)
+        h[at] = hash_array(different, hash_key=key, categorize=False)[codes]
+        run = np.zeros(len(first), np.uint64)
+        for k in range(n):
+            run = run * np.uint64(power) + h[first + k]
+        lanes.append(run)
+    # equal runs of a text stand side by side in the order of text and digest folded into 64 bits
+    order = np.argsort(lanes[0] ^ (text.astype(np.uint64) * np.uint64(LANES[1][1])))
+    text, runs = text[order], np.stack(lanes, 1)[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (runs[1:] != runs[:-1]).any(1)
+    return text[new], runs[new]
+
+
+def _over_texts(df: DataFrame, key: str, text: str, n: int, make, schema: str) -> DataFrame:
+    """``make`` of the nodes and digests of parts of the texts, whose words are those of ``tokens.tokenize``: lower case by Spark, cut by
+    ``str.split``, which knows the same white space."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            nodes, texts = b.column(0), b.column(1)
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // PART
+            for i, j in pairwise([0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]):
+                yield make(nodes.slice(i, j - i), *_digests([t.split() for t in texts.slice(i, j - i).to_pylist()], n))
+
+    return df.select(F.col(key).alias("node"), F.lower(F.coalesce(text, F.lit(""))).alias("text")).mapInArrow(run, schema)
 
 
-def word_runs(text, n: int = RUN) -> Column:
-    """The different runs of ``n`` words of a text as 128-bit digests; a shorter text is one run, an empty or null one has none."""
-    words = tokenize(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+def word_runs(df: DataFrame, key: str, text: str, n: int = RUN) -> DataFrame:
+    """``node, block``: the different runs of ``n`` words of every text as 128-bit digests."""
 
-    def runs(w):
-        at = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
-        return F.array_distinct(F.transform(at, lambda i: F.unhex(F.md5(F.array_join(F.slice(w, i + 1, n), " ")))))
+    def make(nodes, of, runs):
+        offsets = pa.py_buffer(np.arange(0, 16 * len(runs) + 1, 16, dtype=np.int32))
+        blocks = pa.Array.from_buffers(pa.binary(), len(runs), [None, offsets, pa.py_buffer(np.ascontiguousarray(runs))])
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(of)), blocks], names=["node", "block"])
 
-    # the words are cut once and bound to a name
-    one = F.get(F.transform(F.array(words), runs), F.lit(0))
-    return F.when(F.size(words) > 0, one).otherwise(F.expr("cast(array() as array<binary>)"))
+    return _over_texts(df, key, text, n, make, f"node {df.schema[key].dataType.simpleString()}, block binary")
+
+
+def run_counts(df: DataFrame, key: str, text: str, n: int = RUN) -> DataFrame:
+    """``node, runs``: how many different runs every text has."""
+
+    def make(nodes, of, runs):
+        return pa.RecordBatch.from_arrays([nodes, pa.array(np.bincount(of, minlength=len(nodes)), pa.int32())], names=["node", "runs"])
+
+    return _over_texts(df, key, text, n, make, f"node {df.schema[key].dataType.simpleString()}, runs int")
 
 
 def blocks(df: DataFrame, key: str, text: str, n: int = RUN, common: float = COMMON) -> DataFrame:
-    """``node, block`` of the runs that two rows at least hold, but not more than ``common`` of all; ``key`` must be unique."""
-    inc = df.select(F.col(key).alias("node"), F.explode(word_runs(text, n)).alias("block"))
+    """``node, block, head`` of the runs that two rows at least hold, but not more than ``common`` of all, with the least row that
+    holds the run; ``key`` must be unique."""
+    inc = word_runs(df, key, text, n)
     most = F.lit(common) * df.select(F.count(F.lit(1))).scalar()
-    kept = inc.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) & (F.col("rows") <= most)).select("block")
-    return inc.join(kept, "block").select("node", "block")
+    of_block = Window.partitionBy("block")
+    held = inc.withColumn("head", F.min("node").over(of_block)).withColumn("_qx_rows", F.count(F.lit(1)).over(of_block))
+    return held.where((F.col("_qx_rows") > 1) & (F.col("_qx_rows") <= most)).select("node", "block", "head")
+
+
+def _least_neighbour(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
 
+def group_labels(held: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``node, label``: the least node that is reached through shared blocks, for every node of ``node, head`` that has a link.
 
-def group_labels(inc: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``node, label``: the least node that is reached through shared blocks, for every node of ``node, block``."""
-    spark = inc.sparkSession
-    inc = Stored(spark, "groups").put(inc)
-    tables = Stored(spark, "groups")
-    labels = tables.put(inc.select("node", F.col("node").alias("label")).distinct())
+    Each round hangs every node's larger neighbours on the least node it knows, then its smaller ones, until every group is a star
+    around its least node.  The tables of the rounds stand in the shared folder; two numbers a round reach the driver."""
+    tables = Stored(held.sparkSession, "groups")
+    links = tables.put(held.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct())
+    before = None
     for _ in range(max_rounds):
-        of_block = inc.join(labels, "node").groupBy("block").agg(F.min("label").alias("m"))
-        of_node = inc.join(of_block, "block").groupBy("node").agg(F.min("m").alias("m"))
-        near = labels.join(of_node, "node").select("node", "label", F.least("label", "m").alias("new"))
-        far = near.select(F.col("node").alias("new"), F.col("new").alias("beyond"))  # a label is a node and has a label too
-        new = tables.put(near.join(far, "new").select("node", "label", "beyond"))
-        changed = not new.where("label <> beyond").isEmpty()
-        labels = new.select("node", F.col("beyond").alias("label"))
+        # two 64-bit hashes of every link, summed and by exclusive or: equal for different links in one of 2**128 cases
+        now = tuple(links.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(11), "u", "v"))).first())
+        if now == before:
+            centres = links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+            return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(centres)
+        before = now
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.where("v > u").join(_least_neighbour(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = tables.put(large)
+        least = _least_neighbour(large)
+        small = (large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        links = tables.put(small)
         tables.forget(1)
-        if not changed:
-            return labels
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
-def grouped_split(df: DataFrame, key: str, text: str, n: int = RUN, common: float = COMMON, max_group: float = MAX_GROUP) -> DataFrame:
+def grouped_split(df: DataFrame, key: str, text: str, n: int = RUN, common: float = COMMON, max_group: float = MAX_GROUP,
+                  held: DataFrame | None = None) -> DataFrame:
     """D9 (derived): ``df`` with ``group_id`` (the least key of its group) and ``split``, 8:1:1 by rows, whole groups.
 
     A group of more than ``max_group`` of all rows goes to ``train``; the others are dealt by the md5 of the group id, with the
     shares of ``val`` and ``test`` raised so that each expects a tenth of all rows.  As no dealt group is larger, either share's
     standard deviation is below ``sqrt(0.1 * max_group)`` of all rows (2.3 % for the default).  ``val`` and ``test`` share no run
-    with ``train`` but common ones.
+    with ``train`` but common ones.  ``held``: the ``blocks`` of ``df``, where the caller has them.
     """
-    labels = group_labels(blocks(df, key, text, n, common))
+    labels = group_labels(blocks(df, key, text, n, common) if held is None else held)
     d = df.join(labels.withColumnRenamed("node", key), key, "left").withColumn("group_id", F.coalesce("label", key)).drop("label")
     sizes = d.groupBy("group_id").agg(F.count(F.lit(1)).alias("_qx_n"))
     total = df.select(F.count(F.lit(1))).scalar().cast("double")
@@ -82,13 +153,17 @@ def grouped_split(df: DataFrame, key: str, text: str, n: int = RUN, common: floa
     return d.join(sizes.select("group_id", split.alias("split")), "group_id").select(*[F.col(f"`{c}`") for c in df.columns], "group_id", "split")
 
 
-def leak_report(df: DataFrame, key: str, text: str, split: str = "split", n: int = RUN, common: float = COMMON) -> DataFrame:
+def leak_report(df: DataFrame, key: str, text: str, split: str = "split", n: int = RUN, common: float = COMMON,
+                held: DataFrame | None = None) -> DataFrame:
     """D9 (derived): ``split, rows, leaking, max_containment`` of the rows outside ``train``: how many share a run with a training row,
-    and the largest share of a row's runs that training rows hold."""
-    inc = blocks(df, key, text, n, common).join(df.select(F.col(key).alias("node"), F.col(split).alias("_qx_s")), "node")
-    seen = inc.groupBy("block").agg(F.max(F.col("_qx_s") == "train").alias("seen")).where("seen").select("block")
-    leaks = inc.where("_qx_s <> 'train'").join(seen, "block").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    rest = df.where(F.col(split) != "train").select(F.col(key).alias("node"), F.col(split).alias("split"), F.size(word_runs(text, n)).alias("runs"))
+    and the largest share of a row's runs that training rows hold.  ``held``: the ``blocks`` of ``df``, where the caller has them."""
+    held = blocks(df, key, text, n, common) if held is None else held
+    inc = held.select("node", "block").join(df.select(F.col(key).alias("node"), F.col(split).alias("_qx_s")), "node")
+    seen = F.max(F.col("_qx_s") == "train").over(Window.partitionBy("block"))
+    leaks = inc.withColumn("_qx_seen", seen).where("_qx_seen AND _qx_s <> 'train'").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    rest = df.where(F.col(split) != "train")
+    counts = run_counts(rest.withColumn("_qx_row", F.struct(F.col(key).alias("node"), F.col(split).alias("split"))), "_qx_row", text, n)
+    rest = counts.select("node.node", "node.split", "runs")
     share = F.try_divide(F.coalesce("shared", F.lit(0)).cast("double"), F.col("runs"))
     return (rest.join(leaks, "node", "left").groupBy("split")
             .agg(F.count(F.lit(1)).alias("rows"), F.count("shared").alias("leaking"), F.round(F.max(F.coalesce(share, F.lit(0.0))), 6).alias("max_containment")))

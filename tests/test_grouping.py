@@ -123,3 +123,25 @@ def test_the_state_function_alone():
     frames = [pd.DataFrame({"run": "r", "epoch": [1, 2], "loss": [3.0, 3.0]}), pd.DataFrame({"run": "r", "epoch": [3], "loss": [3.5]})]
     rows = pd.concat(step(("r",), iter(frames), s))
     assert rows["stop_epoch"].tolist() == [pd.NA, 3] and s.get == (3, 3.0, 2, 3)
+
+
+def test_runs_of_long_and_odd_texts(spark):
+    """Runs against plain Python; a text of 60,000 words that repeats itself is cut in time linear in its length."""
+    texts = {1: " ".join(f"w{(i * i) % 20011}" for i in range(60_000)), 2: None, 3: "", 4: " \t ", 5: "One\x1ctwo THREE", 6: "one two three", 7: "a " * 30, 8: "É é\x00 x"}
+    df = spark.createDataFrame(list(texts.items()), "k long, text string")
+    got = {r.node: r.runs for r in GR.run_counts(df, "k", "text").collect()}
+    assert got == {k: len(_runs(t, 8)) for k, t in texts.items()}
+    rows = [(r.node, bytes(r.block)) for r in GR.word_runs(df, "k", "text").collect()]
+    assert len(rows) == len(set(rows)) == sum(got.values())
+    assert len({b for _, b in rows}) == len(set().union(*[_runs(t, 8) for t in texts.values()]))
+
+
+def test_blocks_are_cut_once(spark):
+    """One pass over the texts and one exchange of the runs, also where the split and both reports need them."""
+    df = spark.createDataFrame(list(_texts().items()), "k long, text string")
+    held = GR.blocks(df, "k", "text")
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    split = GR.grouped_split(df, "k", "text", held=held)
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, GR.grouped_split(df, "k", "text").collect()), key=str)
+    assert GR.leak_report(TB.split_assign(df, "k"), "k", "text", held=held).collect() == GR.leak_report(TB.split_assign(df, "k"), "k", "text").collect()
