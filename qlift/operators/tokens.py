@@ -45,7 +45,8 @@ def _specials(spark) -> DataFrame:
 
 def build_vocab(df: DataFrame, col: str, max_size: int | None = None) -> DataFrame:
     """Specials first, then corpus tokens by (count desc, token); ``id`` is dense."""
-    counts = (df.select(F.explode(tokenize(col)).alias("token"))
+    # explode() would put a filter on the array's size before itself, and cut the words once more for it
+    counts = (df.select(F.explode_outer(tokenize(col)).alias("token")).where("token IS NOT NULL")
               .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .filter(~F.col("token").isin(*SPECIALS)))
     ranked = dense_index(counts, ["-n", "token"], "rank")
@@ -63,7 +64,8 @@ def looked_up(items: DataFrame, vocab: DataFrame, on: str, value: str, keys: lis
     own = F.concat(F.lit("\x00"), F.xxhash64(*keys, "pos").cast("string"))  # no token holds a NUL
     settled = F.col("_qx_head").isNotNull() | F.col(on).isNull()
     found = found.withColumn("_qx_key", F.when(settled, own).otherwise(F.col(on).cast("string")))
-    return (found.join(tail, "_qx_key", "left").withColumn(value, F.coalesce("_qx_head", "_qx_tail"))
+    # by hash: the items (one row a token) need no sort; a task holds its share of the vocabulary, whose keys are unique
+    return (found.join(tail.hint("shuffle_hash"), "_qx_key", "left").withColumn(value, F.coalesce("_qx_head", "_qx_tail"))
             .drop("_qx_on", "_qx_key", "_qx_head", "_qx_tail"))
 
 
@@ -71,6 +73,9 @@ def _regroup(pieces: DataFrame, keys: list[str], kept: list[str], value: Column,
     """Put exploded pieces back in position order per row (one row's pieces per group); the
     row's other columns ride on its first piece and come back with the same aggregate."""
     carried = [F.first(c, ignorenulls=True).alias(c) for c in kept]
+    # the look-up has spread a row's pieces, so nothing is gained by collecting before the exchange: one sort, and plain rows travel
+    pieces = pieces.select(*keys, *kept, "pos", value.alias("_qx_value")).repartition(*keys)
+    value = F.col("_qx_value")
     return (pieces.groupBy(*keys)
             .agg(*carried, F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v")))))
                  .alias("_qx_p"))

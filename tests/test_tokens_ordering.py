@@ -113,3 +113,15 @@ def test_dense_index_refuses_ties(spark):
     nulls = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "k long, v long")
     with pytest.raises(DuplicateKeys):
         dense_index(nulls, "k")
+
+
+def test_tokens_are_cut_once_and_not_sorted(spark):
+    """The vocabulary cuts its words in the explode alone, and the look-up sorts no items (one row a token)."""
+    df = spark.createDataFrame([(1, "B a b"), (2, ""), (3, None), (4, "a zz Ä")], "k long, text string")
+    counts = TK.build_vocab(df, "text")
+    assert {(r.token, r.n) for r in counts.where("n IS NOT NULL").collect()} == {("a", 2), ("b", 2), ("zz", 1), ("ä", 1)}
+    vocab = spark.createDataFrame([("a", 5, 2), ("b", 6, 2), ("zz", TK.HEAD + 7, 1)], "token string, id long, n long")
+    enc = TK.encode(df, "text", vocab, keys=["k"])
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    assert {r.k: list(r.ids) for r in enc.collect()} == {1: [6, 5, 6], 2: [], 3: [], 4: [5, TK.HEAD + 7, TK.UNK_ID]}
