@@ -65,4 +65,4 @@ def generated_tokens(ids, eos_id) -> Column:
 
 def ids_to_text(ids, sep: str = ",") -> Column:
     """Report form of an id array (used where results are compared as text)."""
-    return F.array_join(F.transform(_c(ids), lambda x: x.cast("string")), sep)
+    return F.array_join(_c(ids).cast("array<string>"), sep)
