@@ -52,7 +52,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has no ids; repeated rows are encoded one by one; an empty table gives an empty result; other columns
     end here."""
-    return bpe.encode(docs.select("doc_id", "source", "lang", "text")).selectExpr("doc_id", "source", "lang", "size(ids) as n_tokens", "ids")
+    return bpe.encode(docs.select("doc_id", "source", "lang", "text"), carried=["doc_id", "source", "lang"]).selectExpr(
+        "doc_id", "source", "lang", "size(ids) as n_tokens", "ids")
 
 
 STAGES = [

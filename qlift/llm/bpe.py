@@ -361,25 +361,29 @@ def _broadcast(spark: SparkSession, path: str | None, kept_words: int = FEW_WORD
     return spark.sparkContext.broadcast((path, kept_words, zlib.compress(json.dumps(load_spec(path)).encode())))
 
 
-def _with_column(df: DataFrame, name: str, kind: DataType, arrow, make, spec):
-    """For ``mapInArrow`` over the other columns and the source column: the function that adds ``name = make(codec,
-    source)`` and passes batches on in small parts, its schema, and the other columns."""
-    others = [n for n in df.columns if n != name]
-    schema = StructType([*[df.schema[n] for n in others], StructField(name, kind)])
+def _with_column(df: DataFrame, name: str, kind: DataType, arrow, make, spec, source: str, as_text: bool, carried: list[str] | None = None):
+    """The columns ``carried`` (default: all) of ``df`` and ``name = make(codec, source)``, by batches passed on in small parts.
+    A column ``source`` that is carried is sent once, not once more to be read."""
+    others = [n for n in df.columns if n != name and (carried is None or n in carried)]
+    sent, column = [F.col(f"`{n}`") for n in others], F.col(f"`{source}`")
+    if as_text and not isinstance(df.select(column).schema[0].dataType, StringType):
+        source, column = "", column.cast("string")
+    at = others.index(source) if source in others else len(others)
+    if at == len(others):
+        sent.append(column.alias("__source"))
 
     def run(batches):
         codec = _codec(spec)
         try:
             for b in batches:
-                source = b.column(b.num_columns - 1)
-                kept = b.select(list(range(b.num_columns - 1)))
-                for i, j in chunks(_sizes(source), PART):
-                    made = pa.array([make(codec, x.as_py()) for x in source.slice(i, j - i)], arrow)
+                column, kept = b.column(at), b.select(list(range(len(others))))
+                for i, j in chunks(_sizes(column), PART):
+                    made = pa.array([make(codec, x.as_py()) for x in column.slice(i, j - i)], arrow)
                     yield pa.RecordBatch.from_arrays([*kept.slice(i, j - i).columns, made], names=[*others, name])
         finally:
             codec.forget()  # the worker may go on with another stage
 
-    return run, schema, others
+    return df.select(*sent).mapInArrow(run, StructType([*[df.schema[n] for n in others], StructField(name, kind)]))
 
 
 def _sizes(column) -> list[int]:
@@ -389,16 +393,15 @@ def _sizes(column) -> list[int]:
     return pc.fill_null(measure(column), 0).to_pylist()
 
 
-def encode(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` in the column ``ids`` (array of int; a column of that name is replaced)."""
-    run, schema, others = _with_column(docs, ids, ArrayType(IntegerType()), pa.list_(pa.int32()), lambda c, x: c.encode(x), _broadcast(docs.sparkSession, path))
-    return docs.select(*[F.col(f"`{n}`") for n in others], text_column("`text`").alias("__source")).mapInArrow(run, schema)
+def encode(docs: DataFrame, path: str | None = None, ids: str = "ids", carried: list[str] | None = None) -> DataFrame:
+    """``docs`` with the token ids of ``text`` in the column ``ids`` (array of int; a column of that name is replaced); of the
+    other columns only those ``carried``, if named: what isn't asked for needn't pass through the workers."""
+    return _with_column(docs, ids, ArrayType(IntegerType()), pa.list_(pa.int32()), lambda c, x: c.encode(x), _broadcast(docs.sparkSession, path), "text", True, carried)
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with the decoded text of the id array ``ids`` (null: null) in the column ``text`` (one of that name is replaced)."""
-    run, schema, others = _with_column(rows, text, StringType(), pa.string(), lambda c, x: None if x is None else c.decode(x), _broadcast(rows.sparkSession, path))
-    return rows.select(*[F.col(f"`{n}`") for n in others], F.col(f"`{ids}`").alias("__source")).mapInArrow(run, schema)
+    return _with_column(rows, text, StringType(), pa.string(), lambda c, x: None if x is None else c.decode(x), _broadcast(rows.sparkSession, path), ids, False)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

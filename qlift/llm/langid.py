@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD = 64  # languages in one mask
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-CHUNK = 1 << 20
+CHUNK = 1 << 17  # bytes of text whose n-grams are looked up together; also of the texts of a batch held as Python's
 CHANCE = 1e-9  # that a text of which no language knows anything passes as known by false positives
 
 
@@ -144,7 +146,10 @@ def _evident(data: list[bytes], model: Model) -> np.ndarray:
 
 def judge(texts, model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    data = [_letters(t) for t in texts]
+    return _judge([_letters(t) for t in texts], model)
+
+
+def _judge(data: list[bytes], model: Model) -> tuple[list[str], np.ndarray]:
     n_lang = len(model.languages)
     names, scores = [], np.zeros(len(data))
     if not n_lang:
@@ -175,34 +180,42 @@ def judge(texts, model: Model) -> tuple[list[str], np.ndarray]:
     return names, scores
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``row`` (the whole input row), ``lang_pred``, ``score``."""
+def _verdicts(texts: pa.Array, model: Model, evident: bool) -> pa.Array:
+    """``lang_pred, score`` and, if asked for, ``evident`` of a batch; its texts pass in parts of about ``CHUNK`` bytes, each cleaned once."""
+    names, scores, known = [], [], []
+    for i, j in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), CHUNK):
+        data = [_letters(t) for t in texts.slice(i, j - i).to_pylist()]
+        n, s = _judge(data, model)
+        names += n
+        scores.append(s)
+        if evident:
+            known.append(_evident(data, model))
+    out = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(np.concatenate([np.zeros(0), *scores]))}
+    if evident:
+        out["evident"] = pa.array(np.concatenate([np.zeros(0, bool), *known]))
+    return pa.StructArray.from_arrays(list(out.values()), list(out))
+
+
+def predict(docs: DataFrame, model: Model, evident: bool = False) -> DataFrame:
+    """``row`` (the whole input row), ``lang_pred``, ``score``; if asked for ``evident``: whether some language knows more of
+    the text's n-grams than chance explains."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(text: pd.Series) -> pd.DataFrame:
-        names, scores = judge(text, shared.value)
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    @F.arrow_udf("lang_pred string, score double" + ", evident boolean" * evident)
+    def of(text: pa.Array) -> pa.Array:
+        return _verdicts(text, shared.value, evident)
 
-    return (docs.select(F.struct(F.col("*")).alias("row"), of(F.col("`text`").cast("string")).alias("p"))
-            .select("row", "p.lang_pred", "p.score"))
+    return docs.select(F.struct(F.col("*")).alias("row"), of(F.col("`text`").cast("string")).alias("p")).select("row", "p.*")
 
 
 def keep_known(docs: DataFrame, short: int = 20) -> DataFrame:
     """The rows of ``docs`` with a known language (columns unchanged).  Rejected are texts without letters and texts of
     ``short`` characters or more of which no language knows more n-grams than chance explains; shorter ones can't be told
     apart and stay."""
-    model = learn(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("boolean")
-    def evident(text: pd.Series) -> pd.Series:
-        return pd.Series(_evident([_letters(t) for t in text], shared.value))
-
-    known = evident(F.col("row.text").cast("string")) | (F.length("row.text") < short)
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & known).select("row.*")
+    known = F.col("evident") | (F.length("row.text") < short)
+    return predict(docs, learn(docs), evident=True).where((F.col("lang_pred") != UNKNOWN) & known).select("row.*")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,14 +67,20 @@ def _digest():
     return F.unhex(F.sha2(text_column("`text`"), 256))
 
 
+def _fp(n: int):
+    """``fingerprint`` of a text column, one text at a time out of each Arrow batch."""
+
+    @F.arrow_udf("long")
+    def fp(text: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t.as_py(), n) for t in text], pa.int64())
+
+    return fp
+
+
 def fingerprints(docs: DataFrame, n: int = 3, digest: bool = False) -> DataFrame:
     """``doc_id, fp`` per row of ``docs`` and, if asked for, ``digest`` of the text."""
     prepare(docs.sparkSession)
-
-    @F.pandas_udf("long")
-    def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, n) for t in text], dtype="int64")
-
+    fp = _fp(n)
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), fp(text_column()).alias("fp"), *[_digest().alias("digest")] * digest)
 
 
@@ -230,10 +237,7 @@ def dedupe(docs: DataFrame, n: int = 3, max_bits: int = 3) -> DataFrame:
 def _unnamed(docs: DataFrame, lone: DataFrame, n: int) -> DataFrame:
     """One row without id per fingerprint of ``lone``, by a fixed order."""
 
-    @F.pandas_udf("long")
-    def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, n) for t in text], dtype="int64")
-
+    fp = _fp(n)
     packed = docs.where(F.col("`doc_id`").isNull()).select(
         F.struct(F.col("*")).alias("row"), fp(text_column("`text`")).alias("fp"), F.struct(_digest().alias("d"), F.xxhash64("*").alias("h")).alias("order"))
     return packed.join(lone, "fp", "left_semi").groupBy("fp").agg(F.min_by("row", "order").alias("row")).select("row.*")

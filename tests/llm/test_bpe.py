@@ -75,3 +75,21 @@ def test_operator(spark, library):
         assert got[i, t].ids == want and got[i, t].decoded == library.decode(want, skip_special_tokens=False)
     assert bpe.round_trip(df).count() == 5
     assert bpe.round_trip(df.limit(0)).count() == 0
+
+
+def test_text_is_sent_once_and_only_carried_if_asked_for(spark):
+    rows = [(1, "one two", "s"), (2, None, None), (None, "", "s"), (2, "Two's 3", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {(i, t, s): library.encode(t or "", add_special_tokens=False).ids for i, t, s in rows}
+    whole = bpe.encode(docs)
+    assert "__source" not in whole._jdf.queryExecution().analyzed().toString()
+    assert whole.columns == ["doc_id", "text", "source", "ids"] and {tuple(r[:3]): r.ids for r in whole.collect()} == want
+    few = bpe.encode(docs, carried=["source", "doc_id"])
+    assert few.columns == ["doc_id", "source", "ids"]
+    assert sorted(map(str, map(tuple, few.collect()))) == sorted(str((i, s, x)) for (i, t, s), x in want.items())
+    assert "__source" not in bpe.decode(whole)._jdf.queryExecution().analyzed().toString()
+    back = {tuple(r[:3]): r.decoded for r in bpe.decode(whole).collect()}
+    assert back == {k: library.decode(x, skip_special_tokens=False) for k, x in want.items()}
+    other = bpe.encode(docs.selectExpr("doc_id", "12 as text"), ids="text")  # no string, and replaced
+    assert other.columns == ["doc_id", "text"] and other.first().text == library.encode("12", add_special_tokens=False).ids
