@@ -5,22 +5,28 @@ Sub-word tokenizers are not rebuilt; a word-level vocabulary is a corpus job:
 * ``build_vocab`` counts tokens with a partial (map-side) aggregate, so a hot token is
   pre-summed per task before the shuffle, and ranks them with ``dense_index``.  Every token
   is kept unless the caller asks for ``max_size``.
-* ``encode``/``decode`` explode tokens with their position, look them up by an exact
-  equi-join and put them back in order per row (a group holds one row's tokens only).  The
-  ``HEAD`` most frequent tokens (ids are dense, so their number is proven) are looked up by a
-  broadcast join: these are the hot keys.  The rest is joined by shuffle; tokens found already
-  travel under a key of their own there, so no key is hot and nothing is replicated.
-  (A map column with ``element_at`` would avoid the regroup, but Spark looks map keys up
-  linearly, which costs vocabulary-size comparisons per token.)
+* ``encode`` deals the rows into parts of some ``PART`` bytes of text, exchanged once.  The
+  ``HEAD`` most frequent tokens (ids are dense, so their number is proven) are known in every
+  task.  Of the other tokens each different one of a part travels once, as a row of its own, to
+  its vocabulary entry (an exact equi-join by shuffle), and its id alone travels back to the part.
+* ``decode`` explodes ids with their position, looks them up by an exact equi-join (the head by a
+  broadcast join: these are the hot keys; the rest by shuffle, where ids found already travel
+  under a key of their own, so no key is hot and nothing is replicated) and puts the tokens back
+  in order per row (a group holds one row's tokens only).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.arrays import IGNORE_INDEX
 from ..functions.text import WS, _c
+from ..session import ship_package
 from .ordering import dense_index
 
 # Special tokens, in id order.
@@ -31,6 +37,9 @@ BOS_ID, EOS_ID, PAD_ID, UNK_ID = 0, 1, 2, 3
 # Entries of the vocabulary (the most frequent ones) that are shipped to every task.
 HEAD = 10_000
 
+# Bytes of text that are encoded together.
+PART = 8 << 20
+
 
 def tokenize(c) -> Column:
     """Lower-cased words split on (Python-style) whitespace runs, no empty tokens: the same
@@ -89,14 +98,97 @@ def _pieces(df: DataFrame, keys: list[str], kept: list[str], items: Column, name
     return out.select(*keys, *[F.when(first, F.col(c)).alias(c) for c in kept], "pos", name)
 
 
-def encode(df: DataFrame, text_col: str, vocab: DataFrame, out_col: str = "ids", keys: list[str] | None = None) -> DataFrame:
-    """Text to an id array (unknown -> ``UNK_ID``), token order kept.  ``keys`` must be unique."""
+class _Numbers(dict):
+    """Numbers its keys as they are asked for."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
+def _one_per_key(names: list[tuple], ids: list[np.ndarray], columns: list[pa.ChunkedArray]) -> tuple:
+    """Rows that share a key as one: ids in the order of position, then id; of each column the first value that is not null."""
+    of: dict = {}
+    for i, name in enumerate(names):
+        of.setdefault(name, []).append(i)
+    merged = []
+    for some in of.values():
+        flat, place = np.concatenate([ids[i] for i in some]), np.concatenate([np.arange(len(ids[i])) for i in some])
+        merged.append(flat[np.lexsort((flat, place))])
+    valid = [c.is_valid().to_pylist() for c in columns]
+    columns = [c.take([next((i for i in some if v[i]), some[0]) for some in of.values()]) for c, v in zip(columns, valid)]
+    return [*of], merged, columns
+
+
+def encode(df: DataFrame, text_col: str, vocab: DataFrame, out_col: str = "ids", keys: list[str] | None = None, carry: list[str] | None = None,
+           beside: DataFrame | None = None) -> DataFrame:
+    """Text to an id array (unknown -> ``UNK_ID``), token order kept.  ``keys`` must be unique.
+
+    ``carry``: the columns that are kept (all).  ``beside``: a table of ``keys`` and further columns that is joined on the keys, without
+    another exchange of the rows."""
     if not keys:
         raise ValueError("encode needs unique row keys")
-    kept = [c for c in df.columns if c not in (*keys, out_col)]
-    toks = _pieces(df, keys, kept, tokenize(text_col), "token")
-    joined = looked_up(toks, vocab, "token", "id", keys)
-    return _regroup(joined, keys, kept, F.coalesce("id", F.lit(UNK_ID)), out_col, "bigint")
+    spark = df.sparkSession
+    ship_package(spark)
+    carry = [c for c in df.columns if c not in (*keys, out_col)] if carry is None else carry
+    joined = beside is not None
+    more = [c for c in beside.columns if c not in keys] if joined else []
+    head = {r[0]: r[1] for r in vocab.where(F.col("id") < HEAD).select("token", F.col("id").cast("bigint")).collect()}
+    # the words of tokenize(): lower case by Spark, cut by str.split, which knows the same white space
+    size = df.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).scalar()
+    parts = F.greatest(F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))), F.ceil(size / PART))
+
+    def part(of: DataFrame):
+        return F.pmod(F.xxhash64(*[F.col(k).cast(df.schema[k].dataType) for k in keys]), parts).alias("_qx_part")
+
+    rows = df.select(part(df), *dict.fromkeys([*keys, *carry, text_col])).repartition("_qx_part")
+    rows = rows.select("_qx_part", *keys, *carry, F.lower(text_col).alias("_qx_text")).groupBy("_qx_part")
+
+    def wanted(key, rows):
+        words: set = set()
+        for t in rows["_qx_text"].to_pylist():
+            words.update((t or "").split())
+        words = sorted(words - head.keys())
+        at = pa.array(np.arange(len(words), dtype=np.int32))
+        return pa.table({"_qx_part": pa.repeat(key[0], len(words)), "_qx_at": at, "_qx_token": pa.array(words, pa.string())})
+
+    wants = rows.applyInArrow(wanted, "_qx_part long, _qx_at int, _qx_token string")
+    # by hash: the tokens need no sort; a task holds its share of the vocabulary, whose keys are unique
+    tail = vocab.where(F.col("id") >= HEAD).select(F.col("token").alias("_qx_token"), F.col("id").cast("bigint").alias("_qx_id"))
+    found = wants.join(tail.hint("shuffle_hash"), "_qx_token").select("_qx_part", "_qx_at", "_qx_id")
+    if joined:
+        found = found.unionByName(beside.select(part(beside), *[F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys], *more), allowMissingColumns=True)
+
+    def encoded(rows, found):
+        numbers = _Numbers()
+        ids = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in ((t or "").split() for t in rows["_qx_text"].to_pylist())]
+        rest = sorted(w for w in numbers if w not in head)
+        looked = found.filter(pc.is_valid(found["_qx_at"]))
+        of_rest = np.full(len(rest), UNK_ID, np.int64)
+        of_rest[looked["_qx_at"].to_numpy()] = looked["_qx_id"].to_numpy()
+        known = dict(zip(rest, of_rest.tolist())) | head
+        of_word = np.array([known[w] for w in numbers], np.int64)
+        ids = [of_word[i] for i in ids]
+        columns = [rows[c] for c in (*keys, *carry)]
+        names = [*zip(*[c.to_pylist() for c in columns[:len(keys)]])]
+        if len(set(names)) < len(names):
+            names, ids, columns = _one_per_key(names, ids, columns)
+        added = []
+        if joined:
+            other = found.filter(pc.is_null(found["_qx_at"]))
+            row = {name: i for i, name in enumerate(names) if None not in name}
+            there = [row.get(name) for name in zip(*[other[k].to_pylist() for k in keys])]
+            met = [i for i in there if i is not None]
+            columns, ids = [c.take(pa.array(met, pa.int64())) for c in columns], [ids[i] for i in met]
+            other = other.filter(pa.array([i is not None for i in there], pa.bool_()))
+            added = [other[c] for c in more]
+        ends = np.cumsum([0, *map(len, ids)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *ids])))
+        return pa.table([*columns, lists, *added], names=[*keys, *carry, out_col, *more])
+
+    schema = [df.schema[c] for c in (*keys, *carry)] + [StructField(out_col, ArrayType(LongType()))] + [beside.schema[c] for c in more]
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
+    return rows.cogroup(found.groupBy("_qx_part")).applyInArrow(encoded, schema)
 
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -185,15 +277,21 @@ def assign_batches(df: DataFrame, order_by, batch_size: int, col: str = "batch_i
             .withColumn("batch_pos", (F.col("_qx_i") % F.lit(batch_size)).cast("bigint")).drop("_qx_i"))
 
 
-def pad_batch(df: DataFrame, ids_col: str, batch_col: str = "batch_id", pad_id: int = PAD_ID,
-              side: str = "right") -> DataFrame:
-    """Pad every row to its batch's longest row; a batch holds at most ``batch_size`` rows."""
-    from pyspark.sql import Window
+def batch_longest(df: DataFrame, size: str, batch_col: str = "batch_id", col: str = "longest") -> DataFrame:
+    """``df`` with the largest ``size`` of a row's batch."""
+    return df.withColumn(col, F.max(size).over(Window.partitionBy(batch_col)))
+
 
+def pad_batch(df: DataFrame, ids_col: str, batch_col: str = "batch_id", pad_id: int = PAD_ID,
+              side: str = "right", longest: str | None = None) -> DataFrame:
+    """Pad every row to its batch's longest row; a batch holds at most ``batch_size`` rows.  ``longest``: the column of
+    ``batch_longest``, where the caller has it; the id arrays need no exchange then."""
     from ..functions.arrays import attention_mask, pad_ids
 
-    w = Window.partitionBy(batch_col)
-    out = df.withColumn("_qx_len", F.max(F.size(ids_col)).over(w))
+    if longest is None:
+        out = batch_longest(df.withColumn("_qx_size", F.size(ids_col)), "_qx_size", batch_col, "_qx_len").drop("_qx_size")
+    else:
+        out = df.withColumn("_qx_len", F.col(longest)).drop(longest)
     return (out.withColumn("attention_mask", attention_mask(ids_col, F.col("_qx_len"), side))
             .withColumn(ids_col, pad_ids(ids_col, F.col("_qx_len"), pad_id, side)).drop("_qx_len"))
 

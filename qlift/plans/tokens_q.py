@@ -168,9 +168,12 @@ FROM (SELECT doc_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) A
                CAST((row_number() OVER (ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch_id FROM enc) AS a) AS b""")
 def c07(spark, sf):
     t = Tables(spark, sf)
-    place = TK.assign_batches(t.documents.select("doc_id"), "doc_id", 16)  # of the keys alone: texts are tokenised once
-    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), keys=["doc_id"])
-    padded = TK.pad_batch(enc.select("doc_id", "ids").join(place.select("doc_id", "batch_id"), "doc_id"), "ids")
+    # keys and numbers of tokens alone are sorted into batches; each text is exchanged once, and its ids not at all
+    place = TK.assign_batches(t.documents.select("doc_id"), "doc_id", 16).select("doc_id", "batch_id")
+    sizes = t.documents.groupBy("doc_id").agg(F.sum(F.coalesce(F.size(TK.tokenize("text")), F.lit(0))).alias("n"))
+    place = TK.batch_longest(place.join(sizes, "doc_id"), "n").drop("n")
+    enc = TK.encode(t.documents.select("doc_id", "text"), "text", _vocab(t), keys=["doc_id"], carry=[], beside=place)
+    padded = TK.pad_batch(enc, "ids", longest="longest")
     return padded.select("doc_id", "batch_id", AR.ids_to_text("ids").alias("input_ids"),
                          AR.ids_to_text("attention_mask").alias("attention_mask"))
 

@@ -1,5 +1,7 @@
 """dense_index, shards, token arrays, padding, labels."""
 
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from qlift.functions import arrays as AR
 from qlift.operators import sharding
 from qlift.operators import tokens as TK
 from qlift.operators.ordering import dense_index
+from qlift.plans.registry import load_all
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,3 +128,36 @@ def test_tokens_are_cut_once_and_not_sorted(spark):
     plan = enc._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
     assert {r.k: list(r.ids) for r in enc.collect()} == {1: [6, 5, 6], 2: [], 3: [], 4: [5, TK.HEAD + 7, TK.UNK_ID]}
+
+
+def test_encode_sends_each_word_of_a_part_once(spark, monkeypatch):
+    """Parts of a few texts, a head of a few words: ids against plain Python, also of rows that share a key (or have none); no row per token."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=i % 40))) for i in range(120)] + [(5, "W1 w1 w0 new"), (None, "w3 w2"), (None, "w1"), (7, None)]
+    df = spark.createDataFrame(rows, "k long, text string").withColumn("more", F.col("k") * 2)
+    monkeypatch.setattr(TK, "HEAD", 12)
+    monkeypatch.setattr(TK, "PART", 64)
+    vocab = TK.build_vocab(df.where("k < 60"), "text")
+    ids = {r.token: r.id for r in vocab.collect()}
+    placed = {}
+    for k, t in rows:
+        placed.setdefault(k, []).extend((i, ids.get(w, TK.UNK_ID)) for i, w in enumerate((t or "").lower().split()))
+    want = {k: [v for _, v in sorted(p)] for k, p in placed.items()}
+    enc = TK.encode(df, "text", vocab, keys=["k"])
+    assert enc.columns == ["k", "text", "more", "ids"] and "Generate" not in enc._jdf.queryExecution().optimizedPlan().toString()
+    got = enc.collect()
+    assert len(got) == len(want) and {r.k: r.ids for r in got} == want and all(r.more == (r.k and r.k * 2) or r.k == 0 for r in got)
+    beside = spark.createDataFrame([(5, "a"), (5, "b"), (7, "c"), (None, "d"), (999, "e")], "k int, tag string")
+    both = TK.encode(df, "text", vocab, keys=["k"], carry=[], beside=beside)
+    assert both.columns == ["k", "ids", "tag"] and sorted((r.k, r.tag) for r in both.collect()) == [(5, "a"), (5, "b"), (7, "c")]
+    assert all(r.ids == want[r.k] for r in both.collect())
+
+
+def test_padding_exchanges_no_ids(spark):
+    """The batches' longest rows are known before the texts are encoded; after that nothing is exchanged."""
+    df = spark.createDataFrame([(0, [1, 2], 0, 3), (1, [3], 0, 3)], "k long, ids array<bigint>, batch_id long, longest int")
+    assert {r.k: (r.ids, r.attention_mask) for r in TK.pad_batch(df, "ids", longest="longest", side="left").collect()} == {
+        0: ([TK.PAD_ID, 1, 2], [0, 1, 1]), 1: ([TK.PAD_ID, TK.PAD_ID, 3], [0, 0, 1])}
+    plan = load_all()["c07_pad_batch"].fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange")
