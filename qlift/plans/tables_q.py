@@ -163,8 +163,10 @@ SELECT 'grouped' AS kind, * FROM lg UNION ALL SELECT 'plain', * FROM lp""")
 def d09b(spark, sf):
     d = Tables(spark, sf).documents.select("doc_id", "text")
     tables = Stored(spark, "d09b")
-    held = tables.put(GR.blocks(d, "doc_id", "text"))  # the runs are cut and exchanged once for the split and both reports
-    grouped = tables.put(GR.grouped_split(d, "doc_id", "text", held=held).select("doc_id", "text", "split"))
-    plain = TB.split_assign(d, "doc_id").select("doc_id", "text", "split")
-    return (GR.leak_report(grouped, "doc_id", "text", held=held).select(F.lit("grouped").alias("kind"), "*")
-            .unionByName(GR.leak_report(plain, "doc_id", "text", held=held).select(F.lit("plain").alias("kind"), "*")))
+    shared = tables.put(GR.shared_runs(d, "doc_id", "text"))  # the runs are cut and exchanged once for the split and both reports
+    tables.tidy()
+    held, runs = shared.where("block IS NOT NULL"), shared.where("block IS NULL").select("node", F.col("weight").alias("runs"))
+    grouped = tables.put(GR.grouped_split(d, "doc_id", "text", held=held).select("doc_id", "split"))  # no text is exchanged
+    plain = TB.split_assign(d, "doc_id").select("doc_id", "split")
+    return (GR.leak_report(grouped, "doc_id", "text", held=held, runs=runs).select(F.lit("grouped").alias("kind"), "*")
+            .unionByName(GR.leak_report(plain, "doc_id", "text", held=held, runs=runs).select(F.lit("plain").alias("kind"), "*")))

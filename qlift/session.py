@@ -79,6 +79,10 @@ class Stored:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files that no table needs any more, which stay until the driver collects its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def forget(self, keep: int) -> None:
         """Deletes all tables but the last ``keep``; nothing that is still to be read may rest on them."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()

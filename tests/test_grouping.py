@@ -5,11 +5,12 @@ import random
 from collections import Counter
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from qlift.operators import grouping as GR
 from qlift.operators import runlogs as RL
 from qlift.operators import tables as TB
-from qlift.session import scratch_path
+from qlift.session import Stored, scratch_path
 from qlift.streaming import jobs as ST
 
 
@@ -145,3 +146,37 @@ def test_blocks_are_cut_once(spark):
     split = GR.grouped_split(df, "k", "text", held=held)
     assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, GR.grouped_split(df, "k", "text").collect()), key=str)
     assert GR.leak_report(TB.split_assign(df, "k"), "k", "text", held=held).collect() == GR.leak_report(TB.split_assign(df, "k"), "k", "text").collect()
+
+
+def test_blocks_against_plain_sets(spark, monkeypatch):
+    """Blocks, weights, heads and counts against plain Python, in many ranges; also of text keys, null keys and rows that come twice."""
+    rows = [*_texts().items()] + [(None, "n0 n1 n2 n3"), (None, "n0 n1 n2 n4"), (11, _texts()[11]), (600, _texts()[11])]
+    monkeypatch.setattr(GR, "RANGE", 256)
+    for kind in ("long", "string"):
+        data = [(k if k is None or kind == "long" else f"k{k:04d}", t) for k, t in rows]
+        members = {}
+        for k, t in data:
+            for r in _runs(t, 3):
+                members.setdefault(r, []).append(k)
+        sets = Counter(tuple(sorted(m, key=str)) for m in members.values() if 1 < len(m) <= 0.1 * len(data))
+        want = Counter()
+        for m, n in sets.items():
+            for k in set(m):
+                want[(k, min((x for x in m if x is not None), default=None), n * m.count(k))] += 1
+        got = GR.shared_runs(spark.createDataFrame(data, f"k {kind}, text string"), "k", "text", 3, 0.1).collect()
+        assert Counter((r.node, r.head, r.weight) for r in got if r.block is not None) == want
+        assert len({r.block for r in got if r.block is not None}) == len(sets)
+        assert Counter((r.node, r.weight) for r in got if r.block is None) == Counter((k, len(_runs(t, 3))) for k, t in data)
+
+
+def test_copies_share_one_block_and_reports_cut_no_text(spark):
+    """A passage that two rows share is one block; with the counts at hand a report reads no text, and says the same."""
+    df = spark.createDataFrame([(i, " ".join(f"w{i % 50}x{j}" for j in range(60))) for i in range(200)], "k long, text string")
+    shared = Stored(spark, "shared").put(GR.shared_runs(df, "k", "text"))
+    held, runs = shared.where("block IS NOT NULL"), shared.where("block IS NULL").select("node", F.col("weight").alias("runs"))
+    per_block = Counter(bytes(r.block) for r in held.select("block").collect())
+    assert held.agg(F.sum("weight")).first()[0] == 200 * 53 and len(per_block) <= 50 * 1.01 and set(per_block.values()) == {4}
+    split = TB.split_assign(df.select("k"), "k")
+    quick = GR.leak_report(split, "k", "text", held=held, runs=runs)
+    assert "MapInArrow" not in quick._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(quick.collect()) == sorted(GR.leak_report(TB.split_assign(df, "k"), "k", "text").collect())
